@@ -1,0 +1 @@
+"""Empty on purpose: mining reads one static graph, so there is no streaming operator to offer."""
