@@ -88,10 +88,8 @@ def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.
 
     merge turns (numbers in key order, starts of keys) into one number a key; by default it adds.
     """
-    shift = 64 - bits
 
     def reduce(key, pdf):
-        base = np.uint64(key[0]) << np.uint64(shift)
         sizes = pdf["size"].to_numpy()
         keys = np.concatenate([unpack(k, n) for k, n in zip(pdf["keys"], sizes, strict=True)])
         vals = np.concatenate([_unplanes(v, n) for v, n in zip(pdf["vals"], sizes, strict=True)])
@@ -108,12 +106,12 @@ def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.
             keep = v >= least
             if keep.any():
                 rows.append((chunk, key[0], int(keep.sum()), pack(k[keep]), _planes(v[keep])))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"]) if rows else _nothing(base)
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"]) if rows else _nothing()
 
     return sent.groupBy("bucket").applyInPandas(reduce, MESSAGE)
 
 
-def _nothing(_=None) -> pd.DataFrame:
+def _nothing() -> pd.DataFrame:
     return pd.DataFrame({"chunk": pd.Series(dtype="int64"), "bucket": pd.Series(dtype="int32"), "size": pd.Series(dtype="int64"), "keys": pd.Series(dtype=object), "vals": pd.Series(dtype=object)})
 
 
@@ -124,7 +122,11 @@ def read(answer: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     answer = answer.sort_values("bucket")
     shift = np.uint64(64 - bits)
     keys = [unpack(k, n) + (np.uint64(b) << shift) for b, n, k in zip(answer["bucket"], answer["size"], answer["keys"], strict=True)]
-    return np.concatenate(keys), np.concatenate([_unplanes(v, n) for v, n in zip(answer["vals"], answer["size"], strict=True)])
+    keys, vals = np.concatenate(keys), np.concatenate([_unplanes(v, n) for v, n in zip(answer["vals"], answer["size"], strict=True)])
+    if (keys[1:] < keys[:-1]).any():  # answers to two questions
+        order = np.argsort(keys, kind="stable")
+        keys, vals = keys[order], vals[order]
+    return keys, vals
 
 
 def look_up(keys: np.ndarray, known: np.ndarray, vals: np.ndarray | None = None) -> np.ndarray:

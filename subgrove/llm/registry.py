@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stupid_backoff import stupid_backoff
 from .substring_dedup import substring_dedup
 
 
@@ -17,8 +18,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stupid_backoff(_table(spark, sf_dir, "documents"), backoff=0.4, min_count=2)
+    return out.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_stupid_backoff": op10_stupid_backoff,
 }
 
 ORACLE = {
@@ -32,5 +39,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
        sha256(array_to_string(CASE WHEN gone IS NULL THEN w
          ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN x USING (doc_id)
+""",
+    "op10_stupid_backoff": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c
+      FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+c1 AS (SELECT a, count(*) AS n FROM t GROUP BY a),
+c2 AS (SELECT b, a, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, a),
+c3 AS (SELECT c, b, a, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY c, b, a),
+s AS (SELECT t.doc_id, t.i, c1.n AS n1, p1.n AS m1, c2.n AS n2, p2.n AS m2, c3.n AS n3,
+        CASE WHEN c3.n >= 2 THEN 3 WHEN c2.n >= 2 THEN 2 ELSE 1 END AS o
+      FROM t JOIN c1 ON c1.a = t.a LEFT JOIN c1 AS p1 ON p1.a = t.b LEFT JOIN c2 ON c2.b = t.b AND c2.a = t.a
+      LEFT JOIN c2 AS p2 ON p2.b = t.c AND p2.a = t.b LEFT JOIN c3 ON c3.c = t.c AND c3.b = t.b AND c3.a = t.a),
+g AS (SELECT doc_id, count(*) AS n_words, sum(CASE o WHEN 3 THEN ln(n3 / m2) WHEN 2 THEN ln(n2 / m1)
+        ELSE ln(n1) - ln((SELECT count(*) FROM t)) END + ln(0.4) * (least(i, 3) - o)) AS l,
+        count(*) FILTER (o = 3) AS n_trigram, count(*) FILTER (o = 2) AS n_bigram, count(*) FILTER (o = 1) AS n_unigram
+      FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(l, 0.0), 4) AS log_score, round(l / n_words, 6) AS mean_log_score,
+       coalesce(n_trigram, 0) AS n_trigram, coalesce(n_bigram, 0) AS n_bigram, coalesce(n_unigram, 0) AS n_unigram
+FROM d LEFT JOIN g USING (doc_id)
 """,
 }
