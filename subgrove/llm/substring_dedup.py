@@ -10,6 +10,8 @@ from . import exchange as X
 from .text import covered, rolling, starts_within, word_hashes, words
 
 _MANY, _ANCHOR = np.uint64(1), np.uint64(1 << 32)
+#: Bits of a block's hash that are sent. A chance clash is one more hit whose windows are looked up in vain.
+_SENT = ~np.uint64(0xFFFF)
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +34,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         hashes, at = word_hashes(pdf["text"])
         inside = np.flatnonzero(starts_within(at, block))
         place = inside - at[np.searchsorted(at, inside, side="right") - 1]
-        keys, number = X.tally(rolling(hashes, block)[inside], np.where(place % block == 0, _MANY + _ANCHOR, _MANY))
+        keys, number = X.tally(rolling(hashes, block)[inside] & _SENT, np.where(place % block == 0, _MANY + _ANCHOR, _MANY))
         return keys, np.minimum(number & np.uint64(0xFFFFFFFF), np.uint64(2)) | (number >> np.uint64(32) != 0).astype(np.uint64) << np.uint64(2)
 
     def anchored(number: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -41,7 +43,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     def windows(pdf: pd.DataFrame, known: np.ndarray, _):
         hashes, at = word_hashes(pdf["text"])
-        hits = np.flatnonzero(X.look_up(rolling(hashes, block), known) & starts_within(at, block)) if len(hashes) >= block else np.zeros(0, int)
+        hits = np.flatnonzero(X.look_up(rolling(hashes, block) & _SENT, known) & starts_within(at, block)) if len(hashes) >= block else np.zeros(0, int)
         if len(hashes) < window:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         near = covered(np.maximum(hits - (window - block), 0), window - block + 1, len(hashes))[: len(hashes) - window + 1]
