@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_rotation import perspective_rotation
 from .ngram_jaccard import ngram_jaccard
+from .quality_rules import BASE, POLICIES, Policy, judged, ledger
 from .stupid_backoff import stupid_backoff
 from .substring_dedup import substring_dedup
 
@@ -19,6 +21,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perspective_rotation(_table(spark, sf_dir, "conversations"))
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])))
+    return out.withColumn("spans", spans)
+
+
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(ledger(_table(spark, sf_dir, "documents")), POLICIES["v2"])
+    base = F.col("failed").bitwiseAND(F.lit(Policy("base", BASE).mask)) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"), n=5, similarity=(75, 100))
 
@@ -30,6 +44,8 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_perspective_rotation": op3_perspective_rotation,
+    "op6_rule_ledger": op6_rule_ledger,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_stupid_backoff": op10_stupid_backoff,
 }
@@ -45,6 +61,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
        sha256(array_to_string(CASE WHEN gone IS NULL THEN w
          ELSE list_filter(w, lambda y, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN x USING (doc_id)
+""",
+    "op3_perspective_rotation": r"""
+WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS s, coalesce(text, '') AS x,
+           CASE WHEN coalesce(turn, -1) < 0 THEN -1 ELSE turn // 512 END AS chunk FROM conversations),
+p AS (SELECT DISTINCT conv_id, s AS perspective FROM t WHERE s <> 'system'),
+v AS (SELECT t.conv_id, perspective, chunk, turn, s, x, s = perspective AS mine,
+        '<|turn|>' || CASE WHEN s = 'system' THEN 'system' WHEN s = perspective THEN 'assistant' ELSE 'user name=' || s END || chr(10) AS head,
+        x || '<|end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+e AS (SELECT *, sum(length(head) + length(body)) OVER o AS e, row_number() OVER o AS k FROM v
+      WINDOW o AS (PARTITION BY conv_id, perspective, chunk ORDER BY turn, s, x ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS rendered,
+       coalesce(string_agg((e - length(body)) || '-' || (e - 1), ',' ORDER BY k) FILTER (mine), '') AS spans
+FROM e GROUP BY conv_id, perspective, chunk
+""",
+    "op6_rule_ledger": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) AS l FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5),
+r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(5) AS t(k) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (100 * n_symbols > 10 * greatest(n_words, 1))::INT
+        + 8 * (100 * n_dup_lines > 30 * greatest(n_lines, 1))::INT + 16 * (word_chars < 2 * n_words)::INT
+        + 32 * (word_chars > 25 * greatest(n_words, 1))::INT AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, 'v2' AS policy FROM f
 """,
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
