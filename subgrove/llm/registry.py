@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .chat_rotation import perspective_rotation
 from .ngram_jaccard import ngram_jaccard
 from .quality_rules import BASE, POLICIES, Policy, judged, ledger
+from .simple8b import read_token_files, write_token_files
 from .stupid_backoff import stupid_backoff
 from .substring_dedup import substring_dedup
+from .vector_packing import best_fit_packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+
+
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path, with_ids=False)
+
+
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perspective_rotation(_table(spark, sf_dir, "conversations"))
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])))
@@ -44,6 +61,8 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_simple8b": op4_simple8b,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op6_rule_ledger": op6_rule_ledger,
     "op9_ngram_jaccard": op9_ngram_jaccard,
