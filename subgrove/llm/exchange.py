@@ -83,10 +83,11 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(weights, first)
 
 
-def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None, least: int, bits: int) -> DataFrame:
+def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None, least: int, bits: int, in_order: bool = False) -> DataFrame:
     """For every message the keys whose merged number is at least least, with that number.
 
-    merge turns (numbers in key order, starts of keys) into one number a key; by default it adds.
+    merge turns (numbers in key order, starts of keys) into one number a key; by default it adds. in_order: the
+    answer has no keys but a number, 0 if below least, for each key in the order sent.
     """
 
     def reduce(key, pdf):
@@ -104,7 +105,9 @@ def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.
             k, v = keys[at : at + n], mine[at : at + n]
             at += n
             keep = v >= least
-            if keep.any():
+            if in_order:
+                rows.append((chunk, key[0], n, b"", _planes(v * keep)))
+            elif keep.any():
                 rows.append((chunk, key[0], int(keep.sum()), pack(k[keep]), _planes(v[keep])))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"]) if rows else _nothing()
 
@@ -115,6 +118,12 @@ def _nothing() -> pd.DataFrame:
     return pd.DataFrame({"chunk": pd.Series(dtype="int64"), "bucket": pd.Series(dtype="int32"), "size": pd.Series(dtype="int64"), "keys": pd.Series(dtype=object), "vals": pd.Series(dtype=object)})
 
 
+def numbers(answer: pd.DataFrame) -> np.ndarray:
+    """Of an answer in order: the numbers of all keys that the chunk sent."""
+    answer = answer.sort_values("bucket")
+    return np.concatenate([np.zeros(0, np.uint64), *(_unplanes(v, n) for v, n in zip(answer["vals"], answer["size"], strict=True))])
+
+
 def read(answer: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """All keys that a chunk got back, in order, and their numbers."""
     if not len(answer):
@@ -122,11 +131,7 @@ def read(answer: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     answer = answer.sort_values("bucket")
     shift = np.uint64(64 - bits)
     keys = [unpack(k, n) + (np.uint64(b) << shift) for b, n, k in zip(answer["bucket"], answer["size"], answer["keys"], strict=True)]
-    keys, vals = np.concatenate(keys), np.concatenate([_unplanes(v, n) for v, n in zip(answer["vals"], answer["size"], strict=True)])
-    if (keys[1:] < keys[:-1]).any():  # answers to two questions
-        order = np.argsort(keys, kind="stable")
-        keys, vals = keys[order], vals[order]
-    return keys, vals
+    return np.concatenate(keys), np.concatenate([_unplanes(v, n) for v, n in zip(answer["vals"], answer["size"], strict=True)])
 
 
 def look_up(keys: np.ndarray, known: np.ndarray, vals: np.ndarray | None = None) -> np.ndarray:
@@ -149,11 +154,11 @@ def send(docs: DataFrame, emit: Callable, bits: int, answer: DataFrame | None =
     return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(both, MESSAGE)
 
 
-def finish(docs: DataFrame, answer: DataFrame, make: Callable, schema: str, bits: int) -> DataFrame:
-    """make(pdf, keys, numbers) gives a chunk's rows."""
+def finish(docs: DataFrame, answer: DataFrame, make: Callable, schema: str, bits: int, in_order: bool = False) -> DataFrame:
+    """make(pdf, keys, numbers), or make(pdf, numbers) for an answer in order, gives a chunk's rows."""
 
     def both(left, right):
-        return make(left, *read(right, bits))
+        return make(left, numbers(right)) if in_order else make(left, *read(right, bits))
 
     return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(both, schema)
 

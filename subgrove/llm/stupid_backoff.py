@@ -11,13 +11,19 @@ from . import exchange as X
 from .text import rolling, starts_within, word_hashes
 
 #: Bits of a key that are sent. Two of the K distinct n-grams share a key with chance K / 2**KEY_BITS.
-KEY_BITS = 56
+KEY_BITS = 48
 _KEEP = ~np.uint64((1 << (64 - KEY_BITS)) - 1)
 
 
-def _grams(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that start at each place, and which of them lie in one document."""
-    return rolling(hashes, n) & _KEEP, starts_within(at, n)
+def _grams(texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys of all 1-, 2- and 3-grams within documents, where documents begin, and the places at which n-grams end."""
+    hashes, at = word_hashes(texts)
+    keys, ends = [], []
+    for n in (1, 2, 3):
+        inside = np.flatnonzero(starts_within(at, n))
+        keys.append(rolling(hashes, n)[inside] & _KEEP)
+        ends.append(inside + n - 1)
+    return np.concatenate(keys), at, ends
 
 
 def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,44 +33,32 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
     times, else backoff times the same for 2-grams, else backoff twice times count(word) / all words; a
     document's first words start at the lower order. Words are as written. Count tables are partitioned by
     hash: each bucket counts its n-grams over all chunks and joins the counts to the n-grams that every chunk
-    exploded. 3-grams are counted only where both their 2-grams reach min_count, as no other can.
+    exploded.
 
     One row per input row: doc_id, n_words, log_score (sum of natural logarithms; 0 without words),
     mean_log_score (null without words), n_trigram, n_bigram, n_unigram (words scored at each order).
     Null and empty texts have no words. Other columns are not read.
     """
-    if min_count < 2:
-        raise ValueError("min_count must be 2 or more")
     total = X.measure(docs, text_col, words=F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")))
-    bits = X.buckets(total["bytes"] // 4)
+    bits = X.buckets(total["bytes"] // 3)
     parts = X.chunked(docs, total["bytes"], id_col, text_col)
     log_all, log_back = float(np.log(max(total["words"], 1))), float(np.log(backoff))
 
-    def low(pdf):
-        hashes, at = word_hashes(pdf["text"])
-        found = []
-        for n in (1, 2):
-            keys, inside = _grams(hashes, at, n)
-            found.append(keys[inside])
-        return X.tally(np.concatenate(found))
+    def count(pdf):
+        return X.tally(_grams(pdf["text"])[0])
 
-    def high(pdf, known, counts):
-        hashes, at = word_hashes(pdf["text"])
-        keys, inside = _grams(hashes, at, 3)
-        if not len(keys):
-            return keys, keys
-        often = X.look_up(_grams(hashes, at, 2)[0], known, counts) >= min_count
-        return X.tally(keys[inside & often[:-1] & often[1:]])
-
-    def score(pdf, known, counts):
-        hashes, at = word_hashes(pdf["text"])
-        size = len(hashes)
-        one, two, three = np.ones(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        for n, out in ((1, one), (2, two), (3, three)):
-            keys, inside = _grams(hashes, at, n)
-            if len(keys):
-                out[n - 1 :] = X.look_up(keys, known, counts) * inside
-        one = np.maximum(one, 1).astype(float)  # a word that no answer names occurs once
+    def score(pdf, counts):
+        keys, at, ends = _grams(pdf["text"])
+        size, done = int(at[-1]), 0
+        found = counts[np.unique(keys, return_inverse=True)[1]]
+        by_order = []
+        for places in ends:
+            full = np.zeros(size, np.uint64)
+            full[places] = found[done : done + len(places)]
+            done += len(places)
+            by_order.append(full)
+        one, two, three = by_order
+        one = one.astype(float)
         before_one, before_two = np.r_[1.0, one[:-1]], np.maximum(np.r_[np.uint64(1), two[:-1]], 1).astype(float)
         place = np.arange(size) - np.repeat(at[:-1], np.diff(at))
         order = np.where(three >= min_count, 3, np.where(two >= min_count, 2, 1))
@@ -80,7 +74,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
         mean = [s / n if n else None for s, n in zip(scores, lengths, strict=True)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": lengths, "log_score": scores, "mean_log_score": pd.Series(mean, dtype=object), "n_trigram": by[3], "n_bigram": by[2], "n_unigram": by[1]})
 
-    counted = X.answers(X.send(parts, low, bits), None, 2, bits)
-    trigrams = X.answers(X.send(parts, high, bits, counted), None, 2, bits)
+    counted = X.answers(X.send(parts, count, bits), None, 1, bits, in_order=True)
     kind = parts.schema["doc_id"].dataType.simpleString()
-    return X.finish(parts, counted.unionByName(trigrams), score, f"doc_id {kind}, n_words long, log_score double, mean_log_score double, n_trigram long, n_bigram long, n_unigram long", bits)
+    schema = f"doc_id {kind}, n_words long, log_score double, mean_log_score double, n_trigram long, n_bigram long, n_unigram long"
+    return X.finish(parts, counted, score, schema, bits, in_order=True)
