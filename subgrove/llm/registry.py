@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_rotation import perspective_rotation
@@ -11,6 +11,7 @@ from .quality_rules import BASE, POLICIES, Policy, judged, ledger
 from .simple8b import read_token_files, write_token_files
 from .stupid_backoff import stupid_backoff
 from .substring_dedup import substring_dedup
+from .toxic_spans import toxic_spans, train
 from .vector_packing import best_fit_packing
 
 
@@ -50,6 +51,17 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
 
 
+def held_out() -> Column:
+    """Rows that no model learns from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), ~held_out())
+    return toxic_spans(docs, model, threshold=0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"), n=5, similarity=(75, 100))
 
@@ -65,6 +77,7 @@ QUERIES = {
     "op4_simple8b": op4_simple8b,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op6_rule_ledger": op6_rule_ledger,
+    "op7_toxic_spans": op7_toxic_spans,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_stupid_backoff": op10_stupid_backoff,
 }
