@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_rotation import perspective_rotation
+from .decontamination import decontaminate
+from .line_templates import line_templates
 from .ngram_jaccard import ngram_jaccard
 from .quality_rules import BASE, POLICIES, Policy, judged, ledger
 from .simple8b import read_token_files, write_token_files
@@ -62,6 +64,15 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans(docs, model, threshold=0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_recurring", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(_table(spark, sf_dir, "documents"), n=5, similarity=(75, 100))
 
@@ -77,6 +88,8 @@ QUERIES = {
     "op4_simple8b": op4_simple8b,
     "op3_perspective_rotation": op3_perspective_rotation,
     "op6_rule_ledger": op6_rule_ledger,
+    "op5_decontamination": op5_decontamination,
+    "op8_line_templates": op8_line_templates,
     "op7_toxic_spans": op7_toxic_spans,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_stupid_backoff": op10_stupid_backoff,
