@@ -28,11 +28,26 @@ def measure(docs: DataFrame, text: str = "text", **more: Column) -> dict:
     return {k: int(v or 0) for k, v in row.asDict().items()}
 
 
-def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns chunk, doc_id and text, dealt by chunk; rows of null id share their chunks by text."""
+def carried(carry: tuple[str, ...]) -> list[Column]:
+    """Columns that an operator hands through, under names of their own."""
+    return [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+
+
+def handed(df: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The result of an operator with the carried columns under their names."""
+    return df.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
+
+
+def kinds(df: DataFrame) -> str:
+    """The carried columns as the end of a schema."""
+    return "".join(f", {f.name} {f.dataType.simpleString()}" for f in df.schema if f.name.startswith("carry_"))
+
+
+def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Columns chunk, doc_id and text, and those carried, dealt by chunk; rows of null id share their chunks by text."""
     n = max(1, math.ceil(size / CHUNK_BYTES))
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.pmod(key, F.lit(n)).alias("chunk")).repartition(n, "chunk")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried(carry), F.pmod(key, F.lit(n)).alias("chunk")).repartition(n, "chunk")
 
 
 def buckets(size: int) -> int:

@@ -197,12 +197,12 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_tox
     return fit(sample["text"].tolist(), [int(x == 1) for x in sample["toxic"]])
 
 
-def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Scores whole texts: doc_id, score (0 to 1), predicted (1 if score >= threshold) and spans, the tokens
     whose marginal is 0.5 or more (places in characters, end exclusive, and the marginal).
 
-    Texts without tokens, and null texts, get the score of a text without any toxic token. Only the text is
-    read. Rows of null id and repeated rows are scored like others.
+    Texts without tokens, and null texts, get the score of a text without any toxic token. Only the text
+    is an input. Rows of null id and repeated rows are scored like others. Columns named in carry are returned too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -222,7 +222,8 @@ def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: s
                 for e, q in zip(events[(text == k) & (p >= 0.5)], p[(text == k) & (p >= 0.5)], strict=True):
                     s, z = where[e - at[k]]
                     spans[k].append({"start": s, "end": z, "marginal": float(q)})
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans}).assign(**{c: pdf[c].array for c in pdf if c.startswith("carry_")})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(score, f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *X.carried(carry))
+    schema = f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>{X.kinds(rows)}"
+    return X.handed(rows.mapInPandas(score, schema), carry)
