@@ -101,16 +101,17 @@ def index_keys(values: np.ndarray, often: np.ndarray, size: int, bands: Bands) -
     return np.r_[_key(band, np.arange(count), total), _key(band, segment[some], total[segment[some]] - part[some]) ^ _DEL]
 
 
-def probe_keys(values: np.ndarray, often: np.ndarray, size: int, lone: int, bands: Bands) -> np.ndarray:
+def probe_keys(values: np.ndarray, often: np.ndarray, size: int, lone: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Keys under which a set looks for others of at most its size.
 
     A segment allotted 1 finds sets that have just the same elements there, one allotted 2 also those that
     have one more or one less (deletable segments only). If the allotments of a band sum to more than the
     elements in which linked sets can differ there, no linked set is missed. lone elements occur in no other
     set: they leave that much less to differ. A segment's cost is the number of index entries that can have its key, which is at most how
-    often its rarest element occurs; cheapest first.
+    often its rarest element occurs; cheapest first. The second array is each key's rank in this order: of two
+    sets that can differ in k elements that others have too, the first k + 1 suffice.
     """
-    found = []
+    found, ranks = [], []
     for band in bands.probed(size):
         need = bands.apart(size, min(bands.high(band), size)) - lone + 1
         if need <= 0:
@@ -131,20 +132,25 @@ def probe_keys(values: np.ndarray, often: np.ndarray, size: int, lone: int, band
         two[np.arange(count) % DELETABLE != 0] = np.inf
         costs = np.r_[one, two]
         chosen = np.argsort(costs, kind="stable")[:need]
-        level = np.zeros(count, np.int64)
-        np.add.at(level, chosen % count, 1)
-        at = np.flatnonzero(level)
+        rank = np.full(2 * count, -1)
+        rank[chosen] = np.arange(need)
+        single, double = rank[:count], rank[count:]
+        at = np.flatnonzero(single >= 0)
         found.append(_key(band, at, total[at]))
-        at = np.flatnonzero(level == 2)
+        ranks.append(single[at])
+        at = np.flatnonzero(double >= 0)
         found.append(_key(band, at, total[at]) ^ _DEL)
-        mine = level[segment] == 2
+        ranks.append(double[at])
+        mine = double[segment] >= 0
         found.append(_key(band, segment[mine], total[segment[mine]] - part[mine]))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        ranks.append(double[segment[mine]])
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate([np.zeros(0, int), *ranks])
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """A row per document: its number of shingles and, if it can be linked with another at all, the name of its
-    set, the shingles that other documents have too and how often they occur."""
+    set, the shingles that other documents have too and how often they occur. Names are in order of the share of
+    shingles that no other document has: the least is the most typical."""
     size = X.measure(docs, text_col)["bytes"]
     bits = X.buckets(size // 7)
     parts = X.chunked(docs, size, id_col, text_col)
@@ -163,7 +169,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
             m = int(more.sum())
             row = [doc, e - s, None, None, None]
             if e > s and m * den >= (e - s) * num:  # the other set has as much of this one, at least
-                row[2:] = [int.from_bytes(xxhash.xxh3_64_digest(own.tobytes()), "little", signed=True), own[more].tobytes(), np.minimum(seen[more], 0xFFFFFFFF).astype("<u4").tobytes()]
+                row[2:] = [(e - s - m) * 100 // (e - s) << 56 | xxhash.xxh3_64_intdigest(own.tobytes()) >> 8, own[more].tobytes(), np.minimum(seen[more], 0xFFFFFFFF).astype("<u4").tobytes()]
             rows.append(row)
         return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "rep", "shared", "often"]).astype({"rep": "Int64"})
 
@@ -173,39 +179,37 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
 
 
 def _keys(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows key, rep, probe: what each set is indexed by (probe is false) and looks for."""
+    """Rows key, rep, rank: what each set is indexed by (rank -1) and looks for."""
 
     def make(it):
         bands = Bands(num, den)
         for pdf in X.pieces(it, 200):
-            ids, keys, probe = [], [], []
+            ids, keys, ranks = [], [], []
             for rep, size, shared, often in zip(pdf["rep"], pdf["n_shingles"], pdf["shared"], pdf["often"], strict=True):
                 values, seen = np.frombuffer(shared, "<u8"), np.frombuffer(often, "<u4").astype(float)
-                for looking, own in ((False, index_keys(values, seen, size, bands)), (True, probe_keys(values, seen, size, size - len(values), bands))):
-                    keys.append(own)
-                    ids.append(np.full(len(own), rep))
-                    probe.append(np.full(len(own), looking))
+                indexed = index_keys(values, seen, size, bands)
+                looked, rank = probe_keys(values, seen, size, size - len(values), bands)
+                keys += [indexed, looked]
+                ranks += [np.full(len(indexed), -1), rank]
+                ids.append(np.full(len(indexed) + len(looked), rep))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(ids), "probe": np.concatenate(probe)})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(ids), "rank": np.concatenate(ranks)})
 
-    return classes.select("rep", "n_shingles", "shared", "often").mapInPandas(make, "key long, rep long, probe boolean")
+    return classes.select("rep", "n_shingles", "shared", "often").mapInPandas(make, "key long, rep long, rank int")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, how many shingles they share, and whether they are linked."""
 
     def check(it):
         for pdf in it:
-            keep = []
-            for m, n, x, y in zip(pdf["m"], pdf["n"], pdf["x"], pdf["y"], strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
-                keep.append(den * both >= num * (m + n - both))
-            yield pdf.loc[keep, ["a", "b"]]
+            both = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            out = pdf[["a", "b"]].assign(both=np.array(both, np.int64))
+            yield out.assign(linked=den * out["both"] >= num * (pdf["m"] + pdf["n"] - out["both"]))
 
-    left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("m"), F.col("shared").alias("x"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n"), F.col("shared").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").where((F.col("m") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("m") * num))
-    return near.mapInPandas(check, "a long, b long")
+    left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("m"), F.col("shared").alias("x"))
+    right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n"), F.col("shared").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInPandas(check, "a long, b long, both long, linked boolean")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,10 +222,14 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     of its size and less with the cheapest allotment that can't miss a linked set. Candidates are verified
     exactly (on 64-bit hashes of shingles).
 
-    Pairs within a group are not emitted. Under each key, a set is first compared with the least set there
-    only; what is then still apart under a key is compared one by one. That is exact for classes: a candidate
-    pair is either in one class already or compared. Sets are named by a 64-bit hash. Repeated rows are copies;
-    rows of null doc_id are joined like others, but no class is named after them.
+    Pairs within a group are not emitted. Under each key, a set is first compared with the most typical set
+    there only, its leader. Only what is then still in different classes under a key goes on, and of it only
+    pairs that the rank of the key allows and that can be linked at all: two sets share at most the lesser part of what each shares with their
+    leader, and the lesser part of what each has beside it. In a family of edited copies the leader is near the
+    original, and copies too far from it have little beside it to share. That is exact for classes: a candidate
+    pair is in one class already, too far apart by this bound, or compared. Sets are named by 56 bits of a hash
+    and their share of shingles of their own. Repeated rows are copies; rows of null doc_id are joined like
+    others, but no class is named after them.
 
     One row per input row: doc_id, n_shingles, component_id (least doc_id that it is linked with by links,
     itself included). Without words, or with null text: 0 shingles, linked with nothing. Other columns are not read.
@@ -230,17 +238,28 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     sets = stored(_sets(docs, n, num, den, id_col, text_col))
     classes = stored(sets.where("rep IS NOT NULL").groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("shared").alias("shared"), F.first("often").alias("often")))
     rows = _keys(classes, num, den)
-    met = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.when(~F.col("probe"), F.col("rep"))).alias("leader"), F.max("probe").alias("probed"))
-    live = stored(rows.join(met.where("probed AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
-
-    links = stored(_verified(live.where("probe AND rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), classes, num, den))
-    rooted = live.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "probe", F.coalesce("root", "rep").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = rooted.join(apart, "key", "left_semi")
-    left = rooted.where("probe").select("key", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    right = rooted.where("NOT probe").select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.unionByName(_verified(rest, classes, num, den))
+    met = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.when(F.col("rank") < 0, F.col("rep"))).alias("leader"), F.max("rank").alias("rank"))
+    live = stored(rows.join(met.where("rank >= 0 AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
+
+    near = lambda rows: rows.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    seen = stored(_compared(near(live.where("rank >= 0")), classes, num, den))
+    links = seen.where("linked").select("a", "b")
+    rooted = live.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "rank", "leader", F.coalesce("root", "rep").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rooted = stored(rooted.join(open_keys, "key", "left_semi"))
+    more = stored(_compared(near(rooted).join(seen.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den))
+    links = links.unionByName(more.where("linked").select("a", "b"))
+    rooted = rooted.drop("root").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    beside = seen.unionByName(more).select(F.col("a").alias("rep"), F.col("b").alias("leader"), "both")
+    sizes = classes.select("rep", "n_shingles", (F.octet_length("shared") / 8).cast("long").alias("own"))
+    placed = rooted.join(beside, ["rep", "leader"], "left").join(sizes, "rep").withColumn("both", F.coalesce("both", "own")).withColumn("rest", F.col("own") - F.col("both"))
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "rank", "n_shingles", "own", "both", "rest")))
+    at_most = F.least("both_a", "both_b") + F.least("rest_a", "rest_b")
+    apart = F.floor((den - num) * (F.col("n_shingles_a") + F.col("n_shingles_b")) / (den + num)) - (F.col("n_shingles_a") - F.col("own_a")) - (F.col("n_shingles_b") - F.col("own_b"))
+    can = (F.col("rank_a") <= apart) & (F.col("root_a") != F.col("root_b")) & (den * at_most >= num * (F.col("n_shingles_a") + F.col("n_shingles_b") - at_most))
+    pairs = side(placed.where("rank >= 0"), "a").join(side(placed.where("rank < 0"), "b"), "key").where(can)
+    pairs = pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    links = links.unionByName(_compared(pairs, classes, num, den).where("linked").select("a", "b"))
 
     roots = components(links).withColumnRenamed("node", "rep")
     of = classes.select("rep", "least").join(roots, "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("root"))
