@@ -198,6 +198,22 @@ def _keys(classes: DataFrame, num: int, den: int) -> DataFrame:
     return classes.select("rep", "n_shingles", "shared", "often").mapInPandas(make, "key long, rep long, rank int")
 
 
+def _sketched(classes: DataFrame) -> DataFrame:
+    """rep, n_shingles, own (shingles that others have too) and p0 to p3, the parities of their counts in 256 bins.
+
+    Two sets differ in at least as many elements as bins in which their parities differ.
+    """
+
+    def make(it):
+        for pdf in it:
+            bins = [np.bincount((mix(np.frombuffer(x, "<u8")) >> _U(56)).astype(np.int64), minlength=256) & 1 for x in pdf["shared"]]
+            parity = np.packbits(np.array(bins, np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+            own = [len(x) // 8 for x in pdf["shared"]]
+            yield pdf[["rep", "n_shingles"]].assign(own=own, **{f"p{k}": parity[:, k] for k in range(4)})
+
+    return classes.select("rep", "n_shingles", "shared").mapInPandas(make, "rep long, n_shingles long, own long, p0 long, p1 long, p2 long, p3 long")
+
+
 def _compared(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, how many shingles they share, and whether they are linked."""
 
@@ -226,7 +242,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     there only, its leader. Only what is then still in different classes under a key goes on, and of it only
     pairs that the rank of the key allows and that can be linked at all: two sets share at most the lesser part of what each shares with their
     leader, and the lesser part of what each has beside it. In a family of edited copies the leader is near the
-    original, and copies too far from it have little beside it to share. That is exact for classes: a candidate
+    original, and copies too far from it have little beside it to share. Parities of both sets also bound how far they are apart. That is exact for classes: a candidate
     pair is in one class already, too far apart by this bound, or compared. Sets are named by 56 bits of a hash
     and their share of shingles of their own. Repeated rows are copies; rows of null doc_id are joined like
     others, but no class is named after them.
@@ -251,12 +267,12 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     links = links.unionByName(more.where("linked").select("a", "b"))
     rooted = rooted.drop("root").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     beside = seen.unionByName(more).select(F.col("a").alias("rep"), F.col("b").alias("leader"), "both")
-    sizes = classes.select("rep", "n_shingles", (F.octet_length("shared") / 8).cast("long").alias("own"))
-    placed = rooted.join(beside, ["rep", "leader"], "left").join(sizes, "rep").withColumn("both", F.coalesce("both", "own")).withColumn("rest", F.col("own") - F.col("both"))
-    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "rank", "n_shingles", "own", "both", "rest")))
+    placed = rooted.join(beside, ["rep", "leader"], "left").join(_sketched(classes), "rep").withColumn("both", F.coalesce("both", "own")).withColumn("rest", F.col("own") - F.col("both"))
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "rank", "n_shingles", "own", "both", "rest", "p0", "p1", "p2", "p3")))
     at_most = F.least("both_a", "both_b") + F.least("rest_a", "rest_b")
     apart = F.floor((den - num) * (F.col("n_shingles_a") + F.col("n_shingles_b")) / (den + num)) - (F.col("n_shingles_a") - F.col("own_a")) - (F.col("n_shingles_b") - F.col("own_b"))
-    can = (F.col("rank_a") <= apart) & (F.col("root_a") != F.col("root_b")) & (den * at_most >= num * (F.col("n_shingles_a") + F.col("n_shingles_b") - at_most))
+    parted = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(4)), F.lit(0))
+    can = (F.col("rank_a") <= apart) & (parted <= apart) & (F.col("root_a") != F.col("root_b")) & (den * at_most >= num * (F.col("n_shingles_a") + F.col("n_shingles_b") - at_most))
     pairs = side(placed.where("rank >= 0"), "a").join(side(placed.where("rank < 0"), "b"), "key").where(can)
     pairs = pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
     links = links.unionByName(_compared(pairs, classes, num, den).where("linked").select("a", "b"))
