@@ -22,7 +22,7 @@ from .tokens import encoder
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 
-MAGIC, BLOCK, FILE_IDS = b"S8B1", 4096, 1 << 20
+MAGIC, BLOCK, FILE_IDS = b"S8B1", 4096, 1 << 19
 _HEADER = struct.Struct("<4sIQQQQ")
 _COUNT, _BIT = np.array(COUNTS, np.int64), np.array(BITS, np.uint64)
 _ESCAPE = np.uint64((1 << 60) - 1)
@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     """Tokenizes whole texts and writes their ids, each document's followed by end_id, in ascending order of id.
 
     Documents are dealt by ranges of their id, so shards follow one another; each shard is cut into files of
-    about a million ids at document ends. A file is a row (shard, file, n_ids, docs, data) of a Parquet table at
+    about half a million ids at document ends. A file is a row (shard, file, n_ids, docs, data) of a Parquet table at
     path, so that any store that Spark writes will do; docs names each document and its number of ids. Null and
     empty texts have end_id only; null ids come first; ties and repeated rows are ordered by text. Returns path.
     """
@@ -146,18 +146,19 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids, decoded from the files."""
     table = spark.read.parquet(path)
     kind = table.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
-    files = table.groupBy("shard", "file").agg(F.sum("n_ids").alias("n"))
-    in_shard = files.withColumn("start", F.sum("n").over(W.partitionBy("shard").orderBy("file")) - F.col("n"))
-    shards = files.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("shard")) - F.col("n"))
+    files = table.select("shard", "file", "n_ids")
+    in_shard = files.withColumn("start", F.sum("n_ids").over(W.partitionBy("shard").orderBy("file")) - F.col("n_ids"))
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("shard")) - F.col("n"))
     starts = in_shard.join(shards.select("shard", "base"), "shard").select("shard", "file", (F.col("base") + F.col("start")).alias("first"))
 
     def decoded(it):
         for pdf in X.pieces(it, 1):
-            for docs, data, first in zip(pdf["docs"], pdf["data"], pdf["first"], strict=True):
-                ids = decode(data).astype(np.uint32)
-                sizes = np.array([d["n"] for d in docs], np.int64)
-                at = np.r_[0, np.cumsum(sizes)]
-                rows = [(d["doc_id"], int(first + s), int(e - s), zlib.crc32(ids[s:e].astype("<u4").tobytes()), *([ids[s:e]] if with_ids else [])) for d, s, e in zip(docs, at, at[1:], strict=False)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids])
-
-    return table.join(starts, ["shard", "file"]).select("docs", "data", "first").mapInPandas(decoded, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+            for shard, file, docs, data in zip(pdf["shard"], pdf["file"], pdf["docs"], pdf["data"], strict=True):
+                ids = decode(data).astype("<u4")
+                at = np.r_[0, np.cumsum([d["n"] for d in docs])]
+                rows = [(shard, file, d["doc_id"], int(s), int(e - s), zlib.crc32(ids[s:e].tobytes()), *([ids[s:e]] if with_ids else [])) for d, s, e in zip(docs, at, at[1:], strict=False)]
+                yield pd.DataFrame(rows, columns=["shard", "file", "doc_id", "place", "n_tokens", "ids_crc32", "ids"][: 6 + with_ids])
+
+    rows = table.select("shard", "file", "docs", "data").mapInPandas(decoded, f"shard int, file int, doc_id {kind}, place long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    columns = ["n_tokens", "ids_crc32", *(["ids"] * with_ids)]
+    return rows.join(starts, ["shard", "file"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), *columns)
