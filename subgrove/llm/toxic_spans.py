@@ -73,20 +73,16 @@ class Model:
         return _sigmoid(a + b * np.log1p(total) + c * most)
 
 
-def _selected(texts: list[set[str]], toxic: np.ndarray, least_g: float = 20.0, least_ratio: float = 8.0) -> list[str]:
-    """Features that mark toxic documents, by a likelihood-ratio test on the documents that have them."""
+def _selected(docs: list[np.ndarray], own: list[list[int]], n: int, toxic: np.ndarray, least_g: float = 20.0, least_ratio: float = 8.0) -> np.ndarray:
+    """Which of n features mark toxic documents, by a likelihood-ratio test on the documents that have them. own: features by word."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    with_1, with_0 = Counter(), Counter()
-    for own, y in zip(texts, toxic, strict=True):
-        (with_1 if y else with_0).update(own)
-    found = []
-    for f, a in with_1.items():
-        c = with_0[f]
-        share, base = a / (a + c), n1 / (n1 + n0)
-        g = 2 * (a * np.log(share / base) + (c * np.log((1 - share) / (1 - base)) if c else 0.0))
-        if a >= 3 and g >= least_g and (a + 0.5) / (n1 + 1) >= least_ratio * (c + 0.5) / (n0 + 1):
-            found.append(f)
-    return sorted(found)
+    counts = np.zeros((2, n), np.int64)
+    for words, y in zip(docs, toxic, strict=True):
+        counts[int(y), list({f for w in np.unique(words).tolist() for f in own[w]})] += 1
+    c, a = counts
+    share, base = a / np.maximum(a + c, 1), n1 / (n1 + n0)
+    g = 2 * (a * np.log(np.maximum(share, 1e-9) / base) + c * np.log(np.maximum(1 - share, 1e-9) / (1 - base)))
+    return np.flatnonzero((a >= 3) & (g >= least_g) & ((a + 0.5) / (n1 + 1) >= least_ratio * (c + 0.5) / (n0 + 1)))
 
 
 def _train_chain(gain_at: list[tuple[int, int, list[int]]], labels: np.ndarray, real: np.ndarray, n_features: int, rounds: int = 120):
@@ -140,24 +136,35 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model()
-    tokens = [[t.lower() for t in _TOKEN.findall(x or "")] for x in texts]
-    known = {w: features(w) for w in {w for t in tokens for w in t}}
-    chosen = _selected([{f for w in set(t) for f in known[w]} for t in tokens], y)
+    words, names = {}, {}
+    docs = [np.fromiter((words.setdefault(t.lower(), len(words)) for t in _TOKEN.findall(x or "")), np.int32) for x in texts]
+    own = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
+    chosen = _selected(docs, own, len(names), y).tolist()
     if not chosen:
         return Model()
     number = {f: k for k, f in enumerate(chosen)}
-    marked = {w: own for w, fs in known.items() if (own := [number[f] for f in fs if f in number])}
+    marked = {w: few for w, fs in enumerate(own) if (few := [number[f] for f in fs if f in number])}
+    spelt = list(names)
+    chosen = [spelt[f] for f in chosen]
+    spelt = list(words)
+    tokens = docs
+    del names, own
+    known = np.array(sorted(marked), np.int32)
     gain_at, rows, real = [], [], []
     for t, bad in zip(tokens, y, strict=True):
-        hits = [k for k, w in enumerate(t) if w in marked]
+        hits = np.flatnonzero(np.isin(t, known)).tolist()
         for s in sorted({0, *(k // _SEGMENT for k in hits)}):
-            part = t[s * _SEGMENT : (s + 1) * _SEGMENT]
+            part = t[s * _SEGMENT : (s + 1) * _SEGMENT].tolist()
             gain_at += [(len(rows), k, marked[w]) for k, w in enumerate(part) if w in marked]
             rows.append([float(bad and w in marked) for w in part] + [0.0] * (_SEGMENT - len(part)))
             real.append([True] * len(part) + [False] * (_SEGMENT - len(part)))
     weights, bias, chain = _train_chain(gain_at, np.array(rows), np.array(real), len(chosen))
     model = Model(dict(zip(chosen, weights.tolist(), strict=True)), bias, chain)
-    gains, at = _gains(model, tokens, {})
+    gain = {w: model.emission(spelt[w]) for w in marked}
+    by_word = np.zeros(len(words))
+    by_word[list(gain)] = list(gain.values())
+    gains = by_word[np.concatenate(tokens)]
+    at = np.r_[0, np.cumsum([len(t) for t in tokens])]
     events, p = model.marginals(gains, at)
     total, most = _totals(np.searchsorted(at, events, side="right") - 1, p, len(y))
     x = np.c_[np.ones(len(y)), np.log1p(total), most]
@@ -186,7 +193,7 @@ def _totals(text: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return np.bincount(text, p, n), most
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_toxic: int = 2000, max_other: int = 10000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_toxic: int = 1000, max_other: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on a bounded sample: of the labelled rows for which use holds, at most max_toxic and max_other, least hash of the id first."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows if use is None else rows.where(use)
