@@ -45,7 +45,10 @@ def _arc(graph: Graph, pattern: Pattern, i: int, j: int, mine: DataFrame, other:
 
 
 def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | None = None) -> dict[int, DataFrame]:
-    """Arc-consistent domains of a tree pattern by two passes of semi-joins, leaves to root and back."""
+    """Arc-consistent domains of a tree pattern by two passes of semi-joins, leaves to root and back.
+
+    Each step is persisted, as later ones refer to it several times: plans stay as long as the pattern.
+    """
     found = dict(start or domains(graph, pattern))
     order, parent = [0], {0: None}
     for i in order:
@@ -54,9 +57,9 @@ def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | N
                 parent[j] = i
                 order.append(j)
     for i in reversed(order[1:]):
-        found[parent[i]] = _arc(graph, pattern, parent[i], i, found[parent[i]], found[i])
+        found[parent[i]] = _arc(graph, pattern, parent[i], i, found[parent[i]], found[i]).persist()
     for i in order[1:]:
-        found[i] = _arc(graph, pattern, i, parent[i], found[i], found[parent[i]])
+        found[i] = _arc(graph, pattern, i, parent[i], found[i], found[parent[i]]).persist()
     return found
 
 

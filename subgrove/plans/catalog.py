@@ -16,6 +16,7 @@ from ..operators import support as SU
 from ..operators.embeddings import embeddings
 from ..sources import commerce as C
 from ..sources import lg
+from .graph import Graph
 
 CUSTOMER, ORDER, PART, SUPPLIER = 101.0, 201.0, 301.0, 400.0
 PATH = path([CUSTOMER, ORDER, PART, SUPPLIER], [1, 2, 4])
@@ -26,45 +27,50 @@ STAR3 = star(CUSTOMER, [ORDER, ORDER, 202.0], [1, 1, 1])
 BENT = path([ORDER, CUSTOMER, ORDER, PART], [1, 1, 2])
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The commerce graph with its adjacency kept: plans refer to it many times, and would grow with its own plan."""
+    return C.commerce(spark, sf_dir).cached()
+
+
 def _share(spark: SparkSession, sf_dir: str, hundredths: int) -> int:
     """Supports follow the size of the data: so many hundredths of the customers."""
     return spark.read.parquet(f"{sf_dir}/customer.parquet").count() * hundredths // 100
 
 
 def graph_vertices(spark, sf_dir):
-    return C.commerce(spark, sf_dir).vertices
+    return _graph(spark, sf_dir).vertices
 
 
 def graph_edges(spark, sf_dir):
-    return C.commerce(spark, sf_dir).edges.select("src", "dst", F.col("label").alias("el"))
+    return _graph(spark, sf_dir).edges.select("src", "dst", F.col("label").alias("el"))
 
 
 def label_histogram(spark, sf_dir):
-    return C.commerce(spark, sf_dir).label_histogram()
+    return _graph(spark, sf_dir).label_histogram()
 
 
 def frequent_labels(spark, sf_dir):
-    g = C.commerce(spark, sf_dir).frequent_labels(_share(spark, sf_dir, 20))
+    g = _graph(spark, sf_dir).frequent_labels(_share(spark, sf_dir, 20))
     return g.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(g.edges.agg(F.count("*").alias("n_edges")))
 
 
 def degree_by_label(spark, sf_dir):
-    return C.commerce(spark, sf_dir).degrees().groupBy("label").agg(F.count("*").alias("n"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.sum("degree").alias("sum_degree"))
+    return _graph(spark, sf_dir).degrees().groupBy("label").agg(F.count("*").alias("n"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.sum("degree").alias("sum_degree"))
 
 
 def lg_roundtrip_counts(spark, sf_dir):
     lines = lg.lg_lines(C.forest(spark, sf_dir)).select("value", F.struct("kind", "a", "b").alias("at"))
-    g = C.Graph.clean(*lg.parse_lg(lines), order="at")
+    g = Graph.clean(*lg.parse_lg(lines), order="at")
     v = g.vertices.agg(F.count("*").alias("n_vertices"), F.sum("id").alias("sum_ids"), F.sum("label").alias("sum_labels"))
     return v.crossJoin(g.edges.agg(F.count("*").alias("n_edges"), F.sum(F.col("src") % 1000 + F.col("dst") % 1000).alias("sum_ends")))
 
 
 def edge_pattern_mni(spark, sf_dir):
-    return E.edge_patterns(C.commerce(spark, sf_dir))
+    return E.edge_patterns(_graph(spark, sf_dir))
 
 
 def frequent_edges(spark, sf_dir):
-    return E.frequent_edges(C.commerce(spark, sf_dir), _share(spark, sf_dir, 17))
+    return E.frequent_edges(_graph(spark, sf_dir), _share(spark, sf_dir, 17))
 
 
 def two_edge_candidates(spark, sf_dir):
@@ -77,7 +83,7 @@ def two_edge_candidates(spark, sf_dir):
 
 
 def domain_label_degree(spark, sf_dir):
-    return D.degree_domains(C.commerce(spark, sf_dir), TRIANGLE).groupBy("col").agg(F.count("*").alias("n"))
+    return D.degree_domains(_graph(spark, sf_dir), TRIANGLE).groupBy("col").agg(F.count("*").alias("n"))
 
 
 def _sizes(found):
@@ -85,48 +91,48 @@ def _sizes(found):
 
 
 def ac3_domains_path(spark, sf_dir):
-    return _sizes(D.ac3_domains(C.commerce(spark, sf_dir), PATH))
+    return _sizes(D.ac3_domains(_graph(spark, sf_dir), PATH))
 
 
 def ac3_domains_triangle(spark, sf_dir):
-    return _sizes(D.ac3_domains(C.commerce(spark, sf_dir), TRIANGLE))
+    return _sizes(D.ac3_domains(_graph(spark, sf_dir), TRIANGLE))
 
 
 def embeddings_path(spark, sf_dir):
-    return embeddings(C.commerce(spark, sf_dir), PATH).agg(F.count("*").alias("n"), F.sum(F.col("n0") % 1000 + F.col("n3") % 1000).alias("sum_ends"))
+    return embeddings(_graph(spark, sf_dir), PATH).agg(F.count("*").alias("n"), F.sum(F.col("n0") % 1000 + F.col("n3") % 1000).alias("sum_ends"))
 
 
 def embeddings_triangle(spark, sf_dir):
-    return embeddings(C.commerce(spark, sf_dir), TRIANGLE).agg(F.count("*").alias("n"), F.sum(F.col("n1") % 1000).alias("sum_parts"))
+    return embeddings(_graph(spark, sf_dir), TRIANGLE).agg(F.count("*").alias("n"), F.sum(F.col("n1") % 1000).alias("sum_parts"))
 
 
 def _mni(pattern):
-    return lambda spark, sf_dir: SU.mni(C.commerce(spark, sf_dir), pattern)
+    return lambda spark, sf_dir: SU.mni(_graph(spark, sf_dir), pattern)
 
 
 def mni_table_bent(spark, sf_dir):
-    return SU.mni_table(C.commerce(spark, sf_dir), BENT)
+    return SU.mni_table(_graph(spark, sf_dir), BENT)
 
 
 def mni_partitioned(spark, sf_dir):
-    return SU.mni_partitioned(C.commerce(spark, sf_dir), FORK, 4)
+    return SU.mni_partitioned(_graph(spark, sf_dir), FORK, 4)
 
 
 def one_column_refute(spark, sf_dir):
-    n = SU.column_images(C.commerce(spark, sf_dir), TRIANGLE, 2)
+    n = SU.column_images(_graph(spark, sf_dir), TRIANGLE, 2)
     return n.agg(F.count("*").alias("n"), (F.count("*") < _share(spark, sf_dir, 17)).alias("refuted"))
 
 
 def support_sample_frac(spark, sf_dir):
-    return SA.sampled_fraction(C.commerce(spark, sf_dir), FORK, 3)
+    return SA.sampled_fraction(_graph(spark, sf_dir), FORK, 3)
 
 
 def support_ci(spark, sf_dir):
-    return SA.support_interval(C.commerce(spark, sf_dir), FORK, _share(spark, sf_dir, 11), sample_size=100)
+    return SA.support_interval(_graph(spark, sf_dir), FORK, _share(spark, sf_dir, 11), sample_size=100)
 
 
 def edge_label_lookup(spark, sf_dir):
-    g = C.commerce(spark, sf_dir)
+    g = _graph(spark, sf_dir)
     pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((2_000_000_000 + F.col("o_orderkey")).alias("src"), (1_000_000_001 + F.col("o_custkey") % 7).alias("dst"))
     return g.edge_label(pairs).select("src", "dst", F.col("label").alias("el"))
 
@@ -138,12 +144,12 @@ def edge_removal_isolated(spark, sf_dir):
 
 
 def vertex_removal(spark, sf_dir):
-    left = (g := C.commerce(spark, sf_dir)).without_vertices(g.vertices.where("label = 400"))
+    left = (g := _graph(spark, sf_dir)).without_vertices(g.vertices.where("label = 400"))
     return left.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(left.edges.agg(F.count("*").alias("n_edges")))
 
 
 def neighbourhood_containment(spark, sf_dir):
-    found = D.domains(C.commerce(spark, sf_dir), STAR3)[0]
+    found = D.domains(_graph(spark, sf_dir), STAR3)[0]
     return found.agg(F.count("*").alias("n"), F.sum(F.col("id") % 1000).alias("sum_ids"))
 
 
@@ -192,7 +198,7 @@ def pattern_set_ops(spark, sf_dir):
 
 
 def cost_quartiles(spark, sf_dir):
-    return SA.quartiles(C.commerce(spark, sf_dir).degrees(), "degree", "label")
+    return SA.quartiles(_graph(spark, sf_dir).degrees(), "degree", "label")
 
 
 QUERIES = {
