@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
 from ..plans.graph import Graph
+from ..plans.shared import stored
 
 
 def domains(graph: Graph, pattern: Pattern) -> dict[int, DataFrame]:
@@ -47,7 +48,7 @@ def _arc(graph: Graph, pattern: Pattern, i: int, j: int, mine: DataFrame, other:
 def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | None = None) -> dict[int, DataFrame]:
     """Arc-consistent domains of a tree pattern by two passes of semi-joins, leaves to root and back.
 
-    Each step is persisted, as later ones refer to it several times: plans stay as long as the pattern.
+    Each step is written, as later ones refer to it several times: no plan is longer than one arc.
     """
     found = dict(start or domains(graph, pattern))
     order, parent = [0], {0: None}
@@ -57,31 +58,29 @@ def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | N
                 parent[j] = i
                 order.append(j)
     for i in reversed(order[1:]):
-        found[parent[i]] = _arc(graph, pattern, parent[i], i, found[parent[i]], found[i]).persist()
+        found[parent[i]] = stored(_arc(graph, pattern, parent[i], i, found[parent[i]], found[i]))
     for i in order[1:]:
-        found[i] = _arc(graph, pattern, i, parent[i], found[i], found[parent[i]]).persist()
+        found[i] = stored(_arc(graph, pattern, i, parent[i], found[i], found[parent[i]]))
     return found
 
 
 def ac3_domains(graph: Graph, pattern: Pattern, max_rounds: int | None = None) -> dict[int, DataFrame]:
     """Arc-consistent domains of any pattern: semi-joins over all arcs until no domain shrinks (or max_rounds).
 
-    A tree needs two passes and no counting. Otherwise each round is cut off from the last by persisting it, so
-    plans stay short; a lost block is computed anew from its lineage.
+    A tree needs two passes and no counting. Otherwise each round is cut off from the last by
+    writing it, so plans stay short.
     """
     if pattern.acyclic():
         return tree_domains(graph, pattern)
-    found = {i: d.persist() for i, d in domains(graph, pattern).items()}
+    found = {i: stored(d) for i, d in domains(graph, pattern).items()}
     sizes, rounds = {i: d.count() for i, d in found.items()}, 0
     while max_rounds is None or rounds < max_rounds:
         old, rounds = dict(found), rounds + 1
         for i, j in sorted(((i, j) for i in pattern.around for j in pattern.around[i]), key=lambda a: (sizes[a[0]] + sizes[a[1]], a)):
             found[i] = _arc(graph, pattern, i, j, found[i], found[j])
-        found = {i: d.persist() for i, d in found.items()}
+        found = {i: stored(d) for i, d in found.items()}
         now = {i: d.count() for i, d in found.items()}
         if now == sizes:
-            for i, d in found.items():
-                d.unpersist()
             return old
         sizes = now
     return found

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -42,16 +44,12 @@ class Graph:
         return labelled.select(*columns).unionByName(back)
 
     def cached(self) -> Graph:
-        """The same graph with its adjacency kept for the many plans of a mining run, by source vertex."""
-        adj = self.adj.repartition("src").persist()
-        out = Graph(self.vertices.persist(), self.edges)
+        """The same graph from written tables, for the many plans that refer to it: each is then a scan."""
+        adj = stored(self.adj)
+        out = Graph(stored(self.vertices), adj.where("src < dst").select("src", "dst", "label"))
         out.__dict__["adj"] = adj
         return out
 
-    def release(self) -> None:
-        self.adj.unpersist()
-        self.vertices.unpersist()
-
     def degrees(self) -> DataFrame:
         """id, label and degree of every vertex, isolated ones included."""
         deg = self.adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
@@ -94,15 +92,13 @@ class Graph:
 
     def components(self) -> DataFrame:
         """id and the least id that it is connected with, by repeated minima over neighbours and their roots."""
-        spark = self.vertices.sparkSession
-        reliable = spark.conf.get("spark.checkpoint.dir", None) is not None or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
         roots, links = self.vertices.select("id", F.col("id").alias("root")), self.adj.select("src", "dst")
         while True:
             low = links.join(roots, links["dst"] == roots["id"]).groupBy("src").agg(F.min("root").alias("low"))
             hop = roots.join(low, roots["id"] == low["src"], "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
             parent = hop.select(F.col("id").alias("p"), F.col("new").alias("up"))
             jumped = hop.join(parent, hop["new"] == parent["p"]).select("id", "root", F.least("new", "up").alias("new"))
-            jumped = jumped.checkpoint() if reliable else jumped.persist()
+            jumped = stored(jumped)
             moved = jumped.where("root <> new").limit(1).count()
             roots = jumped.select("id", F.col("new").alias("root"))
             if not moved:
