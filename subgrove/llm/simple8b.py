@@ -39,12 +39,19 @@ def encode(values: np.ndarray) -> bytes:
     wide = data >= np.uint64(1 << 60)
     # the first selector whose width holds the values from here on; a block's last word may reach over its end, where it reads zeros
     best = np.full(len(data), 14, np.int8)
-    ahead = data.copy()
-    room = np.full(len(data), BLOCK) if not blocks else BLOCK - np.arange(len(data)) % BLOCK
+    here = np.arange(len(data), dtype=np.int32)
+    end_of_block = (here // BLOCK + 1) * BLOCK
     for s in range(13, 0, -1):
-        bad = np.r_[0, np.cumsum(ahead >= np.uint64(1) << _BIT[s])]
-        reach = np.minimum(np.arange(len(data)) + np.minimum(_COUNT[s], room), len(data))
-        best[bad[reach] == bad[:-1]] = s
+        bad = data >= np.uint64(1) << _BIT[s]
+        if bad.all():
+            break
+        if bad.any():
+            before = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(bad, out=before[1:])
+            reach = np.minimum(np.minimum(here + np.int32(COUNTS[s]), end_of_block), np.int32(len(data)))
+            best[before[reach] == before[:-1]] = s
+        else:
+            best[:] = s
     best[wide] = 0
     at, sel, place = np.arange(blocks) * BLOCK, [], []
     end = at + np.minimum(BLOCK, size - at)

@@ -4,40 +4,42 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept by a worker before it starts anew; a bound on its memory.
 CACHED_WORDS = 450_000
 
 # Texts of other characters, or with white space at an end or next to white space, are encoded whole: only in
 # the rest is it plain from the tokenizer's rules where they cut.
-_BYTE_UNSAFE = re.compile("[^\n\x20-\x7e¡-ɏ]|[ \n][ \n]|\\A[ \n]|[ \n]\\Z|<\\|")
-_WORD_UNSAFE = re.compile("[^\t-\r\x20-\x7e¡-ɏ]|<\\|")
+_BYTE_UNSAFE = "[^\\n\\x20-\\x7e\u00a1-\u024f]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|<\\|"
+_WORD_UNSAFE = "[^\\t-\\r\\x20-\\x7e\u00a1-\u012f\u0131-\u024f]|<\\|"
 
 
 # A comma or full stop before white space is a piece of its own if a letter or digit is before it.
-_JOINED = re.compile("[^0-9A-Za-zªµºÀ-ÖØ-öø-ɏ][.,](?=[\\s])")
+_JOINED = "[^0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,][\\t-\\r ]"
 
 
-def _byte_words(text: str) -> list[str] | None:
+def _each(texts: pa.Array, changes: list[tuple[str, str]]) -> pa.Array:
+    for old, new in changes:
+        texts = pc.replace_substring(texts, old, new)
+    return texts
+
+
+def _byte_words(texts: pa.Array) -> pa.Array:
     """A space belongs to the word after it; a single line end stands alone."""
-    if _BYTE_UNSAFE.search(text):
-        return None
-    cut = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
-    if not _JOINED.search(text):
-        cut = cut.replace(".\x00", "\x00.\x00").replace(",\x00", "\x00,\x00")
-    return cut.split("\x00")
+    cut = _each(texts, [("\n", "\0\n\0"), (" ", "\0 ")])
+    cut = pc.if_else(pc.match_substring_regex(texts, _JOINED), cut, _each(cut, [(".\0", "\0.\0"), (",\0", "\0,\0")]))
+    return pc.split_pattern(cut, "\0")
 
 
-def _word_words(text: str) -> list[str] | None:
-    """Case and white space don't matter."""
-    if _WORD_UNSAFE.search(text):
-        return None
-    if not _JOINED.search(text):
-        text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
-    return text.lower().split()
+def _word_words(texts: pa.Array) -> pa.Array:
+    """White space doesn't matter, nor does the case of A-Z."""
+    cut = _each(texts, [(". ", " . "), (", ", " , "), (".\n", " . "), (",\n", " , ")])
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pc.match_substring_regex(texts, _JOINED), texts, cut)))
 
 
 class _Missing(dict):
@@ -60,8 +62,11 @@ class Encoder:
         pre = kind["pre_tokenizer"] or {}
         by_byte = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind["normalizer"]
         by_word = pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and kind["model"].get("end_of_word_suffix")
-        self.split = _byte_words if by_byte else _word_words if by_word else lambda _: None
+        self.unsafe, self.split = (_BYTE_UNSAFE, _byte_words) if by_byte else (_WORD_UNSAFE, _word_words) if by_word else (None, None)
         self.tokenizer = Tokenizer.from_file(path)
+        self.spaced = by_byte  # words begin with their space
+        if self.split:
+            self.mark, self.mark_id = self._mark(*((" ", "\u0120", "") if by_byte else ("", "", kind["model"]["end_of_word_suffix"])))
         self._clear()
 
     def _clear(self) -> None:
@@ -69,44 +74,68 @@ class Encoder:
         self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.done = self.used = 0
 
+    def _mark(self, glue: str, starts: str, ends: str) -> tuple[str, int]:
+        """A word of one id to put between words that are encoded together."""
+        for word, n in sorted(self.tokenizer.get_vocab().items(), key=lambda x: -x[1]):
+            plain = word.removeprefix(starts).removesuffix(ends)
+            if len(plain) > 5 and plain.isascii() and plain.isalpha() and plain.islower() and self.tokenizer.encode(glue + plain, add_special_tokens=False).ids == [n]:
+                return plain, n
+        raise ValueError("no word of the tokenizer has one id")
+
+    def _keep(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)]
+        self.counts[numbers] = sizes
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def _learn(self) -> None:
-        """Encodes the words that were asked for since the last call."""
-        words = list(self.known)[self.done :] if self.done else list(self.known)
-        for at in range(0, len(words), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            more = int(sizes.sum())
-            if self.done + len(found) > len(self.starts):
-                self.starts, self.counts = (np.r_[x, np.zeros(len(x) + len(found), np.int64)] for x in (self.starts, self.counts))
-            if self.used + more > len(self.ids):
-                self.ids = np.r_[self.ids, np.zeros(len(self.ids) + more, np.uint32)]
-            self.counts[self.done : self.done + len(found)] = sizes
-            self.starts[self.done : self.done + len(found)] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + more] = [i for x in found for i in x]
-            self.done, self.used = self.done + len(found), self.used + more
+        """Encodes the words that were asked for since the last call: words that a space can go before in groups, with a
+        mark between them, the others and groups in which a word holds the mark's id one by one."""
+        words = list(islice(self.known, self.done, None))
+        if len(self.known) > len(self.starts):
+            self.starts, self.counts = (np.r_[x, np.zeros(len(self.known), np.int64)] for x in (self.starts, self.counts))
+        free = [k for k, w in enumerate(words) if w[:1] == " " or not self.spaced]
+        alone = [k for k, w in enumerate(words) if w[:1] != " " and self.spaced]
+        groups = [free[at : at + 256] for at in range(0, len(free), 256)]
+        glue = f" {self.mark}" if self.spaced else f" {self.mark} "
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([glue.join(words[k] for k in group) for group in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            if len(marks) == len(group) - 1:
+                self._keep(self.done + np.array(group), np.diff(np.r_[-1, marks, len(ids)]) - 1, ids[ids != self.mark_id])
+            else:
+                alone += group
+        for at in range(0, len(alone), 4096):
+            few = alone[at : at + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in few], add_special_tokens=False)]
+            self._keep(self.done + np.array(few), np.fromiter(map(len, found), np.int64, len(found)), np.array([i for x in found for i in x], np.uint32))
+        self.done += len(words)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry at the end)."""
         if len(self.known) > CACHED_WORDS:
             self._clear()
-        number = self.known.__getitem__
-        parts, whole = [], []
-        for k, text in enumerate(texts):
-            words = self.split(text) if text else []
-            if words is None:
-                whole.append(k)
-                words = []
-            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
-        self._learn()
-        word_at = np.r_[0, np.cumsum([len(x) for x in parts], dtype=np.int64)]
-        all_words = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        count = self.counts[all_words]
+        texts = [t or "" for t in texts]
+        own = pa.array(texts, pa.large_string())
+        unsafe = pc.match_substring_regex(own, self.unsafe) if self.split else pa.array([True] * len(texts), pa.bool_())
+        whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()
+        if len(whole) == len(texts):
+            distinct, all_words, word_at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        else:
+            cut = self.split(pc.if_else(unsafe, "", own))
+            word_at = np.asarray(cut.offsets, np.int64)
+            words = cut.flatten().dictionary_encode()
+            distinct = np.fromiter(map(self.known.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+            self._learn()
+            all_words = words.indices.to_numpy()
+        count = self.counts[distinct][all_words]
         ends = np.r_[0, np.cumsum(count)]
-        ids = self.ids[np.repeat(self.starts[all_words] - ends[:-1], count) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.starts[distinct][all_words] - ends[:-1], count) + np.arange(ends[-1])]
         at = ends[word_at]
         if not whole:
             return ids, at
-        texts = list(texts)
         cut = [ids[s:e] for s, e in zip(at, at[1:], strict=False)]
         for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
             cut[k] = np.array(e.ids, np.uint32)
