@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import exchange as X
+from .components import stored
+from .ngram_jaccard import ngram_jaccard
 from .text import mix
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +62,7 @@ class _Tree:
         self.line, self.keys = np.concatenate(self.line), np.concatenate(keys) & _SENT
 
 
-def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, min_tokens: int = 3, max_open: int = 16, min_fixed: int = 6, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, min_tokens: int = 3, max_open: int = 16, min_fixed: int = 6, max_share: float = 0.5, copies: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines of templates that at least min_docs documents have.
 
     A line's place in the tree is its number of tokens, then its first depth tokens; its leaf is the rest of
@@ -69,8 +72,10 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, min_token
     result does not depend on the order of lines or documents.
 
     Recurring lines mark boilerplate inside a document. Where more than max_share of a document's tokens would
-    go, the document is a copy of others rather than a carrier of boilerplate, and is left whole, to
-    near-duplicate detection. One row per input row: doc_id, text (kept lines), n_lines, n_recurring (lines of
+    go, it may be a copy of others rather than a carrier of boilerplate: such documents are compared with each
+    other, and one that the Jaccard join links with another at copies (num, den) is left whole, to near-duplicate
+    detection at that similarity, which leaves one of its class. All others lose their recurring lines, whatever
+    their share. One row per input row: doc_id, text (kept lines), n_lines, n_recurring (lines of
     recurring templates), n_dropped. Null texts stay null with 0 lines, empty texts have one line. Repeated rows
     count as documents. Columns named in carry are
     returned too; others are not read.
@@ -93,15 +98,23 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, min_token
         recurring[tree.line[X.look_up(tree.keys, known)]] = True
         at = np.searchsorted(tree.docs, np.arange(len(pdf) + 1))
         rows = []
-        for doc, text, s, e in zip(pdf["doc_id"], pdf["text"], at, at[1:], strict=False):
+        for k, (doc, text, s, e) in enumerate(zip(pdf["doc_id"], pdf["text"], at, at[1:], strict=False)):
             again, count = recurring[s:e], tree.counts[s:e]
             n = int(again.sum())
-            drop = bool(n) and count[again].sum() <= max_share * count.sum()
-            kept = "\n".join(x for x, r in zip(text.split("\n"), again.tolist(), strict=True) if not r) if drop else text
-            rows.append((doc, kept, e - s if text is not None else 0, n, n if drop else 0))
-        out = pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_recurring", "n_dropped"])
+            less = "\n".join(x for x, r in zip(text.split("\n"), again.tolist(), strict=True) if not r) if n else text
+            open_ = bool(n) and count[again].sum() > max_share * count.sum()
+            number = (int(pdf["chunk"].iloc[0]) << 32) + k
+            rows.append((doc, text if open_ else less, e - s if text is not None else 0, n, 0 if open_ else n, less if open_ else None, number))
+        out = pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_recurring", "n_dropped", "less", "row"])
         return out.assign(**{c: pdf[c].array for c in pdf if c.startswith("carry_")})
 
     often = X.answers(X.send(parts, emit, bits), None, min_docs, bits)
     kind = parts.schema["doc_id"].dataType.simpleString()
-    return X.handed(X.finish(parts, often, cut, f"doc_id {kind}, text string, n_lines long, n_recurring long, n_dropped long{X.kinds(parts)}", bits), carry)
+    schema = f"doc_id {kind}, text string, n_lines long, n_recurring long, n_dropped long, less string, row long{X.kinds(parts)}"
+    rows = stored(X.finish(parts, often, cut, schema, bits))
+    open_ = rows.where("less IS NOT NULL")
+    linked = ngram_jaccard(open_, similarity=copies, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    classes = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    copy = linked.join(classes, "component_id", "left_semi").select("row", F.lit(True).alias("copy"))
+    decided = open_.join(copy, "row", "left").withColumns({"text": F.when(F.col("copy"), F.col("text")).otherwise(F.col("less")), "n_dropped": F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("n_recurring"))})
+    return X.handed(rows.where("less IS NULL").unionByName(decided.drop("copy")).drop("less", "row"), carry)

@@ -210,6 +210,18 @@ def test_line_templates(spark, none):
     assert line_templates(none).count() == 0
 
 
+def test_line_templates_of_most_of_a_document(spark):
+    often = text(30)
+    rows = [(i, f"{often}\n{text(20)}") for i in range(12)] + [(50, often)]  # 60% boilerplate; nothing but boilerplate
+    base = "\n".join(text(25) for _ in range(4))
+    rows += [(100 + i, base.replace(base.split()[7 + i], "edit", 1)) for i in range(12)]  # near copies
+    got = {r["doc_id"]: r for r in line_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(12):
+        assert got[i]["text"] == rows[i][1].split("\n")[1] and (got[i]["n_recurring"], got[i]["n_dropped"]) == (1, 1)
+        assert got[100 + i]["text"] == rows[13 + i][1] and got[100 + i]["n_recurring"] >= 3 and got[100 + i]["n_dropped"] == 0
+    assert got[50]["text"] == "" and got[50]["n_dropped"] == 1
+
+
 def test_toxic_spans(spark, none):
     bad = ["blorg", "snarfing", "snarfed", "snarfs"]
     rows = [(f"{text(20)} " + (f"{R.choice(bad)} {R.choice(bad)} {text(5)}" if k % 5 == 0 else text(7)), int(k % 5 == 0)) for k in range(300)]
