@@ -49,14 +49,12 @@ class _Items:
         self.lengths = sorted({min(n, len(w)) for w in self.words if len(w)})
         self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.seeds]))
 
-    def index(self, frequency: dict[int, int], block: int) -> dict[int, list[tuple[int, int]]]:
-        """The rarest seed of each block of so many in a row: where it is in which items."""
+    def index(self) -> dict[int, list[tuple[int, int]]]:
+        """Where each seed is in which items."""
         out = defaultdict(list)
         for k, seeds in enumerate(self.seeds):
-            often = [frequency.get(s, 0) for s in seeds.tolist()]
-            for b in range(0, len(seeds), block):
-                at = min(range(b, min(b + block, len(seeds))), key=lambda i: (often[i], i))
-                out[int(seeds[at])].append((k, at))
+            for at, seed in enumerate(seeds.tolist()):
+                out[seed].append((k, at))
         return dict(out)
 
 
@@ -73,14 +71,13 @@ def _hits(hashes: np.ndarray, at: np.ndarray, lengths: list[int], known: np.ndar
     return places[order], seeds[order]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, block: int = 2, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of documents and benchmark items that align, one row each: doc_id, item_id, score, start, end.
 
-    Seeds are word n-grams of items, A-Z lowered. A first pass counts in how many documents each occurs; of
-    each block of neighbouring seeds of an item the rarest is kept, so every stretch of an item keeps one,
-    however frequent. A second pass joins whole documents to items by kept seeds: two seeds on nearby
-    diagonals (one, where an item has no more) are a candidate, which Smith-Waterman aligns (match 2, others
-    -1) around there. score is the best score as a share of the item's own; start and end are words of the
+    Seeds are word n-grams of items, A-Z lowered; all are kept, however frequent. Whole documents are joined to
+    items by seeds: two on nearby diagonals (one, for items of at most n + 1 seeds) are a candidate, which
+    Smith-Waterman aligns (match 2, others -1) around there. An edited copy that leaves no two n-grams of an
+    item intact (every third word replaced, at n = 3) is no candidate, even if it would align. score is the best score as a share of the item's own; start and end are words of the
     document that the alignment spans. Rows of threshold or more are returned.
 
     Items go to the tasks in parts of at most about PART_BYTES of text, each part against all documents. Null
@@ -94,48 +91,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, block: int
     out = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        found = _part(rows, _Items(own.orderBy("item_id", "text").collect(), n), block, threshold, *kinds)
+        found = _part(rows, _Items(own.orderBy("item_id", "text").collect(), n), threshold, *kinds)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _part(rows: DataFrame, part: _Items, block: int, threshold: float, doc_kind: str, item_kind: str) -> DataFrame:
+def _part(rows: DataFrame, part: _Items, threshold: float, doc_kind: str, item_kind: str) -> DataFrame:
     known, lengths = part.known, part.lengths
 
-    def count(it):
-        for pdf in it:
-            total = np.zeros(len(known), np.int64)
-            for few in X.pieces([pdf]):
-                hashes, at = word_hashes(few["text"], lower=True)
-                places, seeds = _hits(hashes, at, lengths, known)
-                if len(places):
-                    pair = np.unique(np.stack([np.searchsorted(at, places, side="right"), np.searchsorted(known, seeds)]), axis=1)
-                    total += np.bincount(pair[1], minlength=len(known))
-            some = np.flatnonzero(total)
-            yield pd.DataFrame({"seed": some, "n": total[some]})
-
-    counts = rows.select("text").mapInPandas(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    index = part.index({int(known[r["seed"]]): r["n"] for r in counts}, block)
-    kept = np.array(sorted(index), np.uint64)
-    words, ids = part.words, part.ids
-    total_seeds = defaultdict(int)
-    for places in index.values():
-        for k, _ in places:
-            total_seeds[k] += 1
+    index, words, ids = part.index(), part.words, part.ids
+    least = [1 if len(seeds) <= max(lengths, default=0) + 1 else 2 for seeds in part.seeds]  # one edit can leave a single seed of so few
 
     def match(it):
         for pdf in it:
             found = []
             for few in X.pieces([pdf]):
                 hashes, at = word_hashes(few["text"], lower=True)
-                places, seeds = _hits(hashes, at, lengths, kept)
+                places, seeds = _hits(hashes, at, lengths, known)
                 text_of = np.searchsorted(at, places, side="right") - 1
                 diagonals = defaultdict(list)
                 for d, place, seed in zip(text_of.tolist(), places.tolist(), seeds.tolist(), strict=True):
                     for k, where in index[seed]:
                         diagonals[d, k].append(place - where)
                 for (d, k), all_of in diagonals.items():
-                    best = _best(sorted(all_of), min(2, total_seeds[k]), words[k], hashes[at[d] : at[d + 1]], int(at[d]))
+                    best = _best(sorted(all_of), least[k], words[k], hashes[at[d] : at[d + 1]], int(at[d]))
                     if best and best[0] >= threshold * MATCH * len(words[k]):
                         found.append((few["doc_id"].iloc[d], ids[k], best[0] / (MATCH * len(words[k])), best[1], best[2]))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])

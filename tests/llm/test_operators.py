@@ -199,6 +199,18 @@ def test_decontaminate(spark, docs):
     assert align(a, b) == (4 * MATCH - 1, 6)
 
 
+def test_decontaminate_edited_copies(spark):
+    items = [(k, text(40)) for k in range(20)]
+    rows = []
+    for k, t in items:
+        for first in range(4):
+            w = t.split()
+            w[first::4] = [f"edit{k}x{first}x{j}" for j in range(len(w[first::4]))]  # every fourth word
+            rows.append((4 * k + first, f"{text(30)} {' '.join(w)} {text(30)}"))
+    got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, d // 4) for d in range(80)]
+
+
 def test_line_templates(spark, none):
     rows = [(i, f"Page {i} of 90 in all\n{text(30)}\n{text(40)}\nThe quick brown fox sees {R.choice(WORDS)} every day now") for i in range(12)]
     rows += [(100 + i, "a b c d e f\ng h i j k l") for i in range(12)] + [(200, None), (201, ""), (None, text(9))]
