@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from .text import rolling, starts_within, word_hashes
 
-#: Bits of a key that are sent. Two of the K distinct n-grams share a key with chance K / 2**KEY_BITS.
-KEY_BITS = 48
-_KEEP = ~np.uint64((1 << (64 - KEY_BITS)) - 1)
-
 
 def _grams(texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Keys of all 1-, 2- and 3-grams within documents, where documents begin, and the places at which n-grams end."""
@@ -21,7 +17,7 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     keys, ends = [], []
     for n in (1, 2, 3):
         inside = np.flatnonzero(starts_within(at, n))
-        keys.append(rolling(hashes, n)[inside] & _KEEP)
+        keys.append(rolling(hashes, n)[inside])
         ends.append(inside + n - 1)
     return np.concatenate(keys), at, ends
 
@@ -31,7 +27,8 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
 
     A word's score is count(3-gram) / count(its first 2 words) where the 3-gram occurs at least min_count
     times, else backoff times the same for 2-grams, else backoff twice times count(word) / all words; a
-    document's first words start at the lower order. Words are as written. Count tables are partitioned by
+    document's first words start at the lower order. Words are as written. N-grams are counted by
+    64-bit hashes. Count tables are partitioned by
     hash: each bucket counts its n-grams over all chunks and joins the counts to the n-grams that every chunk
     exploded.
 

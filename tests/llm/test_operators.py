@@ -13,7 +13,7 @@ from subgrove.llm.decontamination import MATCH, align, decontaminate
 from subgrove.llm.line_templates import line_templates
 from subgrove.llm.ngram_jaccard import ngram_jaccard
 from subgrove.llm.quality_rules import POLICIES, RULES, ablation, judged, ledger
-from subgrove.llm.stupid_backoff import stupid_backoff
+from subgrove.llm.stupid_backoff import _grams, stupid_backoff
 from subgrove.llm.substring_dedup import substring_dedup
 from subgrove.llm.toxic_spans import fit, toxic_spans
 from subgrove.llm.vector_packing import Bin, best_fit_packing, plan
@@ -139,6 +139,11 @@ def test_stupid_backoff(docs, none):
     assert stupid_backoff(none).count() == 0
 
 
+def test_stupid_backoff_keys_are_whole():
+    keys = np.unique(_grams([text(300)])[0])
+    assert len(np.unique(keys & np.uint64(0xFFFF))) > len(keys) // 2  # the low bits count, too
+
+
 def test_simple8b_bytes():
     r = np.random.default_rng(2)
     for v in ([], [0] * 5000, r.integers(0, 50000, 9001), [2**64 - 1, 0, 2**60, 2**60 - 1] * 1500):
