@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last
-return the columns of documents; n_chars follows the text. Rows that share a doc_id are decided alike.
+return the columns of documents; n_chars follows the text. Rows that share a doc_id are decided alike,
+but for near duplicates, of which one row stays.
 """
 
 from __future__ import annotations
@@ -43,8 +44,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one of the least doc_id stays."""
-    return _without(docs, ngram_jaccard(docs, n=5, similarity=(75, 100)).where("component_id <> doc_id"))
+    """Of each class of linked rows one stays, that of the least doc_id (a null one only where there is no other)."""
+    docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    classes = ngram_jaccard(docs, n=5, similarity=(75, 100), id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = docs.select("row", "doc_id").join(classes, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

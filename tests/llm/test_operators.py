@@ -253,3 +253,14 @@ def test_toxic_spans(spark, none):
 def test_pipeline_runs(spark):
     corpus = pytest.importorskip("corpus_pipeline")
     assert [k for k, _ in corpus.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "packing"]
+
+
+def test_pipeline_keeps_one_row_of_near_duplicates(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    a, b, c = text(60), text(60), text(60)
+    near = a + " " + text(1)
+    rows = [(3, a), (2, near), (None, a), (5, b), (5, b), (None, c), (None, c), (7, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus.near_duplicates(spark, docs, "").collect()]
+    want = [(2, near), (5, b), (None, c), (7, ""), (None, None), (None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
