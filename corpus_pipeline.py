@@ -70,7 +70,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The model, alignment and tokenizer can't be expressed in SQL; tests hold the stages against plain versions.
+#: The model, alignment and tokenizer can't be expressed in SQL. Tests hold operators against plain versions and run near_duplicates;
+#: the other stages and run() have no test of their rows.
 ORACLE_SQL = None
 
 
