@@ -7,7 +7,7 @@ import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import shared_folder
-from .tokens import encoder
+from .tokens import closed, encoder, slices, tidy
 
 # Fixed values of the format: by selector (the top 4 bits of a word), values in a word and bits of each.
 # Selector 0 is an escape: the word's other bits are a place in the file's list of whole 64-bit values.
@@ -26,58 +26,68 @@ MAGIC, BLOCK, FILE_IDS = b"S8B1", 4096, 1 << 19
 _HEADER = struct.Struct("<4sIQQQQ")
 _COUNT, _BIT = np.array(COUNTS, np.int64), np.array(BITS, np.uint64)
 _ESCAPE = np.uint64((1 << 60) - 1)
+#: Zeros after each block, so that its last word can reach over its end.
+_PAD = max(COUNTS)
+
+
+def _selectors(data: np.ndarray) -> np.ndarray:
+    """For each place of each row, the first selector whose width holds as many values from there on."""
+    need = np.zeros(data.shape, np.uint8)  # selectors too narrow for a value
+    top = int(data.max(initial=0))
+    for s in range(1, 15):
+        if top < 1 << BITS[s]:
+            break
+        need += data >= np.uint64(1) << _BIT[s]
+    best = np.where(need < 14, np.uint8(14), np.uint8(0))
+    reach, seen = need.copy(), 1  # the largest need in the next seen places
+    for s in range(13, 0, -1):
+        step = COUNTS[s] - seen
+        np.maximum(reach[:, :-step], reach[:, step:], out=reach[:, :-step])
+        seen = COUNTS[s]
+        fits = reach < s
+        if not fits.any():
+            break
+        best[fits] = s
+    return best
 
 
 def encode(values: np.ndarray) -> bytes:
     """A file: header (magic, values in a block, values, blocks, words, escapes), the word at which each block
     begins, words, escaped values. Blocks are coded apart, so each can be decoded alone."""
-    values = np.asarray(values, np.uint64)
+    values = np.asarray(values)
     size = len(values)
     blocks = -(-size // BLOCK)
-    data = np.zeros(blocks * BLOCK + 64, np.uint64)
-    data[:size] = values
-    wide = data >= np.uint64(1 << 60)
-    # the first selector whose width holds the values from here on; a block's last word may reach over its end, where it reads zeros
-    best = np.full(len(data), 14, np.int8)
-    here = np.arange(len(data), dtype=np.int32)
-    end_of_block = (here // BLOCK + 1) * BLOCK
-    for s in range(13, 0, -1):
-        bad = data >= np.uint64(1) << _BIT[s]
-        if bad.all():
-            break
-        if bad.any():
-            before = np.zeros(len(data) + 1, np.int32)
-            np.cumsum(bad, out=before[1:])
-            reach = np.minimum(np.minimum(here + np.int32(COUNTS[s]), end_of_block), np.int32(len(data)))
-            best[before[reach] == before[:-1]] = s
-        else:
-            best[:] = s
-    best[wide] = 0
-    at, sel, place = np.arange(blocks) * BLOCK, [], []
-    end = at + np.minimum(BLOCK, size - at)
-    live = np.arange(blocks)
-    owner = []
-    while len(live):
-        here = best[at[live]]
-        sel.append(here)
-        place.append(at[live].copy())
-        owner.append(live)
-        at[live] += _COUNT[here]
-        live = live[at[live] < end[live]]
     if not blocks:
         return _HEADER.pack(MAGIC, BLOCK, 0, 0, 0, 0) + np.zeros(1, "<u8").tobytes()
-    sel, place, owner = np.concatenate(sel), np.concatenate(place), np.concatenate(owner)
-    order = np.argsort(place, kind="stable")
-    sel, place, owner = sel[order].astype(np.int64), place[order], owner[order]
+    width = BLOCK + _PAD
+    data = np.zeros((blocks, width), np.uint64)
+    full = size // BLOCK
+    data[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
+    data[full:, : size - full * BLOCK] = values[full * BLOCK :]
+    best, data = _selectors(data).ravel(), data.ravel()
+    hop = _COUNT[best]
+    row = np.arange(blocks)
+    at, end = row * width, row * width + np.minimum(BLOCK, size - row * BLOCK)
+    steps = []
+    while (live := at < end).any():  # one word of every block at a time; done blocks stand still
+        steps.append(np.where(live, at, -1))
+        at = np.where(live, at + hop[at], at)
+    table = np.stack(steps, axis=1)
+    first = np.zeros(blocks + 1, "<u8")
+    first[1:] = np.cumsum((table >= 0).sum(axis=1))
+    place = table[table >= 0]
+    sel = best[place]
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(1, 15):
         mine = np.flatnonzero(sel == s)
-        for k in range(COUNTS[s] if len(mine) else 0):
-            where = place[mine] + k
-            words[mine] |= np.where(where < end[owner[mine]], data[where], np.uint64(0)) << np.uint64(k * BITS[s])
+        if len(mine):
+            begin = place[mine]
+            own = data[begin]
+            for k in range(1, COUNTS[s]):
+                own |= data[begin + k] << np.uint64(k * BITS[s])
+            words[mine] |= own
     escaped = np.flatnonzero(sel == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
-    first = np.searchsorted(owner, np.arange(blocks + 1)).astype("<u8")
     return _HEADER.pack(MAGIC, BLOCK, size, blocks, len(words), len(escaped)) + first.tobytes() + words.astype("<u8").tobytes() + data[place[escaped]].astype("<u8").tobytes()
 
 
@@ -91,23 +101,25 @@ def decode(raw: bytes, blocks: range | None = None) -> np.ndarray:
     lo, hi = (0, n) if blocks is None else (blocks.start, blocks.stop)
     words = np.frombuffer(raw, "<u8", n_words, _HEADER.size + 8 * (n + 1))[first[lo] : first[hi]]
     size = min(size, hi * block) - lo * block
-    sel = (words >> np.uint64(60)).astype(np.int64)
+    sel = (words >> np.uint64(60)).astype(np.uint8)
     if hi <= lo:
         return np.zeros(0, np.uint64)
-    before = np.cumsum(_COUNT[sel]) - _COUNT[sel]
+    count = _COUNT[sel]
+    before = np.cumsum(count) - count
     owner = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
-    place = owner * block + before - before[first[lo:hi] - first[lo]][owner]
-    limit = np.minimum((owner + 1) * block, size)
-    out = np.zeros(size, np.uint64)
+    width = block + _PAD
+    place = owner * width + before - before[first[lo:hi] - first[lo]][owner]
+    out = np.zeros((hi - lo, width), np.uint64)
+    flat = out.reshape(-1)
     for s in range(1, 15):
         mine = np.flatnonzero(sel == s)
-        for k in range(COUNTS[s] if len(mine) else 0):
-            where = place[mine] + k
-            inside = where < limit[mine]
-            out[where[inside]] = words[mine][inside] >> np.uint64(k * BITS[s]) & np.uint64((1 << BITS[s]) - 1)
+        if len(mine):
+            begin, own, mask = place[mine], words[mine], np.uint64((1 << BITS[s]) - 1)
+            for k in range(COUNTS[s]):
+                flat[begin + k] = own >> np.uint64(k * BITS[s]) & mask
     mine = np.flatnonzero(sel == 0)
-    out[place[mine]] = escapes[(words[mine] & _ESCAPE).astype(np.int64)]
-    return out
+    flat[place[mine]] = escapes[(words[mine] & _ESCAPE).astype(np.int64)]
+    return out[:, :block].reshape(-1)[:size]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -116,7 +128,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     Documents are dealt by ranges of their id, so shards follow one another; each shard is cut into files of
     about half a million ids at document ends. A file is a row (shard, file, n_ids, docs, data) of a Parquet table at
     path, so that any store that Spark writes will do; docs names each document and its number of ids. Null and
-    empty texts have end_id only; null ids come first; ties and repeated rows are ordered by text. Returns path.
+    empty texts have end_id only; null ids come first; rows of one id, and those of null id, are ordered by a hash
+    of their text, then by place, and may lie in several shards, so no id makes a shard large. Very long texts are
+    encoded whole, one at a time, into one file each. An empty table writes no file. Other columns are not read.
+    Returns path.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/subgrove-{uuid.uuid4().hex}"
@@ -125,27 +140,37 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
     def encoded(it):
         shard = TaskContext.get().partitionId()
-        number, held, names, ids_held = 0, [], [], 0
+        number, held, names, sizes, ids_held = 0, [], [], [], 0
         own = encoder(tokenizer)
 
         def file():
-            ids = np.concatenate(held)
-            return pd.DataFrame([(shard, number, len(ids), names, encode(ids))], columns=["shard", "file", "n_ids", "docs", "data"])
-
-        for pdf in X.pieces(it, 200):
-            ids, at = own.encode(pdf["text"].tolist())
-            for doc, s, e in zip(pdf["doc_id"], at, at[1:], strict=False):
-                held.append(np.r_[ids[s:e], np.uint32(end_id)])
-                names.append({"doc_id": None if pd.isna(doc) else doc, "n": int(e - s + 1)})
-                ids_held += int(e - s + 1)
+            ids, docs_of, n = np.concatenate(held), pa.concat_arrays(names), np.concatenate(sizes)
+            inner = pa.StructArray.from_arrays([docs_of, pa.array(n)], names=["doc_id", "n"])
+            row = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)]), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), inner), pa.array([encode(ids)])]
+            return pa.RecordBatch.from_arrays(row, names=["shard", "file", "n_ids", "docs", "data"])
+
+        for batch in slices(it):
+            ids, at = closed(*own.encode(batch.column(1)), end_id)
+            s = 0
+            while s < batch.num_rows:  # as many documents as it takes to fill a file
+                e = min(batch.num_rows, int(np.searchsorted(at, at[s] + FILE_IDS - ids_held)))
+                held.append(ids[at[s] : at[e]])
+                names.append(batch.column(0).slice(s, e - s))
+                sizes.append(np.diff(at[s : e + 1]))
+                ids_held += int(at[e] - at[s])
                 if ids_held >= FILE_IDS:
                     yield file()
-                    number, held, names, ids_held = number + 1, [], [], 0
+                    number, held, names, sizes, ids_held = number + 1, [], [], [], 0
+                s = e
         if held:
             yield file()
+        del held, names, sizes
+        tidy()
 
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(max(1, -(-size // (24 << 20))), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInPandas(encoded, f"shard int, file int, n_ids long, docs array<struct<doc_id:{kind},n:long>>, data binary").write.parquet(path)
+    tied = [F.xxhash64(F.col(text_col)).alias("tie"), F.monotonically_increasing_id().alias("row")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *tied)
+    dealt = rows.repartitionByRange(max(1, -(-size // (24 << 20))), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
+    dealt.mapInArrow(encoded, f"shard int, file int, n_ids long, docs array<struct<doc_id:{kind},n:long>>, data binary").write.parquet(path)
     return path
 
 
@@ -159,13 +184,20 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     starts = in_shard.join(shards.select("shard", "base"), "shard").select("shard", "file", (F.col("base") + F.col("start")).alias("first"))
 
     def decoded(it):
-        for pdf in X.pieces(it, 1):
-            for shard, file, docs, data in zip(pdf["shard"], pdf["file"], pdf["docs"], pdf["data"], strict=True):
-                ids = decode(data).astype("<u4")
-                at = np.r_[0, np.cumsum([d["n"] for d in docs])]
-                rows = [(shard, file, d["doc_id"], int(s), int(e - s), zlib.crc32(ids[s:e].tobytes()), *([ids[s:e]] if with_ids else [])) for d, s, e in zip(docs, at, at[1:], strict=False)]
-                yield pd.DataFrame(rows, columns=["shard", "file", "doc_id", "place", "n_tokens", "ids_crc32", "ids"][: 6 + with_ids])
-
-    rows = table.select("shard", "file", "docs", "data").mapInPandas(decoded, f"shard int, file int, doc_id {kind}, place long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+        for batch in it:
+            for k in range(batch.num_rows):
+                shard, file, docs, data = (c[k] for c in batch.columns)
+                names, n = docs.values.field("doc_id"), docs.values.field("n").to_numpy()
+                ids = decode(data.as_buffer()).astype("<u4")
+                at = np.zeros(len(n) + 1, np.int64)
+                np.cumsum(n, out=at[1:])
+                crc = np.fromiter((zlib.crc32(ids[s:e]) for s, e in zip(at, at[1:], strict=False)), np.int64, len(n))
+                columns = [pa.repeat(shard, len(n)), pa.repeat(file, len(n)), names, pa.array(at[:-1]), pa.array(n), pa.array(crc)]
+                if with_ids:
+                    columns.append(pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int64))).cast(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "file", "doc_id", "place", "n_tokens", "ids_crc32", "ids"][: 6 + with_ids])
+        tidy()
+
+    rows = table.select("shard", "file", "docs", "data").mapInArrow(decoded, f"shard int, file int, doc_id {kind}, place long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     columns = ["n_tokens", "ids_crc32", *(["ids"] * with_ids)]
     return rows.join(starts, ["shard", "file"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), *columns)

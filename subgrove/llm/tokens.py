@@ -1,26 +1,28 @@
-"""Token ids of texts by a public tokenizer, with each distinct word encoded once per worker."""
+"""Token ids of texts by a public tokenizer: words are split and told apart by Arrow, each distinct word is encoded once a worker."""
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by a worker before it starts anew; a bound on its memory.
-CACHED_WORDS = 450_000
+#: Bytes of words and ids that a task keeps before it starts anew, and bytes of text encoded at once: bounds on its memory.
+KEPT_BYTES, TEXT_BYTES = 24 << 20, 6 << 20
+_GROUP = 256
 
 # Texts of other characters, or with white space at an end or next to white space, are encoded whole: only in
 # the rest is it plain from the tokenizer's rules where they cut.
-_BYTE_UNSAFE = "[^\\n\\x20-\\x7e\u00a1-\u024f]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|<\\|"
-_WORD_UNSAFE = "[^\\t-\\r\\x20-\\x7e\u00a1-\u012f\u0131-\u024f]|<\\|"
+_BYTE_UNSAFE = "[^\\n\\x20-\\x7e¡-ɏ]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|<\\|"
+_WORD_UNSAFE = "[^\\t-\\r\\x20-\\x7e¡-įı-ɏ]|<\\|"
 
 
 # A comma or full stop before white space is a piece of its own if a letter or digit is before it.
-_JOINED = "[^0-9A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,][\\t-\\r ]"
+_JOINED = "[^0-9A-Za-zªµºÀ-ÖØ-öø-ɏ][.,][\\t-\\r ]"
 
 
 def _each(texts: pa.Array, changes: list[tuple[str, str]]) -> pa.Array:
@@ -42,12 +44,20 @@ def _word_words(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pc.match_substring_regex(texts, _JOINED), texts, cut)))
 
 
-class _Missing(dict):
-    """Numbers words in the order in which they are first asked for."""
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+
+def _ragged(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(_offsets(sizes)), pa.array(ids.astype(np.uint32, copy=False)))
+
+
+def _flat(found) -> tuple[np.ndarray, np.ndarray]:
+    ids = [e.ids for e in found]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
 
 class Encoder:
@@ -63,16 +73,16 @@ class Encoder:
         by_byte = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind["normalizer"]
         by_word = pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and kind["model"].get("end_of_word_suffix")
         self.unsafe, self.split = (_BYTE_UNSAFE, _byte_words) if by_byte else (_WORD_UNSAFE, _word_words) if by_word else (None, None)
+        suffix = kind["model"].get("end_of_word_suffix")
+        del kind, pre
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = by_byte  # words begin with their space
+        self.spaced = bool(by_byte)  # words begin with their space
         if self.split:
-            self.mark, self.mark_id = self._mark(*((" ", "\u0120", "") if by_byte else ("", "", kind["model"]["end_of_word_suffix"])))
-        self._clear()
+            self.mark, self.mark_id = self._mark(*((" ", "Ġ", "") if by_byte else ("", "", suffix)))
+        self.forget()
 
-    def _clear(self) -> None:
-        self.known = _Missing()
-        self.starts, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.done = self.used = 0
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), _ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _mark(self, glue: str, starts: str, ends: str) -> tuple[str, int]:
         """A word of one id to put between words that are encoded together."""
@@ -82,64 +92,102 @@ class Encoder:
                 return plain, n
         raise ValueError("no word of the tokenizer has one id")
 
-    def _keep(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.r_[self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)]
-        self.counts[numbers] = sizes
-        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def _learn(self) -> None:
-        """Encodes the words that were asked for since the last call: words that a space can go before in groups, with a
-        mark between them, the others and groups in which a word holds the mark's id one by one."""
-        words = list(islice(self.known, self.done, None))
-        if len(self.known) > len(self.starts):
-            self.starts, self.counts = (np.r_[x, np.zeros(len(self.known), np.int64)] for x in (self.starts, self.counts))
-        free = [k for k, w in enumerate(words) if w[:1] == " " or not self.spaced]
-        alone = [k for k, w in enumerate(words) if w[:1] != " " and self.spaced]
-        groups = [free[at : at + 256] for at in range(0, len(free), 256)]
+    def _alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False))
+
+    def _grouped(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that a space can go before, encoded in groups with a mark between them; words of groups in
+        which a word holds the mark's id are encoded one by one."""
+        size = len(words)
         glue = f" {self.mark}" if self.spaced else f" {self.mark} "
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([glue.join(words[k] for k in group) for group in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            marks = np.flatnonzero(ids == self.mark_id)
-            if len(marks) == len(group) - 1:
-                self._keep(self.done + np.array(group), np.diff(np.r_[-1, marks, len(ids)]) - 1, ids[ids != self.mark_id])
+        groups = pa.LargeListArray.from_arrays(pa.array(np.r_[np.arange(0, size, _GROUP), size]), words)
+        ids, sizes = [], []
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(pc.binary_join(groups, pa.scalar(glue, words.type)).to_pylist(), add_special_tokens=False)):
+            own = np.array(found.ids, np.uint32)
+            is_mark = own == self.mark_id
+            marks = np.flatnonzero(is_mark)
+            count = min(_GROUP, size - k * _GROUP)
+            if len(marks) == count - 1:
+                ids.append(own[~is_mark])
+                sizes.append(np.diff(np.r_[-1, marks, len(own)]) - 1)
             else:
-                alone += group
-        for at in range(0, len(alone), 4096):
-            few = alone[at : at + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in few], add_special_tokens=False)]
-            self._keep(self.done + np.array(few), np.fromiter(map(len, found), np.int64, len(found)), np.array([i for x in found for i in x], np.uint32))
-        self.done += len(words)
+                a, b = self._alone(words.slice(k * _GROUP, count))
+                ids.append(a)
+                sizes.append(b)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _known(self, distinct: pa.Array) -> pa.Array:
+        """Ids of distinct words. New ones are encoded and kept, until there are too many."""
+        at = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(pc.is_null(at))
+        if not len(new):
+            return self.ids.take(at)
+        free = pc.starts_with(new, " ") if self.spaced else pa.array(np.ones(len(new), bool))
+        parts = [(new.filter(free), self._grouped), (new.filter(pc.invert(free)), self._alone)]
+        words, ids = [], []
+        for some, encode in parts:
+            if len(some):
+                words.append(some)
+                ids.append(_ragged(*encode(some)))
+        old_words, old_ids = self.words, self.ids
+        if old_words.nbytes + old_ids.nbytes > KEPT_BYTES:
+            mine = at.drop_null().unique()
+            old_words, old_ids = old_words.take(mine), old_ids.take(mine)
+        self.words, self.ids = pa.concat_arrays([old_words, *words]), pa.concat_arrays([old_ids, *ids])
+        return self.ids.take(pc.index_in(distinct, value_set=self.words))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's begin (one more entry at the end)."""
-        if len(self.known) > CACHED_WORDS:
-            self._clear()
-        texts = [t or "" for t in texts]
-        own = pa.array(texts, pa.large_string())
-        unsafe = pc.match_substring_regex(own, self.unsafe) if self.split else pa.array([True] * len(texts), pa.bool_())
-        whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False)).tolist()
-        if len(whole) == len(texts):
-            distinct, all_words, word_at = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        else:
-            cut = self.split(pc.if_else(unsafe, "", own))
+        """Ids of all texts in a row, and where each text's begin (one more entry at the end). texts: strings or an Arrow array of them."""
+        own = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        size = len(own)
+        unsafe = pc.match_substring_regex(own, self.unsafe) if self.split else pa.array(np.ones(size, bool))
+        whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
+        ids, at = np.zeros(0, np.uint32), np.zeros(size + 1, np.int64)
+        if len(whole) < size:
+            cut = self.split(pc.if_else(unsafe, "", own) if len(whole) else own)
             word_at = np.asarray(cut.offsets, np.int64)
             words = cut.flatten().dictionary_encode()
-            distinct = np.fromiter(map(self.known.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-            self._learn()
-            all_words = words.indices.to_numpy()
-        count = self.counts[distinct][all_words]
-        ends = np.r_[0, np.cumsum(count)]
-        ids = self.ids[np.repeat(self.starts[distinct][all_words] - ends[:-1], count) + np.arange(ends[-1])]
-        at = ends[word_at]
-        if not whole:
+            del cut
+            each = self._known(words.dictionary)
+            sizes = pc.list_value_length(each).to_numpy()
+            ends = _offsets(sizes[words.indices.to_numpy()])
+            at = ends[word_at - word_at[0]]
+            ids = each.take(words.indices).flatten().to_numpy()
+        if not len(whole):
             return ids, at
         cut = [ids[s:e] for s, e in zip(at, at[1:], strict=False)]
-        for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True):
+        for k, e in zip(whole.tolist(), self.tokenizer.encode_batch_fast(own.take(pa.array(whole)).to_pylist(), add_special_tokens=False), strict=True):
             cut[k] = np.array(e.ids, np.uint32)
-        return np.concatenate(cut), np.r_[0, np.cumsum([len(x) for x in cut], dtype=np.int64)]
+        return np.concatenate(cut), _offsets(np.fromiter(map(len, cut), np.int64, size))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about limit bytes of text, or of one longer text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        of = np.cumsum(sizes, dtype=np.int64) // limit
+        edge = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+        for s, e in zip(edge, edge[1:], strict=False):
+            if e > s:
+                yield batch.slice(s, e - s)
+
+
+def closed(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts and where they begin, with end_id put after each text."""
+    n = len(at) - 1
+    out, own = np.full(len(ids) + n, end_id, "<u4"), np.ones(len(ids) + n, bool)
+    own[at[1:] + np.arange(n)] = False
+    out[own] = ids
+    return out, at + np.arange(n + 1)
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
 
 
 _encoders: dict[str, Encoder] = {}

@@ -6,15 +6,14 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import stored
-from .exchange import pieces as smaller
-from .tokens import encoder
+from .tokens import closed, encoder, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -78,18 +77,28 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int, most: int, id_col:
     def cut(it):
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(most + 1, np.int64)
-        for pdf in smaller(it, 200):
-            ids, at = own.encode(pdf["text"].tolist())
-            rows = []
-            for doc, s, e in zip(pdf["doc_id"], at, at[1:], strict=False):
-                whole = np.r_[ids[s:e], np.uint32(end_id)].astype("<u4")
-                edge = [0, *range(len(whole) % most or most, len(whole) + 1, most)]
-                for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
-                    rows.append((doc, k, a, b - a, zlib.crc32(whole[a:b].tobytes()), part, seen[b - a]))
-                    seen[b - a] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+        for batch in slices(it):
+            ids, at = closed(*own.encode(batch.column(1)), end_id)
+            n = np.diff(at)
+            count = -(-n // most)  # pieces of each document; only the first may be shorter
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            short = n[doc] - (count[doc] - 1) * most
+            start = np.where(piece > 0, short + (piece - 1) * most, 0)
+            length = np.where(piece > 0, most, short)
+            order = np.argsort(length, kind="stable")
+            ordered = length[order]
+            first = np.searchsorted(ordered, ordered)
+            nth = np.empty(len(doc), np.int64)
+            nth[order] = np.arange(len(doc)) - first + seen[ordered]
+            seen += np.bincount(length, minlength=most + 1)
+            begin = at[doc] + start
+            crc = np.fromiter((zlib.crc32(ids[s:e]) for s, e in zip(begin, begin + length, strict=True)), np.int64, len(doc))
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), *map(pa.array, (start, length, crc)), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        tidy()
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, bin: Bin = Bin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
