@@ -1,6 +1,6 @@
 """Global statistics of hashed keys without a row per key.
 
-Documents are dealt into chunks of a few MB of text by a hash of their id. A chunk sends each distinct
+Documents are dealt into chunks of a few MB of text by their place in the input, so no id, text or source makes a chunk large. A chunk sends each distinct
 key once, with a small number beside it, to the bucket of the key's leading bits; keys of one message are
 sorted and stored as byte planes of their differences. A bucket merges its messages and answers every chunk
 that sent a key. So a key in a third of all documents costs one entry per chunk, no task sees more than a
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import tidy
+
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 21
 MESSAGE = "chunk long, bucket int, size long, keys binary, vals binary"
@@ -44,9 +46,9 @@ def kinds(df: DataFrame) -> str:
 
 
 def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Columns chunk, doc_id and text, and those carried, dealt by chunk; rows of null id share their chunks by text."""
+    """Columns chunk, doc_id and text, and those carried, dealt by chunk. Rows are dealt by place, whatever they hold."""
     n = max(1, math.ceil(size / CHUNK_BYTES))
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col))))
+    key = F.xxhash64(F.monotonically_increasing_id())
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried(carry), F.pmod(key, F.lit(n)).alias("chunk")).repartition(n, "chunk")
 
 
@@ -56,14 +58,20 @@ def buckets(size: int) -> int:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    """The width of a number in bytes (0: one bit each), then the first bytes of all, the second bytes of all, and so on."""
+    top = int(x.max()) if len(x) else 0
+    if top < 2:
+        return b"\0" + np.packbits(x.astype(bool)).tobytes()
+    width = (top.bit_length() + 7) // 8
     return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unplanes(raw: bytes, size: int) -> np.ndarray:
     out = np.zeros((size, 8), np.uint8)
-    if size:
+    if size and raw[0]:
         out[:, : raw[0]] = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], size).T
+    elif size:
+        out[:, 0] = np.unpackbits(np.frombuffer(raw, np.uint8, offset=1), count=size)
     return out.view("<u8").reshape(-1)
 
 
@@ -76,13 +84,19 @@ def unpack(raw: bytes, size: int) -> np.ndarray:
     return np.cumsum(_unplanes(raw, size), dtype=np.uint64)
 
 
-def messages(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int) -> pd.DataFrame:
-    """Distinct sorted keys with their numbers, cut by bucket. Keys lose nothing: a bucket's base is put back on reading."""
-    shift = np.uint64(64 - bits)
+def messages(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, width: int = 64) -> pd.DataFrame:
+    """Distinct sorted keys of so many bits with their numbers, cut by bucket. Keys lose nothing: a bucket's base is put back on reading."""
+    shift = np.uint64(width - bits)
     of = (keys >> shift).astype(np.int64)
-    edge = np.searchsorted(of, np.arange((1 << bits) + 1))
-    rows = [(chunk, b, e - s, pack(keys[s:e] - (np.uint64(b) << shift)), _planes(vals[s:e])) for b, (s, e) in enumerate(zip(edge, edge[1:], strict=False)) if e > s]
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"])
+    edge = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, int)
+    rows = [(chunk, b, e - s, pack(keys[s:e] - (np.uint64(b) << shift)), _planes(vals[s:e])) for b, s, e in zip(of[edge[:-1]].tolist(), edge.tolist(), edge[1:].tolist(), strict=False)]
+    return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"]) if rows else _nothing()
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order (np.unique hashes keys, which is slow)."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
 def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +104,8 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
     if not len(keys):
         return keys, np.zeros(0, np.uint64)
     if weights is None:
-        distinct, count = np.unique(keys, return_counts=True)
-        return distinct, count.astype(np.uint64)
+        found, count = np.unique(keys, return_counts=True)
+        return found, count.astype(np.uint64)
     order = np.argsort(keys, kind="stable")
     keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -106,6 +120,11 @@ def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.
     """
 
     def reduce(key, pdf):
+        out = pd.DataFrame(merged(key, pdf), columns=["chunk", "bucket", "size", "keys", "vals"])
+        tidy()
+        return out if len(out) else _nothing()
+
+    def merged(key, pdf):
         sizes = pdf["size"].to_numpy()
         keys = np.concatenate([unpack(k, n) for k, n in zip(pdf["keys"], sizes, strict=True)])
         vals = np.concatenate([_unplanes(v, n) for v, n in zip(pdf["vals"], sizes, strict=True)])
@@ -124,7 +143,7 @@ def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.
                 rows.append((chunk, key[0], n, b"", _planes(v * keep)))
             elif keep.any():
                 rows.append((chunk, key[0], int(keep.sum()), pack(k[keep]), _planes(v[keep])))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"]) if rows else _nothing()
+        return rows
 
     return sent.groupBy("bucket").applyInPandas(reduce, MESSAGE)
 
@@ -150,32 +169,70 @@ def read(answer: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def look_up(keys: np.ndarray, known: np.ndarray, vals: np.ndarray | None = None) -> np.ndarray:
-    """Whether each key is known, or its number (0: not known)."""
+    """Whether each key is known, or its number (0: not known). known is in order.
+
+    Most keys are ruled out by a bitmap of the leading bits of the known ones, which is faster than a search.
+    """
+    out = np.zeros(len(keys), bool if vals is None else np.uint64)
     if not len(known):
-        return np.zeros(len(keys), bool if vals is None else np.uint64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[at] == keys
-    return hit if vals is None else np.where(hit, vals[at], np.uint64(0))
+        return out
+    shift = np.uint64(64 - min(24, max(8, len(known).bit_length() + 4)))
+    there = np.zeros(1 << (64 - int(shift)), bool)
+    there[known >> shift] = True
+    some = np.flatnonzero(there[keys >> shift])
+    at = np.minimum(np.searchsorted(known, keys[some]), len(known) - 1)
+    hit = known[at] == keys[some]
+    out[some[hit]] = True if vals is None else vals[at[hit]]
+    return out
 
 
-def send(docs: DataFrame, emit: Callable, bits: int, answer: DataFrame | None = None) -> DataFrame:
-    """emit(pdf) or emit(pdf, keys, numbers) gives a chunk's distinct sorted keys and their numbers."""
-    if answer is None:
-        return docs.groupBy("chunk").applyInPandas(lambda key, pdf: messages(key[0], *emit(pdf), bits), MESSAGE)
+#: Added to the buckets of a second answer, where a chunk reads two.
+_SECOND = 1 << 28
+
 
-    def both(key, left, right):
-        return messages(key[0], *emit(left, *read(right, bits)), bits) if len(left) else _nothing()
+def both(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two answers as one."""
+    return first.unionByName(second.withColumn("bucket", F.col("bucket") + _SECOND))
 
-    return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(both, MESSAGE)
+
+def each(answer: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two again."""
+    later = answer["bucket"] >= _SECOND
+    return answer[~later], answer[later].assign(bucket=answer["bucket"][later] - _SECOND)
+
+
+def send(docs: DataFrame, emit: Callable, bits: int, answer: DataFrame | None = None, read_by: Callable | None = None, width: int = 64) -> DataFrame:
+    """emit(pdf) or emit(pdf, *what the chunk reads in its answer) gives a chunk's distinct sorted keys and their numbers.
+
+    An answer is read as keys and numbers, or by read_by.
+    """
+    read_by = read_by or (lambda a: read(a, bits))
+
+    def alone(key, pdf):
+        out = messages(key[0], *emit(pdf), bits, width)
+        tidy()
+        return out
+
+    def answered(key, left, right):
+        out = messages(key[0], *emit(left, *read_by(right)), bits, width) if len(left) else _nothing()
+        tidy()
+        return out
+
+    if answer is None:
+        return docs.groupBy("chunk").applyInPandas(alone, MESSAGE)
+    return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(answered, MESSAGE)
 
 
-def finish(docs: DataFrame, answer: DataFrame, make: Callable, schema: str, bits: int, in_order: bool = False) -> DataFrame:
-    """make(pdf, keys, numbers), or make(pdf, numbers) for an answer in order, gives a chunk's rows."""
+def finish(docs: DataFrame, answer: DataFrame, make: Callable, schema: str, bits: int, read_by: Callable | None = None) -> DataFrame:
+    """make(pdf, *what the chunk reads in its answer) gives a chunk's rows."""
+    read_by = read_by or (lambda a: read(a, bits))
 
-    def both(left, right):
-        return make(left, numbers(right)) if in_order else make(left, *read(right, bits))
+    def made(left, right):
+        out = make(left, *read_by(right))
+        tidy()
+        return out
 
-    return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(both, schema)
+    return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(made, schema)
 
 
 def pieces(docs: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:

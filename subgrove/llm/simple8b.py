@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import shared_folder
-from .tokens import closed, encoder, slices, tidy
+from .text import tidy
+from .tokens import closed, encoder, slices
 
 # Fixed values of the format: by selector (the top 4 bits of a word), values in a word and bits of each.
 # Selector 0 is an escape: the word's other bits are a place in the file's list of whole 64-bit values.

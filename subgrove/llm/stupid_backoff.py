@@ -28,26 +28,50 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
     A word's score is count(3-gram) / count(its first 2 words) where the 3-gram occurs at least min_count
     times, else backoff times the same for 2-grams, else backoff twice times count(word) / all words; a
     document's first words start at the lower order. Words are as written. N-grams are counted by
-    64-bit hashes. Count tables are partitioned by
-    hash: each bucket counts its n-grams over all chunks and joins the counts to the n-grams that every chunk
-    exploded.
+    64-bit hashes. Count tables are partitioned by hash: each bucket counts its n-grams over all chunks and joins
+    the counts to the n-grams that every chunk exploded. Before that, chunks send the leading bits of each n-gram's
+    hash only, six more than it takes to number all n-grams of the corpus: what no other chunk has by these bits
+    no other chunk has at all, so the chunk's own count is the count, and the whole hash stays where it is.
 
     One row per input row: doc_id, n_words, log_score (sum of natural logarithms; 0 without words),
     mean_log_score (null without words), n_trigram, n_bigram, n_unigram (words scored at each order).
-    Null and empty texts have no words. Other columns are not read.
+    Null and empty texts have no words, an empty table no rows; very long texts are counted and scored whole, in a
+    chunk of their own size. Repeated rows and rows of null id count and are scored like others. Other columns are not read.
     """
     total = X.measure(docs, text_col, words=F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")))
     bits = X.buckets(total["bytes"] // 3)
+    short = min(64, max(bits + 8, int(3 * total["words"] + 1).bit_length() + 6))
     parts = X.chunked(docs, total["bytes"], id_col, text_col)
     log_all, log_back = float(np.log(max(total["words"], 1))), float(np.log(backoff))
 
-    def count(pdf):
-        return X.tally(_grams(pdf["text"])[0])
+    def leading(keys):
+        return keys >> np.uint64(64 - short)
 
-    def score(pdf, counts):
+    def probe(pdf):
+        keys = X.distinct(leading(_grams(pdf["text"])[0]))
+        return keys, np.zeros(len(keys), np.uint64)
+
+    def met(number, first):
+        """1 for keys that several chunks sent."""
+        return (np.diff(np.r_[first, len(number)]) > 1).astype(np.uint64)
+
+    def shared(keys, flags):
+        """Of distinct sorted keys, which may be in other chunks too."""
+        ahead = leading(keys)
+        return flags[np.cumsum(np.r_[True, ahead[1:] != ahead[:-1]]) - 1] > 0 if len(keys) else np.zeros(0, bool)
+
+    def count(pdf, flags):
+        keys, own = X.tally(_grams(pdf["text"])[0])
+        out = shared(keys, flags)
+        return keys[out], own[out]
+
+    def score(pdf, flags, counts):
         keys, at, ends = _grams(pdf["text"])
+        distinct, back, own = np.unique(keys, return_inverse=True, return_counts=True)
+        own = own.astype(np.uint64)
+        own[shared(distinct, flags)] = counts
+        found = own[back]
         size, done = int(at[-1]), 0
-        found = counts[np.unique(keys, return_inverse=True)[1]]
         by_order = []
         for places in ends:
             full = np.zeros(size, np.uint64)
@@ -71,7 +95,8 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
         mean = [s / n if n else None for s, n in zip(scores, lengths, strict=True)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": lengths, "log_score": scores, "mean_log_score": pd.Series(mean, dtype=object), "n_trigram": by[3], "n_bigram": by[2], "n_unigram": by[1]})
 
-    counted = X.answers(X.send(parts, count, bits), None, 1, bits, in_order=True)
+    flagged = X.answers(X.send(parts, probe, bits, width=short), met, 0, bits, in_order=True)
+    counted = X.answers(X.send(parts, count, bits, flagged, lambda a: (X.numbers(a),)), None, 1, bits, in_order=True)
     kind = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, log_score double, mean_log_score double, n_trigram long, n_bigram long, n_unigram long"
-    return X.finish(parts, counted, score, schema, bits, in_order=True)
+    return X.finish(parts, X.both(flagged, counted), score, schema, bits, lambda a: map(X.numbers, X.each(a)))

@@ -5,7 +5,11 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, which is what bytes.spli
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -25,22 +29,34 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def tokens(strings: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of strings in a row: the distinct ones, each word's place among them, and where each string's begin (one more entry at the end)."""
+    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(strings))
+    at = np.asarray(cut.offsets, np.int64)
+    found = cut.flatten().dictionary_encode()
+    distinct, places, at = found.dictionary, found.indices.to_numpy(), at - at[0]
+    empty = np.flatnonzero(pc.equal(distinct, "").to_numpy(zero_copy_only=False))
+    if len(empty):  # a string without words is split into one empty word
+        real = places != empty[0]
+        at = np.r_[0, np.cumsum(real)][at]
+        places = places[real]
+    return distinct, places, at
+
+
+def hashed(distinct: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+
+
+def strings(texts) -> pa.Array:
+    """Texts as an Arrow array, nulls as empty ones."""
+    return pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
 
 
 def word_hashes(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in a row, and where each text begins (one more entry at the end)."""
-    known = _Hashes()
-    parts, ends = [], [0]
-    for text in texts:
-        raw = text.encode() if text else b""
-        found = (raw.lower() if lower else raw).split()
-        parts.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
-        ends.append(ends[-1] + len(found))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(ends, np.int64)
+    own = strings(texts)
+    distinct, places, at = tokens(pc.ascii_lower(own) if lower else own)
+    return hashed(distinct)[places], at
 
 
 def _inverse(odd: int) -> int:
@@ -82,3 +98,12 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + n, size), -1)
     return np.cumsum(step[:size]) > 0
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass

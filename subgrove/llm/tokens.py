@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -181,15 +180,6 @@ def closed(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np
     return out, at + np.arange(n + 1)
 
 
-def tidy() -> None:
-    """Gives memory that a worker has freed back to the system; workers live on after a task."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another libc
-        pass
-
-
 _encoders: dict[str, Encoder] = {}
 
 

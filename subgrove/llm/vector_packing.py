@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import stored
-from .tokens import closed, encoder, slices, tidy
+from .text import tidy
+from .tokens import closed, encoder, slices
 
 
 @dataclass(frozen=True)
