@@ -4,117 +4,142 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import stored
 from .ngram_jaccard import ngram_jaccard
-from .text import mix
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a template's hash that are sent.
-_SENT = ~np.uint64(0xFF)
-_FIELD = np.uint64(0xD6E8FEB86659FD93)
-_DIGITS = frozenset(b"0123456789")
-
-
-class _Tokens(dict):
-    """Hashes of tokens; one with a digit in it is a variable field."""
-
-    def __missing__(self, token: bytes) -> int:
-        value = self[token] = int(_FIELD) if not _DIGITS.isdisjoint(token) else xxhash.xxh3_64_intdigest(token)
-        return value
-
-
-class _Tree:
-    """Templates of a chunk's lines: the path is the number of tokens and the first depth tokens, the leaf the rest."""
-
-    def __init__(self, texts, depth: int, least: int, longest: int, fixed: int):
-        hashes = _Tokens()
-        parts, self.counts, self.docs = [], [], []
-        for k, text in enumerate(texts):
-            for line in (text or "").encode().split(b"\n"):
-                own = line.split()
-                self.counts.append(len(own))
-                self.docs.append(k)
-                parts.append(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)))
-        self.counts, self.docs = np.array(self.counts, np.int64), np.array(self.docs, np.int64)
-        tokens = np.concatenate([np.zeros(0, np.uint64), *parts])
-        at = np.r_[0, np.cumsum(self.counts)]
-        place = np.arange(len(tokens)) - np.repeat(at[:-1], self.counts)
-        powers = np.full(int(self.counts.max(initial=0)) + 1, _BASE, np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        terms = tokens * powers[place]
-        sums = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
-        whole = sums[at[1:]] - sums[at[:-1]]
-        lines = np.flatnonzero(self.counts >= least)
-        self.line, keys = [lines], [mix(whole[lines] + self.counts[lines].astype(np.uint64) * _FIELD)]
-        # one more field anywhere below the path, in lines that stay specific enough
-        owner = np.repeat(np.arange(len(self.counts)), self.counts)
-        open_ = np.flatnonzero((place >= depth) & (self.counts[owner] <= longest) & (self.counts[owner] > fixed))
-        owner = owner[open_]
-        varied = whole[owner] - terms[open_] + _FIELD * powers[place[open_]]
-        self.line.append(owner)
-        keys.append(mix(mix(varied + self.counts[owner].astype(np.uint64) * _FIELD) + place[open_].astype(np.uint64)))
-        self.line, self.keys = np.concatenate(self.line), np.concatenate(keys) & _SENT
-
-
-def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, min_tokens: int = 3, max_open: int = 16, min_fixed: int = 6, max_share: float = 0.5, copies: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Drops lines of templates that at least min_docs documents have.
-
-    A line's place in the tree is its number of tokens, then its first depth tokens; its leaf is the rest of
-    its tokens. Tokens with a digit are variable fields everywhere. A line of more than min_fixed and at most
-    max_open tokens is also counted with each token below the path made a field in turn, so templates that
-    differ in one more field of any kind are one. Lines of fewer than min_tokens tokens have no template. The
-    result does not depend on the order of lines or documents.
-
-    Recurring lines mark boilerplate inside a document. Where more than max_share of a document's tokens would
-    go, it may be a copy of others rather than a carrier of boilerplate: such documents are compared with each
-    other, and one that the Jaccard join links with another at copies (num, den) is left whole, to near-duplicate
-    detection at that similarity, which leaves one of its class. All others lose their recurring lines, whatever
-    their share. One row per input row: doc_id, text (kept lines), n_lines, n_recurring (lines of
-    recurring templates), n_dropped. Null texts stay null with 0 lines, empty texts have one line. Repeated rows
-    count as documents. Columns named in carry are
-    returned too; others are not read.
+from .text import hashed, mix, strings, tokens
+
+_U = np.uint64
+_FIELD, _STEP, _COUNT = _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15), _U(0xA0761D6478BD642F)
+_ALWAYS = np.iinfo(np.int64).max
+
+
+class Lines:
+    """The lines of a chunk's texts in the tree: a line's node is its number of tokens and its first depth tokens."""
+
+    def __init__(self, texts, depth: int):
+        cut = pc.split_pattern(strings(texts), "\n")
+        self.at = np.asarray(cut.offsets, np.int64)  # lines of each text
+        self.at = self.at - self.at[0]
+        distinct, places, self.begin = tokens(cut.flatten())
+        names = hashed(distinct)
+        names[pc.match_substring_regex(distinct, "[0-9]").to_numpy(zero_copy_only=False)] = _FIELD
+        self.tokens = names[places]
+        self.counts = np.diff(self.begin)
+        self.line = np.repeat(np.arange(len(self.counts)), self.counts)  # of each token
+        place = np.arange(len(self.tokens)) - self.begin[self.line]
+        self.leading = place < depth
+        self.terms = mix(self.tokens ^ mix(place.astype(np.uint64) * _STEP + _COUNT))
+        self.node = self._sums(self.leading)
+
+    def _sums(self, taken: np.ndarray) -> np.ndarray:
+        """Of each line, a hash of its number of tokens and of the tokens taken, at their places."""
+        sums = np.zeros(len(self.tokens) + 1, np.uint64)
+        np.cumsum(np.where(taken, self.terms, _U(0)), out=sums[1:])
+        return mix(sums[self.begin[1:]] - sums[self.begin[:-1]] + self.counts.astype(np.uint64) * _COUNT)
+
+    def below(self) -> np.ndarray:
+        """Of each token after the leading ones, its key: what it is and where, below which node."""
+        own = np.flatnonzero(~self.leading)
+        return mix(self.node[self.line[own]] + self.terms[own])
+
+    def templates(self, often: np.ndarray, least: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """The lines that have a template, and its key. often: in how many lines each token of below() is."""
+        seen = np.full(len(self.tokens), _ALWAYS)
+        seen[~self.leading] = np.where(often >= least, often, 0)
+        needed = np.maximum(np.ceil(self.counts * similarity - 1e-9).astype(np.int64), 1)
+        filled = np.bincount(self.line[seen > 0], minlength=len(self.counts)) >= needed
+        worded = np.bincount(self.line[self.tokens != _FIELD], minlength=len(self.counts)) > 0
+        lines = np.flatnonzero(filled & worded)
+        if not len(lines):
+            return lines, np.zeros(0, np.uint64)
+        some = np.flatnonzero((filled & worded)[self.line])
+        order = some[np.lexsort((-seen[some], self.line[some]))]
+        first = np.r_[0, np.cumsum(self.counts[lines])[:-1]]
+        level = np.zeros(len(self.counts), np.int64)
+        level[lines] = seen[order][first + needed[lines] - 1]
+        kept = self.leading.copy()
+        kept[some] |= (seen[some] > 0) & (seen[some] >= level[self.line[some]] // 2)
+        return lines, self._sums(kept)[lines]
+
+
+def _by_document(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how many documents have them."""
+    order = np.lexsort((doc, keys))
+    keys, doc = keys[order], doc[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    return X.tally(keys[new])
+
+
+def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, similarity: float = 0.75, copies: tuple[int, int] | None = None, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Drops every line whose template at least min_docs documents have.
+
+    The tree has a fixed depth: a line (between line ends) goes down by its number of tokens, then by its first depth
+    tokens, and arrives at a node. Tokens with a digit are one and the same token, a field. At a node, each further
+    token is counted at its place over all lines of the corpus. The level of a line is the largest count that at
+    least similarity of its tokens reach, the leading ones included; the tokens whose count is half of the level or
+    more stay in its template, and all others are fields, any number of them. Lines of which too few tokens are in
+    min_docs lines at their places have no template, and can't recur; nor have lines of fields only. Documents are
+    then counted by template. Counts are sums, so the result does not depend on the order of lines or documents, and
+    a node may hold any number of lines. Templates and tokens are compared by 64-bit hashes.
+
+    copies (num, den), for corpora from which near duplicates are still to be removed: where more than max_share of
+    a document's tokens would go and the Jaccard join links it with another such document at that similarity, it is
+    left whole. By default nothing is exempt.
+
+    One row per input row: doc_id, text (kept lines), n_lines, n_recurring (lines of recurring templates), n_dropped.
+    Null texts stay null with 0 lines, empty texts have one line; an empty table gives no rows. Very long texts and
+    lines are taken whole. Rows of null id and repeated rows count as documents. Columns named in carry are returned
+    too; others are not read.
     """
     size = X.measure(docs, text_col)["bytes"]
-    bits = X.buckets(size // 20)
+    bits = X.buckets(size // 6)
     parts = X.chunked(docs, size, id_col, text_col, carry)
 
-    def emit(pdf):
-        tree = _Tree(pdf["text"], depth, min_tokens, max_open, min_fixed)
-        order = np.lexsort((tree.docs[tree.line], tree.keys))
-        keys, doc = tree.keys[order], tree.docs[tree.line][order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
-        return X.tally(keys[new])
-
-    def cut(pdf, known, _):
-        tree = _Tree(pdf["text"], depth, min_tokens, max_open, min_fixed)
-        recurring = np.zeros(len(tree.counts), bool)
-        recurring[tree.line[X.look_up(tree.keys, known)]] = True
-        at = np.searchsorted(tree.docs, np.arange(len(pdf) + 1))
+    def places(pdf):
+        return X.tally(Lines(pdf["text"], depth).below())
+
+    def named(lines, known, count):
+        return lines.templates(X.look_up(lines.below(), known, count), min_docs, similarity)
+
+    def emit(pdf, known, count):
+        lines = Lines(pdf["text"], depth)
+        own, keys = named(lines, known, count)
+        doc = np.searchsorted(lines.at, own, side="right") - 1
+        return _by_document(keys, doc)
+
+    def cut(pdf, tokens_seen, seen):
+        lines = Lines(pdf["text"], depth)
+        own, keys = named(lines, *X.read(tokens_seen, bits))
+        recurring = np.zeros(len(lines.counts), bool)
+        recurring[own[X.look_up(keys, X.read(seen, bits)[0])]] = True
         rows = []
-        for k, (doc, text, s, e) in enumerate(zip(pdf["doc_id"], pdf["text"], at, at[1:], strict=False)):
-            again, count = recurring[s:e], tree.counts[s:e]
+        chunk = int(pdf["chunk"].iloc[0]) << 32
+        for k, (doc, text, s, e) in enumerate(zip(pdf["doc_id"], pdf["text"], lines.at, lines.at[1:], strict=False)):
+            again, count = recurring[s:e], lines.counts[s:e]
             n = int(again.sum())
             less = "\n".join(x for x, r in zip(text.split("\n"), again.tolist(), strict=True) if not r) if n else text
-            open_ = bool(n) and count[again].sum() > max_share * count.sum()
-            number = (int(pdf["chunk"].iloc[0]) << 32) + k
-            rows.append((doc, text if open_ else less, e - s if text is not None else 0, n, 0 if open_ else n, less if open_ else None, number))
-        out = pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_recurring", "n_dropped", "less", "row"])
+            whole = text if n and count[again].sum() > max_share * count.sum() and copies else None
+            rows.append((doc, less, e - s if text is not None else 0, n, n, whole, chunk + k))
+        out = pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_recurring", "n_dropped", "whole", "row"])
         return out.assign(**{c: pdf[c].array for c in pdf if c.startswith("carry_")})
 
-    often = X.answers(X.send(parts, emit, bits), None, min_docs, bits)
+    usual = X.answers(X.send(parts, places, bits), None, min_docs, bits)
+    often = X.answers(X.send(parts, emit, bits, usual), None, min_docs, bits)
     kind = parts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_lines long, n_recurring long, n_dropped long, less string, row long{X.kinds(parts)}"
-    rows = stored(X.finish(parts, often, cut, schema, bits))
-    open_ = rows.where("less IS NOT NULL")
-    linked = ngram_jaccard(open_, similarity=copies, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    schema = f"doc_id {kind}, text string, n_lines long, n_recurring long, n_dropped long, whole string, row long{X.kinds(parts)}"
+    rows = X.finish(parts, X.both(usual, often), cut, schema, bits, X.each)
+    if not copies:
+        return X.handed(rows.drop("whole", "row"), carry)
+    rows = stored(rows)
+    open_ = rows.where("whole IS NOT NULL")
+    linked = ngram_jaccard(open_, similarity=copies, id_col="row", text_col="whole").select(F.col("doc_id").alias("row"), "component_id")
     classes = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
     copy = linked.join(classes, "component_id", "left_semi").select("row", F.lit(True).alias("copy"))
-    decided = open_.join(copy, "row", "left").withColumns({"text": F.when(F.col("copy"), F.col("text")).otherwise(F.col("less")), "n_dropped": F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("n_recurring"))})
-    return X.handed(rows.where("less IS NULL").unionByName(decided.drop("copy")).drop("less", "row"), carry)
+    decided = open_.join(copy, "row", "left").withColumns({"text": F.when(F.col("copy"), F.col("whole")).otherwise(F.col("text")), "n_dropped": F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("n_dropped"))})
+    return X.handed(rows.where("whole IS NULL").unionByName(decided.drop("copy")).drop("whole", "row"), carry)

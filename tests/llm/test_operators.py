@@ -1,5 +1,6 @@
 """Operators against plain versions, on small rows that hold nulls, empty texts, ties and clashing columns."""
 
+import math
 import random
 from collections import Counter
 
@@ -216,15 +217,74 @@ def test_decontaminate_edited_copies(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, d // 4) for d in range(80)]
 
 
+def plain_templates(texts, depth=2, min_docs=8, similarity=0.75):
+    """Which lines of each text recur, by counting in dictionaries."""
+    def mask(token):
+        return "#" if any(c in "0123456789" for c in token) else token
+
+    split = [[[mask(x) for x in line.split()] for line in t.split("\n")] if t is not None else [] for t in texts]
+    count = Counter((len(w), *w[:depth], p, w[p]) for lines in split for w in lines for p in range(depth, len(w)))
+
+    def template(w):
+        seen = [math.inf if p < depth else count[(len(w), *w[:depth], p, w[p])] for p in range(len(w))]
+        seen = [n if n >= min_docs else 0 for n in seen]
+        if not w or set(w) == {"#"}:
+            return None
+        level = sorted(seen, reverse=True)[math.ceil(len(w) * similarity) - 1]
+        if not level:
+            return None
+        return (len(w), *(x if p < depth or n and n >= (n if level == math.inf else level // 2) and (level < math.inf or n == math.inf) else None for p, (x, n) in enumerate(zip(w, seen, strict=True))))
+
+    named = [[template(w) for w in lines] for lines in split]
+    docs = Counter(t for lines in named for t in set(lines) if t)
+    return [[t is not None and docs[t] >= min_docs for t in lines] for lines in named]
+
+
+def check_templates(spark, texts):
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in line_templates(spark.createDataFrame(rows, "doc_id long, text string, chunk string, bucket int")).collect()}
+    for i, again in enumerate(plain_templates(texts)):
+        kept = None if texts[i] is None else "\n".join(x for x, r in zip(texts[i].split("\n"), again, strict=True) if not r)
+        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_recurring"], got[i]["n_dropped"]) == (kept, len(again), sum(again), sum(again))
+    return got
+
+
 def test_line_templates(spark, none):
     rows = [(i, f"Page {i} of 90 in all\n{text(30)}\n{text(40)}\nThe quick brown fox sees {R.choice(WORDS)} every day now") for i in range(12)]
     rows += [(100 + i, "a b c d e f\ng h i j k l") for i in range(12)] + [(200, None), (201, ""), (None, text(9))]
-    got = {r["doc_id"]: r for r in line_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_templates(docs).collect()}
     for i in range(12):
         assert got[i]["text"] == "\n".join(rows[i][1].split("\n")[1:3]) and got[i]["n_dropped"] == 2
-        assert got[100 + i]["text"] == rows[12 + i][1] and got[100 + i]["n_recurring"] == 2  # a copy is left whole
+        assert got[100 + i]["text"] == "" and got[100 + i]["n_dropped"] == 2  # nothing is exempt
     assert got[200]["text"] is None and got[201]["text"] == ""
-    assert line_templates(none).count() == 0
+    got = {r["doc_id"]: r for r in line_templates(docs, copies=(75, 100)).collect()}
+    for i in range(12):
+        assert got[i]["n_dropped"] == 2
+        assert got[100 + i]["text"] == rows[12 + i][1] and got[100 + i]["n_recurring"] == 2  # a copy is left whole where that is asked for
+    assert line_templates(none).count() == 0 and line_templates(none, copies=(75, 100)).count() == 0
+
+
+def test_line_templates_against_counts(spark):
+    r = random.Random(8)
+    def pick(n):
+        return r.choice(WORDS[:n])
+
+    frames = [(20, "Written by"), (9, "Seen on"), (4, "Read at")]
+    texts = [None, "", " \n\t", "12 13\n7", "one", *["12 13", "7"] * 9, *["Share this"] * 8, *["Too few"] * 7]
+    for n, words in frames:
+        rest = [pick(200) for _ in range(20)]
+        for k in range(n):
+            own = list(rest)
+            for p in (2, 7, 12):  # three fields, one of them of few values
+                own[p] = WORDS[k % 3] if p == 2 else pick(400)
+            texts.append(f"{text(12)}\n{words} {' '.join(own)} in {1900 + k}\n{text(6)}\n{words} {' '.join(own)} in {1900 + k}")
+    for k in range(30):  # nodes that several templates and other lines share
+        texts.append("\n".join(" ".join(["the", "old", *(pick(4) for _ in range(6))]) for _ in range(3)))
+    got = check_templates(spark, texts)
+    found = sum(r["n_dropped"] == 2 for r in got.values())
+    assert found >= 29  # both long frames
+    check_templates(spark, ["same words in every line"] * 9 + [text(50)])
 
 
 def test_line_templates_of_most_of_a_document(spark):
@@ -232,11 +292,13 @@ def test_line_templates_of_most_of_a_document(spark):
     rows = [(i, f"{often}\n{text(20)}") for i in range(12)] + [(50, often)]  # 60% boilerplate; nothing but boilerplate
     base = "\n".join(text(25) for _ in range(4))
     rows += [(100 + i, base.replace(base.split()[7 + i], "edit", 1)) for i in range(12)]  # near copies
-    got = {r["doc_id"]: r for r in line_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_templates(docs, copies=(75, 100)).collect()}
     for i in range(12):
         assert got[i]["text"] == rows[i][1].split("\n")[1] and (got[i]["n_recurring"], got[i]["n_dropped"]) == (1, 1)
         assert got[100 + i]["text"] == rows[13 + i][1] and got[100 + i]["n_recurring"] >= 3 and got[100 + i]["n_dropped"] == 0
     assert got[50]["text"] == "" and got[50]["n_dropped"] == 1
+    assert all(r["n_dropped"] == r["n_recurring"] for r in line_templates(docs).collect())
 
 
 def test_toxic_spans(spark, none):
