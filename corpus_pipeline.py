@@ -38,8 +38,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; every document stays."""
-    out = line_templates(docs, carry=("lang", "source", "n_chars"))
+    """Lines of recurring templates go; every document stays, and copies stay whole for the next stage, which keeps one of them."""
+    out = line_templates(docs, copies=(75, 100), carry=("lang", "source", "n_chars"))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
