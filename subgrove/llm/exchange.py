@@ -45,9 +45,9 @@ def kinds(df: DataFrame) -> str:
     return "".join(f", {f.name} {f.dataType.simpleString()}" for f in df.schema if f.name.startswith("carry_"))
 
 
-def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Columns chunk, doc_id and text, and those carried, dealt by chunk. Rows are dealt by place, whatever they hold."""
-    n = max(1, math.ceil(size / CHUNK_BYTES))
+    n = max(1, math.ceil(size / chunk_bytes))
     key = F.xxhash64(F.monotonically_increasing_id())
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried(carry), F.pmod(key, F.lit(n)).alias("chunk")).repartition(n, "chunk")
 
@@ -235,8 +235,14 @@ def finish(docs: DataFrame, answer: DataFrame, make: Callable, schema: str, bits
     return docs.groupBy("chunk").cogroup(answer.groupBy("chunk")).applyInPandas(made, schema)
 
 
-def pieces(docs: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """The same rows in smaller frames, so that what is made of them stays small."""
+def pieces(docs: Iterator[pd.DataFrame], rows: int = 500, chars: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller frames, of about so many characters of text or of one longer text, so that what is made of them stays small."""
     for pdf in docs:
-        for at in range(0, len(pdf), rows):
-            yield pdf.iloc[at : at + rows]
+        if "text" in pdf:
+            of = pdf["text"].str.len().fillna(0).to_numpy(np.int64).cumsum() // chars
+            edge = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(pdf)]
+        else:
+            edge = np.array([0, len(pdf)])
+        for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            for at in range(s, e, rows):
+                yield pdf.iloc[at : min(at + rows, e)]

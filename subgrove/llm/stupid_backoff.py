@@ -41,7 +41,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
     total = X.measure(docs, text_col, words=F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")))
     bits = X.buckets(total["bytes"] // 3)
     short = min(64, max(bits + 8, int(3 * total["words"] + 1).bit_length() + 6))
-    parts = X.chunked(docs, total["bytes"], id_col, text_col)
+    parts = X.chunked(docs, total["bytes"], id_col, text_col, chunk_bytes=2 * X.CHUNK_BYTES)  # larger: n-grams that recur within one are sent once
     log_all, log_back = float(np.log(max(total["words"], 1))), float(np.log(backoff))
 
     def leading(keys):
@@ -67,10 +67,15 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
 
     def score(pdf, flags, counts):
         keys, at, ends = _grams(pdf["text"])
-        distinct, back, own = np.unique(keys, return_inverse=True, return_counts=True)
-        own = own.astype(np.uint64)
-        own[shared(distinct, flags)] = counts
-        found = own[back]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        often, keys = np.diff(np.r_[first, len(keys)]), keys[first]
+        own = often.astype(np.uint64)
+        own[shared(keys, flags)] = counts
+        found = np.empty(len(order), np.uint64)
+        found[order] = np.repeat(own, often)
+        del order, keys
         size, done = int(at[-1]), 0
         by_order = []
         for places in ends:
