@@ -9,14 +9,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from .text import tidy
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: Tokens to either side that a marginal depends on; beyond, the chain has long forgotten.
-REACH = 24
-_SEGMENT = 64
+#: Tokens of a row in which the recursions of many texts go side by side.
+_ROW = 64
 
 
 def features(token: str) -> list[str]:
@@ -29,6 +30,64 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class Sequences:
+    """Texts one after another (text k at at[k]:at[k + 1]), laid out so that recursions over all of them are done
+    place by place: in rows of _ROW tokens, each row of one text."""
+
+    def __init__(self, at: np.ndarray):
+        self.at, lengths = at, np.diff(at)
+        rows = -(-lengths // _ROW)
+        self.size, self.rows, self.first = int(at[-1]), rows, np.cumsum(rows) - rows
+        self.width = int(rows.sum())
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(self.size) - at[text]
+        self.cell = place % _ROW * self.width + self.first[text] + place // _ROW
+        self.back = at[text + 1] - 1 - place  # the same text from its end
+        self.text, self.begins = text, place == 0
+        self.heads = np.zeros(self.width, bool)
+        self.heads[self.first[rows > 0]] = True
+
+    def forward(self, gain: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Of each token, the odds of state 1 against state 0 by all tokens up to it. gain: exp of its own log-odds."""
+        own = np.ones((_ROW, self.width))
+        own.reshape(-1)[self.cell] = gain
+        (s00, s01), (s10, s11) = step
+        if self.rows.max(initial=0) > 1:
+            # what a row makes of either state before it
+            a0, a1, b0, b1 = np.ones(self.width), np.zeros(self.width), np.zeros(self.width), np.ones(self.width)
+            for k in range(_ROW):
+                a0, a1, b0, b1 = s00 * a0 + s10 * a1, own[k] * (s01 * a0 + s11 * a1), s00 * b0 + s10 * b1, own[k] * (s01 * b0 + s11 * b1)
+                if k == 0:
+                    a0, b0 = np.where(self.heads, 1.0, a0), np.where(self.heads, 1.0, b0)
+                    a1, b1 = np.where(self.heads, own[0], a1), np.where(self.heads, own[0], b1)
+                if k % 4 == 3:
+                    scale = a0 + a1 + b0 + b1
+                    a0, a1, b0, b1 = a0 / scale, a1 / scale, b0 / scale, b1 / scale
+        before = np.ones(self.width)
+        live, k = np.flatnonzero(self.rows > 1), 0
+        while len(live):  # from row to row of every text
+            row = self.first[live] + k
+            before[row + 1] = (a1[row] + b1[row] * before[row]) / (a0[row] + b0[row] * before[row])
+            k += 1
+            live = live[self.rows[live] > k + 1]
+        odds = np.empty_like(own)
+        now = before
+        for k in range(_ROW):
+            now = own[k] * (s01 + s11 * now) / (s00 + s10 * now)
+            if k == 0:
+                now = np.where(self.heads, own[0], now)
+            odds[k] = now
+        return odds.reshape(-1)[self.cell]
+
+    def both(self, gain: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Odds by all tokens up to each, and from each on; both hold its own gain."""
+        return self.forward(gain, step), self.forward(gain[self.back], step.T)[self.back]
+
+
+def _exp(x):
+    return np.exp(np.clip(x, -40, 40))
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights of features, bias and transition weights of the chain, and the calibration of document scores."""
@@ -42,31 +101,14 @@ class Model:
         """What a token adds to the log-odds of being toxic, beside the bias; 0 for most."""
         return sum(self.weights.get(f, 0.0) for f in features(token))
 
-    def marginals(self, gains: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places with a gain and their marginals, by forward and backward recursions over log-odds.
-
-        Both begin from their fixed points on neutral tokens, REACH tokens away or at a text's ends.
-        """
-        events = np.flatnonzero(gains)
-        if not len(events):
-            return events, np.zeros(0)
-        (t00, t01), (t10, t11) = np.exp(np.array(self.chain))
-        ahead = lambda r: np.log((t01 + t11 * np.exp(r)) / (t00 + t10 * np.exp(r)))
-        back = lambda r: np.log((t10 + t11 * np.exp(r)) / (t00 + t01 * np.exp(r)))
-        text = np.searchsorted(at, events, side="right") - 1
-        first, last = at[text], at[text + 1]
-        forward, backward = np.full(len(events), self.bias), np.zeros(len(events))
-        for _ in range(REACH):
-            forward, backward = self.bias + ahead(forward), back(self.bias + backward)
-        for k in range(-REACH, 1):
-            where = events + k
-            here = np.where((where >= first), gains[np.maximum(where, 0)], 0.0) + self.bias
-            forward = np.clip(here + ahead(forward), -40, 40)
-        for k in range(REACH, 0, -1):
-            where = events + k
-            here = np.where(where < last, gains[np.minimum(where, len(gains) - 1)], 0.0) + self.bias
-            backward = np.clip(back(here + backward), -40, 40)
-        return events, _sigmoid(forward + backward)
+    def marginals(self, gains: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of every token, the probability of being toxic, given all tokens of its text."""
+        if not len(gains):
+            return np.zeros(0)
+        own = _exp(self.bias + gains)
+        up, down = Sequences(at).both(own, np.exp(np.array(self.chain)))
+        odds = up * down / own
+        return odds / (1 + odds)
 
     def document(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
         a, b, c = self.score
@@ -85,47 +127,28 @@ def _selected(docs: list[np.ndarray], own: list[list[int]], n: int, toxic: np.nd
     return np.flatnonzero((a >= 3) & (g >= least_g) & ((a + 0.5) / (n1 + 1) >= least_ratio * (c + 0.5) / (n0 + 1)))
 
 
-def _train_chain(gain_at: list[tuple[int, int, list[int]]], labels: np.ndarray, real: np.ndarray, n_features: int, rounds: int = 120):
-    """Maximum likelihood with a small ridge, by Adam. gain_at: segment, place, features; labels and real: segments by places."""
-    shape = labels.shape
-    cell = np.array([s * shape[1] + p for s, p, fs in gain_at for _ in fs], np.int64)
-    feat = np.array([f for _, _, fs in gain_at for f in fs], np.int64)
+def _train_chain(place: np.ndarray, feature: np.ndarray, labels: np.ndarray, at: np.ndarray, n_features: int, rounds: int = 80):
+    """Maximum likelihood over whole texts with a small ridge, by Adam. place and feature: which tokens have which features."""
+    texts = Sequences(at)
     theta = np.zeros(n_features + 5)
     theta[n_features] = -3.0
     m = v = np.zeros_like(theta)
-    both = real[:, 1:] & real[:, :-1]
-    for step in range(1, rounds + 1):
-        e = (theta[n_features] + np.bincount(cell, theta[feat], shape[0] * shape[1])).reshape(shape)
-        chain = np.exp(theta[n_features + 1 :].reshape(2, 2))
-        emit = np.stack([np.ones(shape), np.exp(np.clip(e, -30, 30))], axis=2)
-        emit[~real] = 1.0
-        alpha, beta = np.empty_like(emit), np.empty_like(emit)
-        alpha[:, 0] = emit[:, 0] / emit[:, 0].sum(axis=1, keepdims=True)
-        for t in range(1, shape[1]):
-            x = alpha[:, t - 1] @ chain * emit[:, t]
-            x = np.where(real[:, t, None], x, alpha[:, t - 1])
-            alpha[:, t] = x / x.sum(axis=1, keepdims=True)
-        beta[:, -1] = 1
-        for t in range(shape[1] - 2, -1, -1):
-            x = (emit[:, t + 1] * beta[:, t + 1]) @ chain.T
-            x = np.where(real[:, t + 1, None], x, 1.0)
-            beta[:, t] = x / x.sum(axis=1, keepdims=True)
-        p = alpha * beta
-        p = p[:, :, 1] / p.sum(axis=2)
-        miss = np.where(real, labels - p, 0.0).ravel()
-        grad = np.zeros_like(theta)
-        grad[:n_features] = np.bincount(feat, miss[cell], n_features) if len(feat) else 0.0
-        grad[n_features] = miss.sum()
-        pair = alpha[:, :-1, :, None] * chain * (emit[:, 1:] * beta[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        a, b = labels[:, :-1].astype(int), labels[:, 1:].astype(int)
-        for i in (0, 1):
-            for j in (0, 1):
-                grad[n_features + 1 + 2 * i + j] = (((a == i) & (b == j)) - pair[:, :, i, j])[both].sum()
-        grad = grad / max(1, shape[0]) - 1e-4 * theta
+    later = np.flatnonzero(~texts.begins)
+    pair = np.bincount(2 * labels[later - 1] + labels[later], minlength=4)
+    for turn in range(1, rounds + 1):
+        own = _exp(theta[n_features] + np.bincount(place, theta[feature], texts.size))
+        step = np.exp(theta[n_features + 1 :].reshape(2, 2))
+        up, down = texts.both(own, step)
+        odds = up * down / own
+        miss = labels - odds / (1 + odds)
+        f, r = up[later - 1], down[later]
+        w10, w11, w01 = step[1, 0] * f, step[1, 1] * f * r, step[0, 1] * r
+        total = step[0, 0] + w01 + w10 + w11
+        expected = np.array([(step[0, 0] / total).sum(), (w01 / total).sum(), (w10 / total).sum(), (w11 / total).sum()])
+        grad = np.r_[np.bincount(feature, miss[place], n_features), miss.sum(), pair - expected] / max(1, len(at) - 1) - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return theta[:n_features], float(theta[n_features]), tuple(map(tuple, theta[n_features + 1 :].reshape(2, 2)))
+        theta = theta + 0.2 * (1 - turn / rounds) ** 0.5 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
+    return theta[:n_features], float(theta[n_features]), tuple(map(tuple, theta[n_features + 1 :].reshape(2, 2).tolist()))
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
@@ -149,24 +172,20 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     spelt = list(words)
     tokens = docs
     del names, own
-    known = np.array(sorted(marked), np.int32)
-    gain_at, rows, real = [], [], []
-    for t, bad in zip(tokens, y, strict=True):
-        hits = np.flatnonzero(np.isin(t, known)).tolist()
-        for s in sorted({0, *(k // _SEGMENT for k in hits)}):
-            part = t[s * _SEGMENT : (s + 1) * _SEGMENT].tolist()
-            gain_at += [(len(rows), k, marked[w]) for k, w in enumerate(part) if w in marked]
-            rows.append([float(bad and w in marked) for w in part] + [0.0] * (_SEGMENT - len(part)))
-            real.append([True] * len(part) + [False] * (_SEGMENT - len(part)))
-    weights, bias, chain = _train_chain(gain_at, np.array(rows), np.array(real), len(chosen))
+    at = np.r_[0, np.cumsum([len(t) for t in tokens])]
+    words_of = np.concatenate(tokens)
+    has = np.zeros(len(words), bool)
+    has[list(marked)] = True
+    where = np.flatnonzero(has[words_of])
+    few = [marked[w] for w in words_of[where].tolist()]
+    place, feature = np.repeat(where, [len(x) for x in few]), np.array([f for x in few for f in x], np.int64)
+    labels = (has[words_of] & np.repeat(y, np.diff(at))).astype(np.int64)
+    weights, bias, chain = _train_chain(place, feature, labels, at, len(chosen))
     model = Model(dict(zip(chosen, weights.tolist(), strict=True)), bias, chain)
     gain = {w: model.emission(spelt[w]) for w in marked}
     by_word = np.zeros(len(words))
     by_word[list(gain)] = list(gain.values())
-    gains = by_word[np.concatenate(tokens)]
-    at = np.r_[0, np.cumsum([len(t) for t in tokens])]
-    events, p = model.marginals(gains, at)
-    total, most = _totals(np.searchsorted(at, events, side="right") - 1, p, len(y))
+    total, most = _totals(model.marginals(by_word[words_of], at), at)
     x = np.c_[np.ones(len(y)), np.log1p(total), most]
     c = np.zeros(3)
     for _ in range(50):  # Newton steps of a logistic regression with a ridge
@@ -186,11 +205,30 @@ def _gains(model: Model, texts: list[list[str]], cache: dict[str, float]) -> tup
     return (np.concatenate(parts) if parts else np.zeros(0)), np.array(at)
 
 
-def _totals(text: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _totals(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each text, the sum and the largest of its marginals."""
-    most = np.zeros(n)
-    np.maximum.at(most, text, p)
-    return np.bincount(text, p, n), most
+    total, most = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        total[some], most[some] = np.add.reduceat(p, at[some]), np.maximum.reduceat(p, at[some])
+    return total, most
+
+
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_toxic: int = 1000, max_other: int = 4000, max_bytes: int = 48 << 20, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """fit() on a bounded sample: of the labelled rows for which use holds, at most max_toxic and max_other, least hash
+    of the id first, and of these as many whole texts, in the same order, as have at most max_bytes together. Repeated
+    rows count once; rows of null id or label are not used."""
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows if use is None else rows.where(use)
+    order = F.xxhash64(F.col("doc_id"), F.lit(7))
+    few = rows.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(rows.where("toxic <> 1").orderBy(order, "doc_id").limit(max_other))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
+    sizes = texts.join(F.broadcast(few), "doc_id").select("doc_id", "tie", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).distinct()
+    first = sizes.where(F.col("bytes") <= max_bytes).orderBy(order, "doc_id", "tie", "toxic").limit(max_toxic + max_other)
+    upto = F.sum("bytes").over(W.orderBy(order, "doc_id", "tie", "toxic").rowsBetween(W.unboundedPreceding, W.currentRow))
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "tie", "toxic")
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "tie"]).groupBy("doc_id", "tie", "toxic").agg(F.first("text").alias("text")).toPandas().sort_values(["doc_id", "tie", "toxic"])
+    return fit(sample["text"].tolist(), [int(x == 1) for x in sample["toxic"]])
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_toxic: int = 1000, max_other: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -208,8 +246,9 @@ def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: s
     """Scores whole texts: doc_id, score (0 to 1), predicted (1 if score >= threshold) and spans, the tokens
     whose marginal is 0.5 or more (places in characters, end exclusive, and the marginal).
 
-    Texts without tokens, and null texts, get the score of a text without any toxic token. Only the text
-    is an input. Rows of null id and repeated rows are scored like others. Columns named in carry are returned too.
+    Marginals are those of the whole text: forward and backward recursions over every token, exact, however long it
+    is. Texts without tokens, and null texts, get the score of a text without any toxic token. Only the text
+    is an input. An empty table gives no rows. Rows of null id and repeated rows are scored like others. Columns named in carry are returned too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -220,17 +259,20 @@ def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: s
                 cache = {}
             tokens = [_TOKEN.findall(t) if t else [] for t in pdf["text"]]
             gains, at = _gains(model, tokens, cache)
-            events, p = model.marginals(gains, at)
-            text = np.searchsorted(at, events, side="right") - 1
-            scores = model.document(*_totals(text, p, len(pdf)))
+            p = model.marginals(gains, at)
+            scores = model.document(*_totals(p, at))
             spans: list[list[dict]] = [[] for _ in range(len(pdf))]
-            for k in np.unique(text[p >= 0.5]):
+            hit = np.flatnonzero(p >= 0.5)
+            text = np.searchsorted(at, hit, side="right") - 1
+            for k in sorted(set(text.tolist())):
                 where = [m.span() for m in _TOKEN.finditer(pdf["text"].iloc[k])]
-                for e, q in zip(events[(text == k) & (p >= 0.5)], p[(text == k) & (p >= 0.5)], strict=True):
+                for e in hit[text == k].tolist():
                     s, z = where[e - at[k]]
-                    spans[k].append({"start": s, "end": z, "marginal": float(q)})
+                    spans[k].append({"start": s, "end": z, "marginal": float(p[e])})
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32), "spans": spans}).assign(**{c: pdf[c].array for c in pdf if c.startswith("carry_")})
 
+        tidy()
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *X.carried(carry))
     schema = f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>{X.kinds(rows)}"
     return X.handed(rows.mapInPandas(score, schema), carry)
