@@ -8,17 +8,20 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import components, stored
-from .text import mix, rolling, starts_within, word_hashes
+from .text import mix, rolling, starts_within, tidy, word_hashes
 
 _U = np.uint64
 _SEG, _VAL, _DEL = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB), _U(0x8EBC6AF09C88C6E3)
 _NEVER = float(1 << 40)
 #: One segment of so many is also indexed less each one of its elements.
 DELETABLE = 4
+#: Bits of a set's number left for sets whose names begin alike.
+_CLASH_BITS = 4
 #: Bits of a shingle's hash by which it is counted. A chance clash only makes a shingle look shared, which costs work and changes nothing.
 _COUNTED = ~_U(0xFFFF)
 
@@ -148,9 +151,9 @@ def probe_keys(values: np.ndarray, often: np.ndarray, size: int, lone: int, band
 
 
 def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per document: its number of shingles and, if it can be linked with another at all, the name of its
-    set, the shingles that other documents have too and how often they occur. Names are in order of the share of
-    shingles that no other document has: the least is the most typical."""
+    """A row per document: its number of shingles and, if it can be linked with another at all, the two parts of the
+    name of its set (116 bits of a hash), the shingles that other documents have too and how often they occur. The
+    first part begins with the share of shingles that no other document has: the least is the most typical."""
     size = X.measure(docs, text_col)["bytes"]
     bits = X.buckets(size // 7)
     parts = X.chunked(docs, size, id_col, text_col)
@@ -167,15 +170,24 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
             own, seen = keys[s:e], often[s:e]
             more = seen >= 2
             m = int(more.sum())
-            row = [doc, e - s, None, None, None]
+            row = [doc, e - s, None, None, None, None]
             if e > s and m * den >= (e - s) * num:  # the other set has as much of this one, at least
-                row[2:] = [(e - s - m) * 100 // (e - s) << 56 | xxhash.xxh3_64_intdigest(own.tobytes()) >> 8, own[more].tobytes(), np.minimum(seen[more], 0xFFFFFFFF).astype("<u4").tobytes()]
+                name = xxhash.xxh3_128_intdigest(own.tobytes())
+                row[2:] = [(e - s - m) * 100 // (e - s) << 56 | name >> 76 << _CLASH_BITS, (name & (1 << 64) - 1) - (1 << 63), own[more].tobytes(), np.minimum(seen[more], 0xFFFFFFFF).astype("<u4").tobytes()]
             rows.append(row)
-        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "rep", "shared", "often"]).astype({"rep": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "rep", "name", "shared", "often"]).astype({"rep": "Int64", "name": "Int64"})
 
     twice = X.answers(X.send(parts, emit, bits), None, 2, bits)
     kind = parts.schema["doc_id"].dataType.simpleString()
-    return X.finish(parts, twice, name, f"doc_id {kind}, n_shingles long, rep long, shared binary, often binary", bits)
+    return X.finish(parts, twice, name, f"doc_id {kind}, n_shingles long, rep long, name long, shared binary, often binary", bits)
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """A row per distinct set. Sets whose names begin alike are numbered, so that rep names one set, whatever clashes."""
+    rows = sets.where("rep IS NOT NULL").groupBy("rep", "name", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("shared").alias("shared"), F.first("often").alias("often"))
+    nth = F.row_number().over(W.partitionBy("rep").orderBy("name", "n_shingles")) - 1
+    rep = F.when(F.col("nth") < 1 << _CLASH_BITS, F.col("rep") + F.col("nth")).otherwise(F.raise_error(F.lit("too many sets of one name")).cast("long"))
+    return rows.withColumn("nth", nth).select(rep.alias("rep"), F.col("rep").alias("first"), "name", "n_shingles", "least", "shared", "often")
 
 
 def _keys(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -194,6 +206,7 @@ def _keys(classes: DataFrame, num: int, den: int) -> DataFrame:
                 ids.append(np.full(len(indexed) + len(looked), rep))
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(ids), "rank": np.concatenate(ranks)})
+        tidy()
 
     return classes.select("rep", "n_shingles", "shared", "often").mapInPandas(make, "key long, rep long, rank int")
 
@@ -210,6 +223,7 @@ def _sketched(classes: DataFrame) -> DataFrame:
             parity = np.packbits(np.array(bins, np.uint8).reshape(-1, 256), axis=1).view(np.int64)
             own = [len(x) // 8 for x in pdf["shared"]]
             yield pdf[["rep", "n_shingles"]].assign(own=own, **{f"p{k}": parity[:, k] for k in range(4)})
+        tidy()
 
     return classes.select("rep", "n_shingles", "shared").mapInPandas(make, "rep long, n_shingles long, own long, p0 long, p1 long, p2 long, p3 long")
 
@@ -222,6 +236,7 @@ def _compared(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
             both = [len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
             out = pdf[["a", "b"]].assign(both=np.array(both, np.int64))
             yield out.assign(linked=den * out["both"] >= num * (pdf["m"] + pdf["n"] - out["both"]))
+        tidy()
 
     left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("m"), F.col("shared").alias("x"))
     right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n"), F.col("shared").alias("y"))
@@ -243,16 +258,17 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     pairs that the rank of the key allows and that can be linked at all: two sets share at most the lesser part of what each shares with their
     leader, and the lesser part of what each has beside it. In a family of edited copies the leader is near the
     original, and copies too far from it have little beside it to share. Parities of both sets also bound how far they are apart. That is exact for classes: a candidate
-    pair is in one class already, too far apart by this bound, or compared. Sets are named by 56 bits of a hash
-    and their share of shingles of their own. Repeated rows are copies; rows of null doc_id are joined like
+    pair is in one class already, too far apart by this bound, or compared. Sets are told apart by 116 bits of a hash,
+    their size and their share of shingles of their own. Repeated rows are copies; rows of null doc_id are joined like
     others, but no class is named after them.
 
     One row per input row: doc_id, n_shingles, component_id (least doc_id that it is linked with by links,
-    itself included). Without words, or with null text: 0 shingles, linked with nothing. Other columns are not read.
+    itself included). Without words, or with null text: 0 shingles, linked with nothing. Very long texts are taken
+    whole; an empty table gives no rows. Other columns are not read.
     """
     num, den = similarity
     sets = stored(_sets(docs, n, num, den, id_col, text_col))
-    classes = stored(sets.where("rep IS NOT NULL").groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("shared").alias("shared"), F.first("often").alias("often")))
+    classes = stored(_classes(sets))
     rows = _keys(classes, num, den)
     met = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.when(F.col("rank") < 0, F.col("rep"))).alias("leader"), F.max("rank").alias("rank"))
     live = stored(rows.join(met.where("rank >= 0 AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
@@ -278,6 +294,6 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     links = links.unionByName(_compared(pairs, classes, num, den).where("linked").select("a", "b"))
 
     roots = components(links).withColumnRenamed("node", "rep")
-    of = classes.select("rep", "least").join(roots, "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("root"))
-    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("rep", "component_id")
-    return sets.select("doc_id", "n_shingles", "rep").join(of, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = classes.select("rep", "first", "name", "n_shingles", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("first").alias("rep"), "name", "n_shingles", "component_id")
+    return sets.select("doc_id", "n_shingles", "rep", "name").join(of, ["rep", "name", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
