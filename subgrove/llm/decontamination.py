@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .text import rolling, starts_within, word_hashes
+from .text import rolling, starts_within, tidy, word_hashes
 
 #: Bytes of items that go to every task at once; more are taken in parts, each against all documents.
 PART_BYTES = 16 << 20
@@ -118,6 +118,7 @@ def _part(rows: DataFrame, part: _Items, threshold: float, doc_kind: str, item_k
                     if best and best[0] >= threshold * MATCH * len(words[k]):
                         found.append((few["doc_id"].iloc[d], ids[k], best[0] / (MATCH * len(words[k])), best[1], best[2]))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])
+        tidy()
 
     return rows.mapInPandas(match, f"doc_id {doc_kind}, item_id {item_kind}, score double, start long, end long")
 

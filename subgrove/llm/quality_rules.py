@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .text import covered, mix, rolling, starts_within, word_hashes
+from .text import covered, mix, rolling, starts_within, tidy, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -77,6 +77,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def measure(it):
         for pdf in X.pieces(it):
             yield _measured(pdf)
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"

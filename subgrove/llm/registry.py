@@ -61,7 +61,7 @@ def held_out() -> Column:
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(docs, _table(spark, sf_dir, "labels"), ~held_out())
-    return toxic_spans(docs, model, threshold=0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return toxic_spans(docs, model, threshold=0.3).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,17 +108,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN x USING (doc_id)
 """,
     "op3_perspective_rotation": r"""
-WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS s, coalesce(text, '') AS x,
-           CASE WHEN coalesce(turn, -1) < 0 THEN -1 ELSE turn // 512 END AS chunk FROM conversations),
-p AS (SELECT DISTINCT conv_id, s AS perspective FROM t WHERE s <> 'system'),
-v AS (SELECT t.conv_id, perspective, chunk, turn, s, x, s = perspective AS mine,
+WITH n AS (SELECT conv_id AS c, row_number() OVER () AS r, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS s, coalesce(text, '') AS x FROM conversations),
+t AS (SELECT c AS conv_id, CASE WHEN c IS NULL THEN r END AS lone, turn, s, x FROM n),
+p AS (SELECT DISTINCT conv_id, lone, s AS perspective FROM t WHERE s <> 'system'),
+v AS (SELECT t.conv_id, t.lone, perspective, turn, s, x, s = perspective AS mine,
         '<|turn|>' || CASE WHEN s = 'system' THEN 'system' WHEN s = perspective THEN 'assistant' ELSE 'user name=' || s END || chr(10) AS head,
-        x || '<|end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+        x || '<|end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.lone IS NOT DISTINCT FROM p.lone),
 e AS (SELECT *, sum(length(head) + length(body)) OVER o AS e, row_number() OVER o AS k FROM v
-      WINDOW o AS (PARTITION BY conv_id, perspective, chunk ORDER BY turn, s, x ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, perspective, CAST(chunk AS BIGINT) AS chunk, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS rendered,
+      WINDOW o AS (PARTITION BY conv_id, lone, perspective ORDER BY turn, s, x ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS chunk, count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS rendered,
        coalesce(string_agg((e - length(body)) || '-' || (e - 1), ',' ORDER BY k) FILTER (mine), '') AS spans
-FROM e GROUP BY conv_id, perspective, chunk
+FROM e GROUP BY conv_id, lone, perspective
 """,
     "op6_rule_ledger": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w,
