@@ -10,7 +10,6 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,8 +42,32 @@ def tokens(strings: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return distinct, places, at
 
 
+def _terms(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix((place.astype(np.uint64) << np.uint64(8)) + byte.astype(np.uint64) + _BASE)
+
+
+_SHORT = 64
+#: Terms of all bytes at the first places of a word.
+_TABLE = _terms(np.tile(np.arange(256), _SHORT), np.repeat(np.arange(_SHORT), 256))
+
+
 def hashed(distinct: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+    """A 64-bit hash of each string: the sum of a fixed random number for each byte at its place, and the length."""
+    size = len(distinct)
+    if not size:
+        return np.zeros(0, np.uint64)
+    own = distinct.cast(pa.large_string())
+    at = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + size + 1]
+    raw = np.frombuffer(own.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    lengths = np.diff(at)
+    place = np.arange(len(raw)) - np.repeat(at[:-1], lengths)
+    terms = _TABLE[(np.minimum(place, _SHORT - 1) << 8) + raw]
+    far = np.flatnonzero(place >= _SHORT)
+    terms[far] = _terms(raw[far], place[far])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return mix(sums[at[1:]] - sums[at[:-1]] + lengths.astype(np.uint64) * _MIX1)
 
 
 def strings(texts) -> pa.Array:
