@@ -43,7 +43,9 @@ class Sequences:
         place = np.arange(self.size) - at[text]
         self.cell = place % _ROW * self.width + self.first[text] + place // _ROW
         self.back = at[text + 1] - 1 - place  # the same text from its end
-        self.text, self.begins = text, place == 0
+        if self.size < 1 << 30:
+            self.cell, self.back = self.cell.astype(np.int32), self.back.astype(np.int32)
+        self.begins = place == 0
         self.heads = np.zeros(self.width, bool)
         self.heads[self.first[rows > 0]] = True
 
@@ -127,25 +129,40 @@ def _selected(docs: list[np.ndarray], own: list[list[int]], n: int, toxic: np.nd
     return np.flatnonzero((a >= 3) & (g >= least_g) & ((a + 0.5) / (n1 + 1) >= least_ratio * (c + 0.5) / (n0 + 1)))
 
 
-def _train_chain(place: np.ndarray, feature: np.ndarray, labels: np.ndarray, at: np.ndarray, n_features: int, rounds: int = 80):
-    """Maximum likelihood over whole texts with a small ridge, by Adam. place and feature: which tokens have which features."""
-    texts = Sequences(at)
+def _parts(words_of: np.ndarray, at: np.ndarray, y: np.ndarray, marked: dict[int, list[int]], has: np.ndarray, tokens: int = 100_000):
+    """Texts in parts of about so many tokens: layout, which tokens have which features, and labels."""
+    lengths = np.diff(at)
+    edge = np.r_[0, np.flatnonzero(np.diff(at[:-1] // tokens)) + 1, len(lengths)]
+    for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        own = words_of[at[s] : at[e]]
+        where = np.flatnonzero(has[own])
+        few = [marked[w] for w in own[where].tolist()]
+        place, feature = np.repeat(where, [len(x) for x in few]), np.array([f for x in few for f in x], np.int64)
+        if len(own):
+            yield Sequences(at[s : e + 1] - at[s]), place, feature, (has[own] & np.repeat(y[s:e], lengths[s:e])).astype(np.int8)
+
+
+def _train_chain(parts: list, n_features: int, rounds: int = 80):
+    """Maximum likelihood over whole texts with a small ridge, by Adam. A part at a time is in work, so that memory is
+    bounded by it."""
     theta = np.zeros(n_features + 5)
     theta[n_features] = -3.0
     m = v = np.zeros_like(theta)
-    later = np.flatnonzero(~texts.begins)
-    pair = np.bincount(2 * labels[later - 1] + labels[later], minlength=4)
+    n_texts = sum(len(texts.at) - 1 for texts, *_ in parts)
     for turn in range(1, rounds + 1):
-        own = _exp(theta[n_features] + np.bincount(place, theta[feature], texts.size))
-        step = np.exp(theta[n_features + 1 :].reshape(2, 2))
-        up, down = texts.both(own, step)
-        odds = up * down / own
-        miss = labels - odds / (1 + odds)
-        f, r = up[later - 1], down[later]
-        w10, w11, w01 = step[1, 0] * f, step[1, 1] * f * r, step[0, 1] * r
-        total = step[0, 0] + w01 + w10 + w11
-        expected = np.array([(step[0, 0] / total).sum(), (w01 / total).sum(), (w10 / total).sum(), (w11 / total).sum()])
-        grad = np.r_[np.bincount(feature, miss[place], n_features), miss.sum(), pair - expected] / max(1, len(at) - 1) - 1e-4 * theta
+        grad, step = np.zeros(n_features + 5), np.exp(theta[n_features + 1 :].reshape(2, 2))
+        for texts, place, feature, labels in parts:
+            own = _exp(theta[n_features] + np.bincount(place, theta[feature], texts.size))
+            later = np.flatnonzero(~texts.begins)
+            up, down = texts.both(own, step)
+            odds = up * down / own
+            miss = labels - odds / (1 + odds)
+            f, r = up[later - 1], down[later]
+            w10, w11, w01 = step[1, 0] * f, step[1, 1] * f * r, step[0, 1] * r
+            total = step[0, 0] + w01 + w10 + w11
+            expected = np.array([(step[0, 0] / total).sum(), (w01 / total).sum(), (w10 / total).sum(), (w11 / total).sum()])
+            grad += np.r_[np.bincount(feature, miss[place], n_features), miss.sum(), np.bincount(2 * labels[later - 1] + labels[later], minlength=4) - expected]
+        grad = grad / max(1, n_texts) - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.2 * (1 - turn / rounds) ** 0.5 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
     return theta[:n_features], float(theta[n_features]), tuple(map(tuple, theta[n_features + 1 :].reshape(2, 2).tolist()))
@@ -159,9 +176,18 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Model()
-    words, names = {}, {}
+    words: dict[str, int] = {}
+    names: dict[str, int] = {}
     docs = [np.fromiter((words.setdefault(t.lower(), len(words)) for t in _TOKEN.findall(x or "")), np.int32) for x in texts]
-    own = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
+    bad = np.zeros(len(words), bool)
+    for t, toxic_too in zip(docs, y, strict=True):
+        if toxic_too:
+            bad[t] = True
+    for w, is_bad in zip(words, bad.tolist(), strict=True):  # a feature that no toxic document has can't be chosen
+        if is_bad:
+            for f in features(w):
+                names.setdefault(f, len(names))
+    own = [tuple(names[f] for f in features(w) if f in names) for w in words]
     chosen = _selected(docs, own, len(names), y).tolist()
     if not chosen:
         return Model()
@@ -176,16 +202,14 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     words_of = np.concatenate(tokens)
     has = np.zeros(len(words), bool)
     has[list(marked)] = True
-    where = np.flatnonzero(has[words_of])
-    few = [marked[w] for w in words_of[where].tolist()]
-    place, feature = np.repeat(where, [len(x) for x in few]), np.array([f for x in few for f in x], np.int64)
-    labels = (has[words_of] & np.repeat(y, np.diff(at))).astype(np.int64)
-    weights, bias, chain = _train_chain(place, feature, labels, at, len(chosen))
+    weights, bias, chain = _train_chain(list(_parts(words_of, at, y, marked, has)), len(chosen))
     model = Model(dict(zip(chosen, weights.tolist(), strict=True)), bias, chain)
     gain = {w: model.emission(spelt[w]) for w in marked}
     by_word = np.zeros(len(words))
     by_word[list(gain)] = list(gain.values())
-    total, most = _totals(model.marginals(by_word[words_of], at), at)
+    edge = np.r_[0, np.flatnonzero(np.diff(at[:-1] // 100_000)) + 1, len(y)]
+    each = [_totals(model.marginals(by_word[words_of[at[s] : at[e]]], at[s : e + 1] - at[s]), at[s : e + 1] - at[s]) for s, e in zip(edge, edge[1:], strict=False)]
+    total, most = (np.concatenate(x) for x in zip(*each, strict=True))
     x = np.c_[np.ones(len(y)), np.log1p(total), most]
     c = np.zeros(3)
     for _ in range(50):  # Newton steps of a logistic regression with a ridge
