@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +10,42 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), one of our own below the warehouse."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets one below its warehouse; a cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder that are of no use once a result has been written; done() writes it and removes them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """The rows of df, written to the shared folder and read back: computed once, and not lost with an executor."""
+        path = f"{shared_folder(df.sparkSession)}/subgrove-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def less(self, spark: SparkSession, keep: int = 0) -> None:
+        """Removes all but the last so many."""
+        gone, self.paths = (self.paths[:-keep], self.paths[-keep:]) if keep else (self.paths, [])
+        for path in gone:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def done(self, df: DataFrame) -> DataFrame:
+        out = stored(df)
+        self.less(df.sparkSession)
+        return out
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: computed once, and not lost with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/subgrove-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df from a table of their own, which stays."""
+    return Scratch()(df)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     only ever grow fewer or shorter; the number of rounds is logarithmic in the longest path. A node's
     neighbours are aggregated to a minimum before they are joined back, never gathered in one task.
     """
-    links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    spark, scratch = edges.sparkSession, Scratch()
+    links = scratch(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,7 +65,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = stored(small.where("a <> b").distinct())
+        links = scratch(small.where("a <> b").distinct())
+        scratch.less(spark, keep=1)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import components, stored
+from .components import Scratch, components
 from .text import mix, rolling, starts_within, tidy, word_hashes
 
 _U = np.uint64
@@ -267,19 +267,20 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     whole; an empty table gives no rows. Other columns are not read.
     """
     num, den = similarity
-    sets = stored(_sets(docs, n, num, den, id_col, text_col))
-    classes = stored(_classes(sets))
+    scratch = Scratch()
+    sets = scratch(_sets(docs, n, num, den, id_col, text_col))
+    classes = scratch(_classes(sets))
     rows = _keys(classes, num, den)
     met = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.when(F.col("rank") < 0, F.col("rep"))).alias("leader"), F.max("rank").alias("rank"))
-    live = stored(rows.join(met.where("rank >= 0 AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
+    live = scratch(rows.join(met.where("rank >= 0 AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
 
     near = lambda rows: rows.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    seen = stored(_compared(near(live.where("rank >= 0")), classes, num, den))
+    seen = scratch(_compared(near(live.where("rank >= 0")), classes, num, den))
     links = seen.where("linked").select("a", "b")
     rooted = live.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "rank", "leader", F.coalesce("root", "rep").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = stored(rooted.join(open_keys, "key", "left_semi"))
-    more = stored(_compared(near(rooted).join(seen.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den))
+    rooted = scratch(rooted.join(open_keys, "key", "left_semi"))
+    more = scratch(_compared(near(rooted).join(seen.select("a", "b"), ["a", "b"], "left_anti"), classes, num, den))
     links = links.unionByName(more.where("linked").select("a", "b"))
     rooted = rooted.drop("root").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     beside = seen.unionByName(more).select(F.col("a").alias("rep"), F.col("b").alias("leader"), "both")
@@ -296,4 +297,5 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     roots = components(links).withColumnRenamed("node", "rep")
     of = classes.select("rep", "first", "name", "n_shingles", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("first").alias("rep"), "name", "n_shingles", "component_id")
-    return sets.select("doc_id", "n_shingles", "rep", "name").join(of, ["rep", "name", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.select("doc_id", "n_shingles", "rep", "name").join(of, ["rep", "name", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.done(out)
