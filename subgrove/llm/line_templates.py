@@ -99,7 +99,7 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, similarit
     """
     size = X.measure(docs, text_col)["bytes"]
     bits = X.buckets(size // 6)
-    parts = X.chunked(docs, size, id_col, text_col, carry)
+    parts = X.chunked(docs, size, id_col, text_col, carry, 2 * X.CHUNK_BYTES)
 
     def places(pdf):
         return X.tally(Lines(pdf["text"], depth).below())

@@ -71,7 +71,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per input row: doc_id, measurements, and failed, the bits of the rules that it fails.
 
     Words are runs of characters other than 0x20 and 0x09-0x0D. A null or empty text has none, and so fails
-    few_words. Null ids and repeated rows are kept. One pass over the texts, no shuffle. Other columns are not read.
+    few_words. Null ids and repeated rows are kept; very long texts are measured whole; an empty table gives no rows.
+    One pass over the texts, no shuffle. Write it once (the query does): policies and ablations read the bits. Other columns are not read.
     """
 
     def measure(it):
@@ -90,8 +91,9 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def judged(rows: DataFrame, policy: Policy) -> DataFrame:
-    """The ledger with policy (its version) and kept."""
-    return rows.withColumns({"policy": F.lit(policy.version), "kept": F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0})
+    """The ledger with policy (its version), kept, and failed_alone: the bit of the rule without which the policy would keep the document, or 0."""
+    failed = F.col("failed").bitwiseAND(F.lit(policy.mask))
+    return rows.withColumns({"policy": F.lit(policy.version), "kept": failed == 0, "failed_alone": F.when(F.bit_count(failed) == 1, failed).otherwise(F.lit(0)).cast("long")})
 
 
 def ablation(rows: DataFrame, policy: Policy) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_rotation import perspective_rotation
+from .components import stored
 from .decontamination import decontaminate
 from .line_templates import line_templates
 from .ngram_jaccard import ngram_jaccard
@@ -48,9 +49,9 @@ def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(ledger(_table(spark, sf_dir, "documents")), POLICIES["v2"])
+    rows = judged(stored(ledger(_table(spark, sf_dir, "documents"))), POLICIES["v2"])
     base = F.col("failed").bitwiseAND(F.lit(Policy("base", BASE).mask)) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "failed_alone", "policy")
 
 
 def held_out() -> Column:
@@ -133,7 +134,7 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 f AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (100 * n_symbols > 10 * greatest(n_words, 1))::INT
         + 8 * (100 * n_dup_lines > 30 * greatest(n_lines, 1))::INT + 16 * (word_chars < 2 * n_words)::INT
         + 32 * (word_chars > 25 * greatest(n_words, 1))::INT AS BIGINT) AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, 'v2' AS policy FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, CASE WHEN bit_count(failed) = 1 THEN failed ELSE 0 END AS failed_alone, 'v2' AS policy FROM f
 """,
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
