@@ -6,7 +6,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import permutations, product
 
 
 @dataclass(frozen=True)
@@ -79,9 +78,8 @@ class Pattern:
         """Whether there are enough nodes of each label for other to be a part."""
         return not Counter(other.labels) - Counter(self.labels)
 
-    def _colours(self) -> list[int]:
-        """Classes of nodes that neither labels nor neighbourhoods tell apart, refined until they stand; numbered in a canonical order."""
-        names = [(x,) for x in self.labels]
+    def _refined(self, names: list) -> list[int]:
+        """Classes of nodes that names and neighbourhoods don't tell apart, refined until they stand; numbered in a canonical order."""
         while True:
             rank = {c: k for k, c in enumerate(sorted(set(names)))}
             colours = [rank[c] for c in names]
@@ -90,21 +88,35 @@ class Pattern:
                 return colours
             names = finer
 
+    def _twins(self, i: int, j: int) -> bool:
+        """Whether nodes of one class can be swapped and nothing changes."""
+        mine, other = self.around[i], self.around[j]
+        return all(mine.get(k) == other.get(k) for k in {*mine, *other} - {i, j})
+
+    def _orders(self, colours: list[int]) -> Iterator[list[int]]:
+        """Orders of the nodes by class. Where a class has several nodes, each in turn is set before the others and
+        the classes are refined anew; of nodes that can be swapped one is tried."""
+        sizes = Counter(colours)
+        open_ = [c for c in sorted(sizes) if sizes[c] > 1]
+        if not open_:
+            yield sorted(range(self.n_nodes), key=colours.__getitem__)
+            return
+        tried: list[int] = []
+        for i in (i for i, c in enumerate(colours) if c == open_[0]):
+            if not any(self._twins(i, j) for j in tried):
+                tried.append(i)
+                yield from self._orders(self._refined([(c, k != i) for k, c in enumerate(colours)]))
+
     @cached_property
     def code(self) -> str:
-        """The same for two patterns just when they are isomorphic: the least writing over all orders of nodes
-        that keep the classes of _colours() in order."""
-        classes = defaultdict(list)
-        for i, c in enumerate(self._colours()):
-            classes[c].append(i)
+        """The same for two patterns just when they are isomorphic: the least writing over all orders in _orders()."""
         best = None
-        for choice in product(*(permutations(classes[c]) for c in sorted(classes))):
-            order = [i for part in choice for i in part]
+        for order in self._orders(self._refined([(x,) for x in self.labels])):
             place = {i: k for k, i in enumerate(order)}
             edges = tuple(sorted((min(place[u], place[v]), max(place[u], place[v]), x) for u, v, x in self.edges))
             if best is None or edges < best[1]:
                 best = (tuple(self.labels[i] for i in order), edges)
-        return " ".join(map(repr, best[0])) + "|" + " ".join(f"{u}-{v}:{x!r}" for u, v, x in best[1]) if best else ""
+        return " ".join(map(repr, best[0])) + "|" + " ".join(f"{u}-{v}:{x!r}" for u, v, x in best[1]) if best and best[0] else ""
 
     def with_node(self, at: int, label: float, edge: float) -> Pattern:
         return Pattern.of([*self.labels, label], [*self.edges, (at, self.n_nodes, edge)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,24 +13,43 @@ from ..plans.graph import Graph
 from ..plans.shared import stored
 
 
+def needs(pattern: Pattern, i: int) -> tuple[tuple[float, float, int], ...]:
+    """The kinds of edges that a node has: edge label, label at the other end, how many."""
+    count = Counter((x, pattern.labels[j]) for j, x in pattern.around[i].items())
+    return tuple((x, y, n) for (x, y), n in sorted(count.items()))
+
+
 def domains(graph: Graph, pattern: Pattern) -> dict[int, DataFrame]:
     """Of each node: ids of its label that have, for every kind of edge and neighbour it has, at least as many."""
     out = {}
     for i, label in enumerate(pattern.labels):
-        needs: dict[tuple[float, float], int] = {}
-        for j, x in pattern.around[i].items():
-            kind = (x, pattern.labels[j])
-            needs[kind] = needs.get(kind, 0) + 1
-        rows = graph.adj.where(F.col("src_label") == label)
-        if not needs:
-            out[i] = graph.vertices.where(F.col("label") == label).select("id")
+        rows, own = graph.kinds.where(F.col("src_label") == label), needs(pattern, i)
+        if not own:
+            out[i] = graph.by_label(label)
             continue
-        match = [((F.col("label") == x) & (F.col("dst_label") == y), n) for (x, y), n in sorted(needs.items())]
-        counts = rows.where(reduce(lambda a, b: a | b, (c for c, _ in match))).groupBy(F.col("src").alias("id")).agg(*(F.count(F.when(c, 1)).alias(f"n{k}") for k, (c, _) in enumerate(match)))
-        out[i] = counts.where(reduce(lambda a, b: a & b, (F.col(f"n{k}") >= n for k, (_, n) in enumerate(match)))).select("id")
+        enough = reduce(lambda a, b: a | b, ((F.col("label") == x) & (F.col("dst_label") == y) & (F.col("n") >= n) for x, y, n in own))
+        found = rows.where(enough).select(F.col("src").alias("id"))
+        out[i] = found if len(own) == 1 else found.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") == len(own)).select("id")
     return out
 
 
+def signature(pattern: Pattern, i: int) -> tuple:
+    """What a node's domain depends on: nodes of one signature have one domain."""
+    return pattern.labels[i], needs(pattern, i)
+
+
+def many_domains(graph: Graph, signatures: list[tuple]) -> DataFrame:
+    """sig (a place in signatures) and id, for many domains in one plan: the vertices' kinds of edges joined to the
+    needs of all signatures, a table with a row for each kind in a signature (patterns are small, and so is it)."""
+    rows = [(k, label, x, y, n, len(own)) for k, (label, own) in enumerate(signatures) for x, y, n in own]
+    if not rows:
+        return graph.vertices.sparkSession.createDataFrame([], "sig int, id long")
+    wanted = graph.vertices.sparkSession.createDataFrame(rows, "sig int, src_label double, label double, dst_label double, need int, total int")
+    met = graph.kinds.join(F.broadcast(wanted), ["src_label", "label", "dst_label"]).where("n >= need").select("sig", F.col("src").alias("id"), "total")
+    several = met.where("total > 1").groupBy("sig", "id", "total").agg(F.count("*").alias("k")).where("k = total").select("sig", "id")
+    return met.where("total = 1").select("sig", "id").unionByName(several)
+
+
 def degree_domains(graph: Graph, pattern: Pattern) -> DataFrame:
     """col and id: vertices of the node's label whose degree is at least the node's."""
     deg = graph.degrees()
@@ -48,8 +68,10 @@ def _arc(graph: Graph, pattern: Pattern, i: int, j: int, mine: DataFrame, other:
 def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | None = None) -> dict[int, DataFrame]:
     """Arc-consistent domains of a tree pattern by two passes of semi-joins, leaves to root and back.
 
-    Each step is written, as later ones refer to it several times: no plan is longer than one arc.
+    Nothing is run or written: a plan has as many semi-joins as the tree has arcs, twice. Only trees of
+    many nodes, whose plans would hold each other many times, are written step by step.
     """
+    cut = stored if pattern.n_nodes > 6 else lambda df: df
     found = dict(start or domains(graph, pattern))
     order, parent = [0], {0: None}
     for i in order:
@@ -58,25 +80,39 @@ def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | N
                 parent[j] = i
                 order.append(j)
     for i in reversed(order[1:]):
-        found[parent[i]] = stored(_arc(graph, pattern, parent[i], i, found[parent[i]], found[i]))
+        found[parent[i]] = cut(_arc(graph, pattern, parent[i], i, found[parent[i]], found[i]))
     for i in order[1:]:
-        found[i] = stored(_arc(graph, pattern, i, parent[i], found[i], found[parent[i]]))
+        found[i] = cut(_arc(graph, pattern, i, parent[i], found[i], found[parent[i]]))
     return found
 
 
-def ac3_domains(graph: Graph, pattern: Pattern, max_rounds: int | None = None) -> dict[int, DataFrame]:
-    """Arc-consistent domains of any pattern: semi-joins over all arcs until no domain shrinks (or max_rounds).
+def arc_order(pattern: Pattern, sizes: dict[int, int], suspect: int | None = None) -> list[tuple[int, int]]:
+    """Arcs in the order in which they are made consistent: those at a suspect node first, then small domains."""
+    arcs = [(i, j) for i in pattern.around for j in pattern.around[i]]
+    return sorted(arcs, key=lambda a: (suspect not in a, sizes.get(a[0], 0) + sizes.get(a[1], 0), a))
+
+
+def consistent_once(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | None = None) -> dict[int, DataFrame]:
+    """Domains of any pattern after each arc has been looked at once, against the domains at the start: a plan that runs nothing."""
+    start = start or domains(graph, pattern)
+    return {i: reduce(lambda own, j: _arc(graph, pattern, i, j, own, start[j]), sorted(pattern.around[i]), start[i]) for i in start}
+
+
+def ac3_domains(graph: Graph, pattern: Pattern, max_rounds: int | None = None, suspect: int | None = None) -> dict[int, DataFrame]:
+    """Arc-consistent domains of any pattern: semi-joins over all arcs until no domain shrinks (or max_rounds),
+    those at a suspect node first.
 
     A tree needs two passes and no counting. Otherwise each round is cut off from the last by
     writing it, so plans stay short.
     """
+    graph = graph.cached()
     if pattern.acyclic():
         return tree_domains(graph, pattern)
     found = {i: stored(d) for i, d in domains(graph, pattern).items()}
     sizes, rounds = {i: d.count() for i, d in found.items()}, 0
     while max_rounds is None or rounds < max_rounds:
         old, rounds = dict(found), rounds + 1
-        for i, j in sorted(((i, j) for i in pattern.around for j in pattern.around[i]), key=lambda a: (sizes[a[0]] + sizes[a[1]], a)):
+        for i, j in arc_order(pattern, sizes, suspect):
             found[i] = _arc(graph, pattern, i, j, found[i], found[j])
         found = {i: stored(d) for i, d in found.items()}
         now = {i: d.count() for i, d in found.items()}

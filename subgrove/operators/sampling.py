@@ -3,53 +3,150 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
 from ..plans.graph import Graph
+from ..plans.shared import stored
 from . import domains as D
-from .support import column_images
+from .support import column_images, star_centre
+
+_SHARES = 1 << 30
+
+
+@dataclass(frozen=True)
+class Draw:
+    """Which candidates are drawn: those whose id is divisible by every, or else about size of them, those of the
+    least hashes of id and seed; a domain no larger than size is taken whole. Either way a draw is a test of the id
+    alone: the same on every run, without repetition, and without sorting a domain."""
+
+    size: int = 300
+    every: int | None = None
+    z: float = 2.58
+    seed: int = 42
+
+    def __call__(self, ids: Column, domain: Column) -> Column:
+        if self.every:
+            return F.pmod(ids, F.lit(self.every)) == 0
+        share = F.ceil(F.lit(float(_SHARES * self.size)) / F.greatest(domain, F.lit(1)))
+        return (domain <= self.size) | (F.pmod(F.xxhash64(ids, F.lit(self.seed)), F.lit(_SHARES)) < share)
 
 
 def sampled_fraction(graph: Graph, pattern: Pattern, every: int) -> DataFrame:
     """col, sampled, valid and estimate: of the candidates whose id is divisible by every, those that are images."""
+    graph = graph.cached()
     start = D.domains(graph, pattern)
-    out = None
+    out = []
     for i, own in start.items():
         seeds = own.where(F.pmod("id", F.lit(every)) == 0)
         valid = column_images(graph, pattern, i, seeds).agg(F.count("*").alias("valid"))
-        row = seeds.agg(F.count("*").alias("sampled")).crossJoin(valid).select(F.lit(i).alias("col"), "sampled", "valid", (F.col("valid") * every).cast("long").alias("estimate"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        out.append(seeds.agg(F.count("*").alias("sampled")).crossJoin(valid).select(F.lit(i).alias("col"), "sampled", "valid", (F.col("valid") * every).cast("long").alias("estimate")))
+    return reduce(DataFrame.unionByName, out)
 
 
-def support_interval(graph: Graph, pattern: Pattern, support: int, sample_size: int = 300, z: float = 2.58, seed: int = 42) -> DataFrame:
+def judged(counts: DataFrame, support: int, z: float) -> DataFrame:
+    """Adds estimate, low, high and verdict to rows with domain, n (drawn) and valid.
+
+    low and high are the Wilson interval of a proportion, z standard errors wide, times the domain: of nothing found
+    in a sample it does not follow that there is nothing. Where the whole domain was drawn both are the count.
+    """
+    n, p = F.greatest("n", F.lit(1)).cast("double"), F.col("valid") / F.greatest("n", F.lit(1))
+    middle, wide = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    whole, none = F.col("n") == F.col("domain"), F.col("n") == 0
+    out = counts.withColumns({
+        "estimate": F.col("domain") * F.col("valid") / F.greatest("n", F.lit(1)),
+        "low": F.when(whole, F.col("valid").cast("double")).when(none, 0.0).otherwise(F.col("domain") * (middle - wide)),
+        "high": F.when(whole, F.col("valid").cast("double")).when(none, F.col("domain").cast("double")).otherwise(F.col("domain") * (middle + wide)),
+    })
+    verdict = F.when(F.col("low") >= support, "frequent").when(F.col("high") < support, "infrequent").otherwise("uncertain")
+    return out.withColumn("verdict", verdict)
+
+
+def _counts(graph: Graph, pattern: Pattern, i: int, own: DataFrame, draw: Draw, domains: dict[int, DataFrame]) -> DataFrame:
+    """One row domain, n, valid of a node."""
+    sized = own.crossJoin(F.broadcast(own.agg(F.count("*").alias("domain"))))
+    seeds = sized.where(draw(F.col("id"), F.col("domain"))).select("id")
+    row = own.agg(F.count("*").alias("domain")).crossJoin(seeds.agg(F.count("*").alias("n")))
+    return row.crossJoin(column_images(graph, pattern, i, seeds, domains).agg(F.count("*").alias("valid")))
+
+
+def support_interval(graph: Graph, pattern: Pattern, support: int, draw: Draw = Draw(), arcs: bool = False) -> DataFrame:
     """col, domain, n, valid, estimate, low, high and verdict (frequent, infrequent or uncertain) of each node.
 
-    The sample is the sample_size candidates of least xxhash64(id, seed): the same on every run, without
-    repetition. A domain no larger than that is taken whole and its count is exact. low and high are a
-    normal interval for a proportion, z standard errors wide, times the domain's size.
+    arcs: domains are made consistent along arcs first, as far as one look at each arc does; not worth it in dense graphs.
     """
-    out = None
-    for i, own in D.domains(graph, pattern).items():
-        seeds = own.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(sample_size)
-        counts = own.agg(F.count("*").alias("domain")).crossJoin(column_images(graph, pattern, i, seeds).agg(F.count("*").alias("valid")))
-        row = counts.select(F.lit(i).alias("col"), "domain", F.least("domain", F.lit(sample_size)).cast("long").alias("n"), "valid")
-        out = row if out is None else out.unionByName(row)
-    p = F.when(F.col("n") > 0, F.col("valid") / F.col("n")).otherwise(0.0)
-    wide = F.when(F.col("domain") <= sample_size, 0.0).otherwise(z * F.sqrt(p * (1 - p) / F.greatest("n", F.lit(1))))
-    out = out.withColumns({"estimate": F.col("domain") * p, "low": F.col("domain") * (p - wide), "high": F.col("domain") * (p + wide)})
-    return out.withColumn("verdict", F.when(F.col("low") >= support, "frequent").when(F.col("high") < support, "infrequent").otherwise("uncertain"))
-
-
-def sampled_support(graph: Graph, pattern: Pattern, support: int, **options) -> tuple[float, str]:
+    graph = graph.cached()
+    table = stored(D.as_table(D.consistent_once(graph, pattern) if arcs else D.domains(graph, pattern)))
+    found = {i: table.where(F.col("col") == i).select("id") for i in range(pattern.n_nodes)}
+    each = [_counts(graph, pattern, i, own, draw, found).select(F.lit(i).alias("col"), "domain", "n", "valid") for i, own in found.items()]
+    return judged(reduce(DataFrame.unionByName, each), support, draw.z)
+
+
+def star_intervals(graph: Graph, stars: dict[str, Pattern], support: int, draw: Draw) -> dict[str, list[tuple]]:
+    """(domain, n, valid, estimate, verdict) for each node of many stars, in one plan.
+
+    Domains and centres are found together for all stars. A centre's domain is its images; a drawn leaf is valid if
+    one of its neighbours is a centre.
+    """
+    spark = graph.vertices.sparkSession
+    sigs: dict[tuple, int] = {}
+    pairs = {}
+    for p in stars.values():
+        c = star_centre(p)
+        mine = sigs.setdefault(D.signature(p, c), len(sigs))
+        for i in p.around[c]:
+            pairs[mine, sigs.setdefault(D.signature(p, i), len(sigs))] = (p.labels[c], p.around[c][i], p.labels[i])
+    found = D.many_domains(graph, list(sigs))
+    sizes = found.groupBy("sig").agg(F.count("*").alias("domain"))
+    drawn = found.join(F.broadcast(sizes), "sig").where(draw(F.col("id"), F.col("domain"))).select("sig", "id")
+    n = drawn.groupBy("sig").agg(F.count("*").alias("n"))
+    own = sizes.join(n, "sig", "left").select(F.col("sig").alias("centre"), F.lit(-1).alias("leaf"), "domain", F.coalesce("n", F.lit(0)).alias("n"))
+    leaf = spark.createDataFrame([(a, b, *k) for (a, b), k in sorted(pairs.items())], "centre int, leaf int, src_label double, label double, dst_label double")
+    arcs = graph.adj.join(F.broadcast(leaf), ["src_label", "label", "dst_label"]).join(found.select(F.col("sig").alias("centre"), F.col("id").alias("src")), ["centre", "src"], "left_semi")
+    arcs = arcs.join(drawn.select(F.col("sig").alias("leaf"), F.col("id").alias("dst")), ["leaf", "dst"], "left_semi")
+    valid = arcs.select("centre", "leaf", "dst").distinct().groupBy("centre", "leaf").agg(F.count("*").alias("valid"))
+    of_leaf = own.select(F.col("centre").alias("leaf"), "domain", "n")
+    rows = own.withColumn("valid", F.col("n")).unionByName(leaf.select("centre", "leaf").join(of_leaf, "leaf").join(valid, ["centre", "leaf"], "left").select("centre", "leaf", "domain", "n", F.coalesce("valid", F.lit(0)).alias("valid")))
+    known = {(r["centre"], r["leaf"]): (r["domain"], r["n"], r["valid"], r["estimate"], r["verdict"]) for r in judged(rows, support, draw.z).collect()}
+    none = (0, 0, 0, 0.0, "infrequent" if support > 0 else "frequent")
+    out = {}
+    for code, p in stars.items():
+        c = star_centre(p)
+        mine = sigs[D.signature(p, c)]
+        out[code] = [known.get((mine, -1 if i == c else sigs[D.signature(p, i)]), none) for i in range(p.n_nodes)]
+    return out
+
+
+def intervals(graph: Graph, patterns: dict[str, Pattern], support: int, draw: Draw, arcs: bool = False, batch: int = 6) -> dict[str, list[tuple]]:
+    """As star_intervals(), for any patterns; those that are no stars are searched for in batches, a job each."""
+    stars = {c: p for c, p in patterns.items() if star_centre(p) is not None}
+    out = star_intervals(graph, stars, support, draw) if stars else {}
+    rest = sorted(patterns.keys() - stars.keys())
+    for at in range(0, len(rest), batch):
+        few = [support_interval(graph, patterns[c], support, draw, arcs).select(F.lit(c).alias("code"), "col", "domain", "n", "valid", "estimate", "verdict") for c in rest[at : at + batch]]
+        for r in sorted(reduce(DataFrame.unionByName, few).collect(), key=lambda r: r["col"]):
+            out.setdefault(r["code"], []).append((r["domain"], r["n"], r["valid"], r["estimate"], r["verdict"]))
+    return out
+
+
+def verdict(columns: list[tuple]) -> tuple[float, str, int]:
+    """Of a pattern: the least estimate, the verdict, and the node that fails first. exact: every domain was drawn whole."""
+    low = min(range(len(columns)), key=lambda i: (columns[i][4] != "infrequent", columns[i][3], i))
+    said = {c[4] for c in columns}
+    exact = all(c[0] == c[1] for c in columns)
+    out = "infrequent" if "infrequent" in said else "exact" if exact else "uncertain" if "uncertain" in said else "frequent"
+    return min(c[3] for c in columns), out, low
+
+
+def sampled_support(graph: Graph, pattern: Pattern, support: int, draw: Draw = Draw()) -> tuple[float, str]:
     """The least estimate over nodes, and the verdict on the pattern."""
-    rows = support_interval(graph, pattern, support, **options).collect()
-    verdicts = {r["verdict"] for r in rows}
-    verdict = "infrequent" if "infrequent" in verdicts else "uncertain" if "uncertain" in verdicts else "frequent"
-    return min(r["estimate"] for r in rows), verdict
+    estimate, said, _ = verdict(intervals(graph, {"": pattern}, support, draw)[""])
+    return estimate, "frequent" if said == "exact" else said
 
 
 def quartiles(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -57,8 +154,6 @@ def quartiles(df: DataFrame, column: str, by: str) -> DataFrame:
 
     Values are counted first, so a group is ordered by its distinct values and not by its rows.
     """
-    from pyspark.sql import Window as W
-
     counted = df.groupBy(by, column).agg(F.count("*").alias("c"))
     order = W.partitionBy(by).orderBy(column)
     running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("n", F.sum("c").over(W.partitionBy(by)))

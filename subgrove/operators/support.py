@@ -9,27 +9,36 @@ from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
 from ..plans.graph import Graph
+from ..plans.shared import stored
 from . import domains as D
 from .embeddings import embeddings, join_order
 
 
-def images(graph: Graph, pattern: Pattern) -> DataFrame:
-    """col and id: the vertices that each node is mapped to in some embedding.
+def images(graph: Graph, pattern: Pattern, part: tuple[int, int] | None = None) -> DataFrame:
+    """col and id: the vertices that each node is mapped to in some embedding. part (k, n): of ids with id mod n = k only.
 
-    A tree of distinct labels needs semi-joins only: no two nodes can meet, so its arc-consistent domains are
-    the images. A star whose leaves repeat a kind counts neighbours instead of joining them. Otherwise one
-    embedding relation feeds all nodes; where the pattern is a tree it starts from arc-consistent domains.
+    A star whose leaves all differ in label from its centre counts neighbours instead of joining them. A tree of
+    distinct labels needs semi-joins only: no two nodes can meet, so its arc-consistent domains are the images.
+    Otherwise arc-consistent domains (in a pattern with cycles: each arc looked at once) are written as one table, and
+    every node is searched for by itself, from its domain on; what the search no longer needs is dropped on the way, so
+    no relation of whole embeddings is made.
     """
-    if pattern.acyclic() and pattern.unique_labels():
-        return D.as_table(D.tree_domains(graph, pattern))
-    if (centre := _star(pattern)) is not None:
-        return _star_images(graph, pattern, centre)
-    rows = embeddings(graph, pattern, D.tree_domains(graph, pattern) if pattern.acyclic() else None)
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"n{i}").alias("id")) for i in range(pattern.n_nodes))))
-    return rows.select(each.alias("e")).select("e.col", "e.id").distinct()
-
-
-def _star(pattern: Pattern) -> int | None:
+    graph = graph.cached()
+    mine = (lambda c: F.lit(True)) if part is None else (lambda c: F.pmod(F.col(c), F.lit(part[1])) == part[0])
+    if (centre := star_centre(pattern)) is not None:
+        return _star_images(graph, pattern, centre, mine)
+    if pattern.acyclic():
+        found = D.tree_domains(graph, pattern)
+        if pattern.unique_labels():
+            return D.as_table(found).where(mine("id"))
+    else:
+        found = D.consistent_once(graph, pattern)
+    table = stored(D.as_table(found))
+    found = {i: table.where(F.col("col") == i).select("id") for i in found}
+    return D.as_table({i: column_images(graph, pattern, i, None if part is None else found[i].where(mine("id")), found) for i in found})
+
+
+def star_centre(pattern: Pattern) -> int | None:
     """The centre of a star whose leaves all differ in label from the centre."""
     if not pattern.acyclic() or pattern.n_edges < 2:
         return None
@@ -39,15 +48,15 @@ def _star(pattern: Pattern) -> int | None:
     return centre if len(pattern.around[centre]) == pattern.n_edges and pattern.labels[centre] not in rest else None
 
 
-def _star_images(graph: Graph, pattern: Pattern, centre: int) -> DataFrame:
+def _star_images(graph: Graph, pattern: Pattern, centre: int, mine) -> DataFrame:
     """A vertex is a centre if it has enough neighbours of each kind; any neighbour of a kind is then a leaf.
 
     Domains count neighbours by kind (edge label and leaf label), with no join of leaves to each other.
     """
     own = D.domains(graph, pattern)[centre]
-    found = {centre: own}
+    found = {centre: own.where(mine("id"))}
     for i in pattern.around[centre]:
-        arcs = graph.adj.where((F.col("src_label") == pattern.labels[centre]) & (F.col("dst_label") == pattern.labels[i]) & (F.col("label") == pattern.around[centre][i]))
+        arcs = graph.adj.where((F.col("src_label") == pattern.labels[centre]) & (F.col("dst_label") == pattern.labels[i]) & (F.col("label") == pattern.around[centre][i]) & mine("dst"))
         found[i] = arcs.join(own.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     return D.as_table(found)
 
@@ -70,36 +79,125 @@ def mni_table(graph: Graph, pattern: Pattern) -> DataFrame:
 
 
 def mni_partitioned(graph: Graph, pattern: Pattern, parts: int) -> DataFrame:
-    """Counts by part of the ids (id mod parts), summed to the same mni: parts are disjoint."""
-    partial = images(graph, pattern).groupBy("col", F.pmod("id", F.lit(parts)).alias("part")).agg(F.count("*").alias("n"))
-    return _least(partial.groupBy("col").agg(F.sum("n").alias("n")), pattern)
+    """The same mni from parts of the ids (id mod parts), each searched for by itself; their counts are summed, as parts are disjoint."""
+    each = [images(graph, pattern, (k, parts)).groupBy("col").agg(F.count("*").alias("n")) for k in range(parts)]
+    return _least(reduce(DataFrame.unionByName, each).groupBy("col").agg(F.sum("n").alias("n")), pattern)
 
 
-def column_images(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame | None = None) -> DataFrame:
-    """ids that one node is mapped to, of seeds if given: the search starts there and its other columns are dropped."""
-    if seeds is None:
-        return embeddings(graph, pattern, first=col).select(F.col(f"n{col}").alias("id")).distinct()
-    start = {**{i: d for i, d in D.domains(graph, pattern).items()}}
+def column_images(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame | None = None, domains: dict[int, DataFrame] | None = None) -> DataFrame:
+    """ids that one node is mapped to, of seeds if given.
+
+    The search starts at the seeds and asks for each whether there is an embedding, not for all of them: a node is
+    joined only while later nodes depend on it, and dropped, with what then repeats, once they don't. A node on
+    which nothing depends is a semi-join.
+    """
+    if pattern.n_nodes == 1:
+        own = graph.by_label(pattern.labels[0])
+        return own if seeds is None else own.join(seeds.select("id"), "id", "left_semi")
+    domains = domains or D.domains(graph, pattern)
+    rows = domains[col] if seeds is None else domains[col].join(seeds.select("id"), "id", "left_semi")
+    rows, live = rows.select(F.col("id").alias(f"n{col}")), {col}
+    order = join_order(pattern, col)
+    for k, i in enumerate(order[1:], 1):
+        before, later = [j for j in order[:k] if j in pattern.around[i]], set(order[k + 1 :])
+        alike = [j for j in order[:k] if pattern.labels[j] == pattern.labels[i]]
+
+        def wanted(j, later=later):  # whether a node still to come has an edge to it, or its label
+            return j == col or any(j in pattern.around[m] or pattern.labels[m] == pattern.labels[j] for m in later)
+
+        arcs = {j: graph.adj.where((F.col("src_label") == pattern.labels[j]) & (F.col("dst_label") == pattern.labels[i]) & (F.col("label") == pattern.around[i][j])).select(F.col("src").alias(f"n{j}"), F.col("dst").alias(f"n{i}")) for j in before}
+        step = arcs[before[0]].join(domains[i].select(F.col("id").alias(f"n{i}")), f"n{i}", "left_semi")
+        if len(before) == 1 and not alike and not wanted(i):
+            rows = rows.join(step, f"n{before[0]}", "left_semi")
+        else:
+            rows, live = rows.join(step, f"n{before[0]}"), live | {i}
+            for j in before[1:]:
+                rows = rows.join(arcs[j], [f"n{j}", f"n{i}"], "left_semi")
+            for j in alike:
+                rows = rows.where(F.col(f"n{j}") != F.col(f"n{i}"))
+        keep = {j for j in live if wanted(j)}
+        if keep != live:
+            rows, live = rows.select(*(f"n{j}" for j in sorted(keep))).distinct(), keep
+    return rows.select(F.col(f"n{col}").alias("id")).distinct()
+
+
+def first_embedding(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame) -> DataFrame:
+    """For each seed (id) that node col can be mapped to, one embedding, the least: columns n0, n1, ..."""
+    start = D.domains(graph, pattern)
     start[col] = start[col].join(seeds.select("id"), "id", "left_semi")
-    return embeddings(graph, pattern, start, first=col).select(F.col(f"n{col}").alias("id")).distinct()
+    rows = embeddings(graph, pattern, start, first=col)
+    names = [f"n{i}" for i in range(pattern.n_nodes)]
+    return rows.groupBy(F.col(f"n{col}").alias("seed")).agg(F.min(F.struct(*names)).alias("e")).select("e.*")
+
+
+def column_order(pattern: Pattern, sizes: dict[int, int], suspect: int | None = None) -> list[int]:
+    """Nodes in the order in which their images are counted: a suspect first, then by domain size over degree."""
+    return sorted(range(pattern.n_nodes), key=lambda i: (i != suspect, sizes.get(i, 0) // max(1, len(pattern.around[i])), i))
 
 
 def refuted_by(graph: Graph, pattern: Pattern, support: int) -> int | None:
-    """The node of the smallest domain if its images alone show that the pattern is infrequent, else None."""
-    sizes = D.as_table(D.domains(graph, pattern)).groupBy("col").count().collect()
-    known = {r["col"]: r["count"] for r in sizes}
-    col = min(range(pattern.n_nodes), key=lambda i: (known.get(i, 0), -len(pattern.around[i]), i))
-    return col if known.get(col, 0) < support or column_images(graph, pattern, col).count() < support else None
-
-
-def supports(graph: Graph, patterns: dict[str, Pattern], batch: int = 24) -> dict[str, int]:
-    """mni of many patterns: those of a batch are one job."""
-    out: dict[str, int] = {}
-    codes = list(patterns)
-    for at in range(0, len(codes), batch):
-        few = [mni(graph, patterns[c]).select(F.lit(c).alias("code"), "mni") for c in codes[at : at + batch]]
-        out |= {r["code"]: r["mni"] for r in reduce(DataFrame.unionByName, few).collect()}
+    """The first node, in column_order(), if its images alone show that the pattern is infrequent, else None."""
+    sizes = {r["col"]: r["count"] for r in D.as_table(D.domains(graph, pattern)).groupBy("col").count().collect()}
+    col = column_order(pattern, sizes)[0]
+    return col if sizes.get(col, 0) < support or column_images(graph, pattern, col).count() < support else None
+
+
+def star_supports(graph: Graph, patterns: dict[str, Pattern]) -> dict[str, int]:
+    """mni of many stars (of star_centre()) in one plan.
+
+    All centres are found together, by kinds of edges; the edges of each centre's kinds then give the leaves. An edge
+    is a row for each distinct set of needs that its centre meets, and is counted away in the map tasks.
+    """
+    spark, sigs, kinds = graph.vertices.sparkSession, {}, set()
+    for p in patterns.values():
+        c = star_centre(p)
+        k = sigs.setdefault(D.signature(p, c), len(sigs))
+        kinds |= {(k, p.labels[c], x, y) for x, y, _ in D.needs(p, c)}
+    if not sigs:
+        return {}
+    centres = D.many_domains(graph, list(sigs))
+    leaf = spark.createDataFrame(sorted(kinds), "sig int, src_label double, label double, dst_label double")
+    arcs = graph.adj.join(F.broadcast(leaf), ["src_label", "label", "dst_label"]).join(centres.withColumnRenamed("id", "src"), ["sig", "src"], "left_semi")
+    leaves = arcs.select("sig", "label", "dst_label", "dst").distinct().groupBy("sig", "label", "dst_label").agg(F.count("*").alias("n"))
+    sizes = centres.groupBy("sig").agg(F.count("*").alias("n")).select("sig", F.lit(None).cast("double").alias("label"), F.lit(None).cast("double").alias("dst_label"), "n")
+    least = {r["sig"]: (r["n"], r["k"]) for r in leaves.unionByName(sizes).groupBy("sig").agg(F.min("n").alias("n"), F.count("*").alias("k")).collect()}
+    out = {}
+    for code, p in patterns.items():
+        c = star_centre(p)
+        n, k = least.get(sigs[D.signature(p, c)], (0, 0))
+        out[code] = n if k == 1 + len(D.needs(p, c)) else 0
+    return out
+
+
+def supports(graph: Graph, patterns: dict[str, Pattern], support: int = 0, sizes: dict[str, dict[int, int]] | None = None, suspects: dict[str, int] | None = None, batch: int = 16) -> dict[str, int]:
+    """mni of many patterns. Where it is below support, some number below support, as soon as one node shows it.
+
+    Stars are one plan. The domains of all other patterns are one table. Of these patterns the first node of column_order() is counted, of those that are left the
+    next, and so on; the nodes of a batch are one job.
+    """
+    graph = graph.cached()
+    stars = {c: p for c, p in patterns.items() if star_centre(p) is not None}
+    out = star_supports(graph, stars)
+    open_ = {c: column_order(p, (sizes or {}).get(c, {}), (suspects or {}).get(c)) for c, p in patterns.items() if c not in stars}
+    if open_:
+        sigs: dict[tuple, int] = {}
+        for c in open_:
+            for i in range(patterns[c].n_nodes):
+                sigs.setdefault(D.signature(patterns[c], i), len(sigs))
+        table = stored(D.many_domains(graph, list(sigs)))
+    while open_:
+        todo = [(c, cols[0]) for c, cols in sorted(open_.items())]
+        for at in range(0, len(todo), batch):
+            few = todo[at : at + batch]
+            plans = []
+            for c, i in few:
+                p = patterns[c]
+                found = column_images(graph, p, i, None, {k: table.where(F.col("sig") == sigs[D.signature(p, k)]).select("id") for k in range(p.n_nodes)})
+                plans.append(found.agg(F.count("*").alias("n")).select(F.lit(c).alias("code"), "n"))
+            for r in reduce(DataFrame.unionByName, plans).collect():
+                out[r["code"]] = min(out.get(r["code"], r["n"]), r["n"])
+        open_ = {c: cols[1:] for c, cols in open_.items() if len(cols) > 1 and out[c] >= max(support, 1)}
     return out
 
 
-__all__ = ["images", "mni", "mni_table", "mni_partitioned", "column_images", "refuted_by", "supports", "join_order"]
+__all__ = ["images", "mni", "mni_table", "mni_partitioned", "column_images", "column_order", "first_embedding", "refuted_by", "star_centre", "star_supports", "supports"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from ..operators import support as SU
 from ..operators.embeddings import embeddings
 from ..sources import commerce as C
 from ..sources import lg
-from .graph import Graph
+from .graph import CachedGraph, Graph
+from .shared import shared_folder
 
 CUSTOMER, ORDER, PART, SUPPLIER = 101.0, 201.0, 301.0, 400.0
 PATH = path([CUSTOMER, ORDER, PART, SUPPLIER], [1, 2, 4])
@@ -25,11 +27,18 @@ TRIANGLE = Pattern.of([ORDER, PART, SUPPLIER], [(0, 1, 2), (0, 2, 3), (1, 2, 4)]
 FORK = star(CUSTOMER, [ORDER, ORDER], [1, 1])
 STAR3 = star(CUSTOMER, [ORDER, ORDER, 202.0], [1, 1, 1])
 BENT = path([ORDER, CUSTOMER, ORDER, PART], [1, 1, 2])
+CASES = {"path": PATH, "tree": UNIQUE_TREE, "triangle": TRIANGLE, "fork": FORK, "star3": STAR3, "bent": BENT}
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The commerce graph with its adjacency kept: plans refer to it many times, and would grow with its own plan."""
-    return C.commerce(spark, sf_dir).cached()
+_GRAPHS: dict[tuple[str, str, bool], CachedGraph] = {}
+
+
+def _graph(spark: SparkSession, sf_dir: str, forest: bool = False) -> CachedGraph:
+    """The commerce graph (or its customers and orders only), whose tables are written once a session, when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, forest)
+    if key not in _GRAPHS or not _GRAPHS[key].alive():
+        _GRAPHS[key] = (C.forest if forest else C.commerce)(spark, sf_dir).cached()
+    return _GRAPHS[key]
 
 
 def _share(spark: SparkSession, sf_dir: str, hundredths: int) -> int:
@@ -50,21 +59,63 @@ def label_histogram(spark, sf_dir):
 
 
 def frequent_labels(spark, sf_dir):
-    g = _graph(spark, sf_dir).frequent_labels(_share(spark, sf_dir, 20))
-    return g.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(g.edges.agg(F.count("*").alias("n_edges")))
+    return _graph(spark, sf_dir).frequent_labels(_share(spark, sf_dir, 20)).counts()
 
 
 def degree_by_label(spark, sf_dir):
     return _graph(spark, sf_dir).degrees().groupBy("label").agg(F.count("*").alias("n"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.sum("degree").alias("sum_degree"))
 
 
-def lg_roundtrip_counts(spark, sf_dir):
-    lines = lg.lg_lines(C.forest(spark, sf_dir)).select("value", F.struct("kind", "a", "b").alias("at"))
-    g = Graph.clean(*lg.parse_lg(lines), order="at")
+def _sums(g: Graph) -> DataFrame:
     v = g.vertices.agg(F.count("*").alias("n_vertices"), F.sum("id").alias("sum_ids"), F.sum("label").alias("sum_labels"))
     return v.crossJoin(g.edges.agg(F.count("*").alias("n_edges"), F.sum(F.col("src") % 1000 + F.col("dst") % 1000).alias("sum_ends")))
 
 
+def lg_roundtrip_counts(spark, sf_dir):
+    lines = lg.lg_lines(C.forest(spark, sf_dir)).select("value", F.struct("kind", "a", "b").alias("at"))
+    return _sums(Graph.clean(*lg.parse_lg(lines), order="at"))
+
+
+def lg_file_roundtrip(spark, sf_dir):
+    """Through a .lg file."""
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}.lg"
+    lg.write_lg(C.forest(spark, sf_dir), path)
+    return _sums(lg.read_lg(spark, path))
+
+
+def lg_text_graph(spark, sf_dir):
+    """From a text: a repeated vertex and pair, a self-loop and an edge to no vertex."""
+    return lg.from_text(spark, "# t 1\nv 0 1\nv 1 2\nv 1 9\nv 2 2\ne 0 1 1\ne 1 0 7\ne 2 2 1\ne 0 8 1\ne 2 1 3\n").adj
+
+
+def table_graph_counts(spark, sf_dir):
+    """Through Parquet tables of vertices and edges."""
+    path, g = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", C.forest(spark, sf_dir)
+    g.vertices.write.parquet(f"{path}/vertices")
+    g.edges.write.parquet(f"{path}/edges")
+    return _sums(lg.read_tables(spark, f"{path}/vertices", f"{path}/edges"))
+
+
+def node_dump(spark, sf_dir):
+    """Each customer's edges as a line."""
+    rows = _graph(spark, sf_dir, forest=True).neighbours().where("id < 2000000000")
+    return rows.select("id", F.concat_ws(" ", F.transform("edges", lambda e: e["dst"].cast("string"))).alias("edges"))
+
+
+def vertex_lookup(spark, sf_dir):
+    """Vertices by id, and how many there are of a label."""
+    g = _graph(spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((3_000_000_001 + F.col("p_partkey") * 2).alias("id"))
+    return g.by_id(ids).crossJoin(g.by_label(SUPPLIER).agg(F.count("*").alias("n_suppliers")))
+
+
+def label_presence(spark, sf_dir):
+    """Whether there are enough vertices of each label for a pattern."""
+    have = {r["label"]: r["n"] for r in _graph(spark, sf_dir).label_histogram().collect()}
+    rows = [(k, all(have.get(x, 0) >= p.labels.count(x) for x in p.labels)) for k, p in {**CASES, "stranger": path([CUSTOMER, 999.0], [1])}.items()]
+    return spark.createDataFrame(rows, "name string, present boolean")
+
+
 def edge_pattern_mni(spark, sf_dir):
     return E.edge_patterns(_graph(spark, sf_dir))
 
@@ -118,6 +169,24 @@ def mni_partitioned(spark, sf_dir):
     return SU.mni_partitioned(_graph(spark, sf_dir), FORK, 4)
 
 
+def occurrence_dump(spark, sf_dir):
+    """The vertices that each node of a pattern is mapped to."""
+    return SU.images(_graph(spark, sf_dir), TRIANGLE)
+
+
+def first_embeddings(spark, sf_dir):
+    """For each supplier, one triangle."""
+    g = _graph(spark, sf_dir)
+    return SU.first_embedding(g, TRIANGLE, 2, g.by_label(SUPPLIER))
+
+
+def refuted_pattern(spark, sf_dir):
+    """The node whose images refute a pattern at a support that no pattern with suppliers has, and at one that the triangle has."""
+    g, n = _graph(spark, sf_dir), _share(spark, sf_dir, 100)
+    rows = [(n, SU.refuted_by(g, TRIANGLE, n)), (1, SU.refuted_by(g, TRIANGLE, 1))]
+    return spark.createDataFrame(rows, "support long, col int")
+
+
 def one_column_refute(spark, sf_dir):
     n = SU.column_images(_graph(spark, sf_dir), TRIANGLE, 2)
     return n.agg(F.count("*").alias("n"), (F.count("*") < _share(spark, sf_dir, 17)).alias("refuted"))
@@ -128,7 +197,7 @@ def support_sample_frac(spark, sf_dir):
 
 
 def support_ci(spark, sf_dir):
-    return SA.support_interval(_graph(spark, sf_dir), FORK, _share(spark, sf_dir, 11), sample_size=100)
+    return SA.support_interval(_graph(spark, sf_dir), FORK, _share(spark, sf_dir, 11), SA.Draw(every=3)).select("col", "domain", "n", "valid", F.round("estimate", 6).alias("estimate"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "verdict")
 
 
 def edge_label_lookup(spark, sf_dir):
@@ -138,14 +207,14 @@ def edge_label_lookup(spark, sf_dir):
 
 
 def edge_removal_isolated(spark, sf_dir):
-    g = C.forest(spark, sf_dir)
+    g = _graph(spark, sf_dir, forest=True)
     left = g.without_edges(g.edges.where("src % 5 = 0"))
-    return left.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(left.edges.agg(F.count("*").alias("n_edges")))
+    return left.counts()
 
 
 def vertex_removal(spark, sf_dir):
     left = (g := _graph(spark, sf_dir)).without_vertices(g.vertices.where("label = 400"))
-    return left.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(left.edges.agg(F.count("*").alias("n_edges")))
+    return left.counts()
 
 
 def neighbourhood_containment(spark, sf_dir):
@@ -154,21 +223,25 @@ def neighbourhood_containment(spark, sf_dir):
 
 
 def connected_components(spark, sf_dir):
-    return C.forest(spark, sf_dir).components()
+    return _graph(spark, sf_dir, forest=True).components()
 
 
 def pattern_canonical_codes(spark, sf_dir):
-    cases = {"path": PATH, "tree": UNIQUE_TREE, "triangle": TRIANGLE, "fork": FORK, "star3": STAR3, "bent": BENT}
-    return spark.createDataFrame([(k, p.code, p.n_nodes, p.n_edges) for k, p in cases.items()], "name string, code string, n_nodes int, n_edges int")
+    return spark.createDataFrame([(k, p.code, p.n_nodes, p.n_edges) for k, p in CASES.items()], "name string, code string, n_nodes int, n_edges int")
 
 
-def _rows(patterns: DataFrame) -> DataFrame:
+def _rows(patterns: DataFrame, nodes: int = 3) -> DataFrame:
+    """Patterns of the forest by their labels in order: there the centre is the customer, and has the least."""
     labels = F.sort_array("node_labels")
-    return patterns.select("n_edges", *(F.get(labels, F.lit(i)).alias(f"l{i + 1}") for i in range(3)), "mni")
+    return patterns.select("n_edges", *(F.get(labels, F.lit(i)).alias(f"l{i + 1}") for i in range(nodes)), "mni")
+
+
+def _config(spark, sf_dir, edges, **more):
+    return M.Config(_share(spark, sf_dir, 11), max_edges=edges, **more)
 
 
 def _mined(spark, sf_dir, edges):
-    return M.mine(C.forest(spark, sf_dir), M.Config(_share(spark, sf_dir, 11), max_edges=edges))
+    return M.mine(_graph(spark, sf_dir, forest=True), _config(spark, sf_dir, edges))
 
 
 def mine_forest_k2(spark, sf_dir):
@@ -176,11 +249,32 @@ def mine_forest_k2(spark, sf_dir):
 
 
 def mine_forest_k3(spark, sf_dir):
-    return _mined(spark, sf_dir, 3)
+    return _rows(_mined(spark, sf_dir, 3), 4)
 
 
 def mine_approx_k2(spark, sf_dir):
-    return M.mine_approx(C.forest(spark, sf_dir), M.Config(_share(spark, sf_dir, 11), max_edges=2))
+    """Supports by every third candidate."""
+    found = M.mine_approx(_graph(spark, sf_dir, forest=True), _config(spark, sf_dir, 2, every=3))
+    return _rows(found.withColumn("mni", F.struct("mni", "status"))).select("n_edges", "l1", "l2", "l3", "mni.mni", "mni.status")
+
+
+def mine_two_phase_k3(spark, sf_dir):
+    """Sampled, then exact: the same patterns as mining exactly."""
+    return _rows(M.mine_two_phase(_graph(spark, sf_dir, forest=True), _config(spark, sf_dir, 3)), 4)
+
+
+def mine_cyclic(spark, sf_dir):
+    """Patterns of up to three nodes, triangles too, among the orders and parts of one label and the suppliers."""
+    g = _graph(spark, sf_dir)
+    small = g.without_vertices(g.vertices.where(~F.col("label").isin(ORDER, PART, SUPPLIER)))
+    return _rows(M.mine(small, M.Config(_share(spark, sf_dir, 4), max_edges=3, max_nodes=3))).groupBy("n_edges", "l1", "l2", "l3").agg(F.count("*").alias("n"), F.sum("mni").alias("sum_mni"))
+
+
+def result_roundtrip(spark, sf_dir):
+    """The mined patterns as numbered .lg text and back: how many of each size, and their supports."""
+    path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    M.write_result(_mined(spark, sf_dir, 2), path)
+    return M.read_result(spark, path).groupBy("n_edges").agg(F.count("*").alias("n"), F.sum("mni").alias("sum_mni"))
 
 
 def top_patterns(spark, sf_dir):
@@ -202,13 +296,13 @@ def cost_quartiles(spark, sf_dir):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (graph_vertices, graph_edges, label_histogram, frequent_labels, degree_by_label, lg_roundtrip_counts, edge_pattern_mni, frequent_edges, two_edge_candidates, domain_label_degree, ac3_domains_path, ac3_domains_triangle, embeddings_path, embeddings_triangle)},
+    **{f.__name__: f for f in (graph_vertices, graph_edges, label_histogram, frequent_labels, degree_by_label, lg_roundtrip_counts, lg_file_roundtrip, lg_text_graph, table_graph_counts, node_dump, vertex_lookup, label_presence, edge_pattern_mni, frequent_edges, two_edge_candidates, domain_label_degree, ac3_domains_path, ac3_domains_triangle, embeddings_path, embeddings_triangle)},
     "mni_path": _mni(PATH),
     "mni_unique_tree": _mni(UNIQUE_TREE),
     "mni_triangle": _mni(TRIANGLE),
     "mni_fork_same_label": _mni(FORK),
     "mni_star3": _mni(STAR3),
-    **{f.__name__: f for f in (mni_table_bent, mni_partitioned, one_column_refute, support_sample_frac, support_ci, edge_label_lookup, edge_removal_isolated, vertex_removal, neighbourhood_containment, connected_components, pattern_canonical_codes, mine_forest_k2, mine_forest_k3, mine_approx_k2, top_patterns, pattern_set_ops, cost_quartiles)},
+    **{f.__name__: f for f in (mni_table_bent, mni_partitioned, occurrence_dump, first_embeddings, refuted_pattern, one_column_refute, support_sample_frac, support_ci, edge_label_lookup, edge_removal_isolated, vertex_removal, neighbourhood_containment, connected_components, pattern_canonical_codes, mine_forest_k2, mine_forest_k3, mine_approx_k2, mine_two_phase_k3, mine_cyclic, result_roundtrip, top_patterns, pattern_set_ops, cost_quartiles)},
 }
 
 _BASE = """WITH v AS (
@@ -256,10 +350,26 @@ _MINED = """,
 f AS (SELECT src AS c, dst AS o, sl AS cl, dl AS ol FROM a WHERE sl < 200),
 k2 AS (SELECT x.cl, x.ol AS o1, y.ol AS o2, least(count(DISTINCT x.c), count(DISTINCT x.o), count(DISTINCT y.o)) AS mni
        FROM f AS x JOIN f AS y ON x.c = y.c AND x.o <> y.o AND x.ol <= y.ol GROUP BY x.cl, x.ol, y.ol),
+k3 AS (SELECT x.cl, x.ol AS o1, y.ol AS o2, z.ol AS o3, least(count(DISTINCT x.c), count(DISTINCT x.o), count(DISTINCT y.o), count(DISTINCT z.o)) AS mni
+       FROM f AS x JOIN f AS y ON x.c = y.c AND x.o <> y.o AND x.ol <= y.ol JOIN f AS z ON x.c = z.c AND x.o <> z.o AND y.o <> z.o AND y.ol <= z.ol GROUP BY x.cl, x.ol, y.ol, z.ol),
 mined AS (SELECT 1 AS n_edges, la AS l1, lb AS l2, CAST(NULL AS DOUBLE) AS l3, mni FROM pat WHERE el = 1
   UNION ALL SELECT 2, cl, o1, o2, mni FROM k2),
 found AS (SELECT * FROM mined WHERE mni >= (SELECT c * 11 // 100 FROM share))"""
 
+_MINED3 = _BASE + _MINED + """ SELECT n_edges, l1, l2, l3, CAST(NULL AS DOUBLE) AS l4, mni FROM found
+UNION ALL SELECT 3, cl, o1, o2, o3, mni FROM k3 WHERE mni >= (SELECT c * 11 // 100 FROM share)"""
+
+#: low, high and verdict of rows with domain, n and valid, at 2.58 standard errors (Wilson).
+_JUDGED = """
+w AS (SELECT *, greatest(n, 1)::DOUBLE AS m, valid / greatest(n, 1)::DOUBLE AS p FROM counted),
+i AS (SELECT *, (p + 2.58 * 2.58 / (2 * m)) / (1 + 2.58 * 2.58 / m) AS mid, 2.58 * sqrt(p * (1 - p) / m + 2.58 * 2.58 / (4 * m * m)) / (1 + 2.58 * 2.58 / m) AS wide FROM w),
+j AS (SELECT *, domain * valid / m AS estimate, CASE WHEN n = domain THEN valid WHEN n = 0 THEN 0.0 ELSE domain * (mid - wide) END AS low,
+  CASE WHEN n = domain THEN valid WHEN n = 0 THEN domain ELSE domain * (mid + wide) END AS high, (SELECT c * 11 // 100 FROM share) AS least FROM i),
+said AS (SELECT *, CASE WHEN low >= least THEN 'frequent' WHEN high < least THEN 'infrequent' ELSE 'uncertain' END AS verdict FROM j)"""
+
+_FOREST_SUMS = _BASE + """ SELECT count(*) AS n_vertices, CAST(sum(id) AS BIGINT) AS sum_ids, sum(label) AS sum_labels,
+(SELECT count(*) FROM e WHERE l = 1) AS n_edges, (SELECT CAST(sum(src % 1000 + dst % 1000) AS BIGINT) FROM e WHERE l = 1) AS sum_ends FROM v WHERE label < 300"""
+
 ORACLE = {
     "graph_vertices": _BASE + " SELECT id, label FROM v",
     "graph_edges": _BASE + " SELECT src, dst, l AS el FROM e",
@@ -267,8 +377,51 @@ ORACLE = {
     "frequent_labels": _BASE + """, o AS (SELECT id FROM v WHERE label IN (SELECT label FROM v GROUP BY label HAVING count(*) >= (SELECT c * 20 // 100 FROM share)))
 SELECT (SELECT count(*) FROM o) AS n_vertices, (SELECT count(*) FROM e WHERE src IN (FROM o) AND dst IN (FROM o)) AS n_edges""",
     "degree_by_label": _BASE + " SELECT label, count(*) AS n, min(degree) AS min_degree, max(degree) AS max_degree, CAST(sum(degree) AS BIGINT) AS sum_degree FROM deg GROUP BY label",
-    "lg_roundtrip_counts": _BASE + """ SELECT count(*) AS n_vertices, CAST(sum(id) AS BIGINT) AS sum_ids, sum(label) AS sum_labels,
-(SELECT count(*) FROM e WHERE l = 1) AS n_edges, (SELECT CAST(sum(src % 1000 + dst % 1000) AS BIGINT) FROM e WHERE l = 1) AS sum_ends FROM v WHERE label < 300""",
+    "lg_roundtrip_counts": _FOREST_SUMS,
+    "lg_file_roundtrip": _FOREST_SUMS,
+    "table_graph_counts": _FOREST_SUMS,
+    "lg_text_graph": """SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)),
+(1, 0, 1, 2, 1), (1, 2, 3, 2, 2), (2, 1, 3, 2, 2)) AS t(src, dst, label, src_label, dst_label)""",
+    "node_dump": _BASE + " SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS edges FROM e WHERE l = 1 GROUP BY src",
+    "vertex_lookup": _BASE + " SELECT 3000000001 + p_partkey * 2 AS id, label, (SELECT count(*) FROM supplier) AS n_suppliers FROM part LEFT JOIN v ON v.id = 3000000001 + p_partkey * 2",
+    "label_presence": _BASE + ", need(name, x, n) AS (VALUES " + ", ".join(f"('{k}', {x}, {p.labels.count(x)})" for k, p in CASES.items() for x in sorted(set(p.labels))) + """, ('stranger', 101.0, 1), ('stranger', 999.0, 1))
+SELECT name, bool_and((SELECT count(*) FROM v WHERE v.label = need.x) >= need.n) AS present FROM need GROUP BY name""",
+    "pattern_canonical_codes": """SELECT * FROM (VALUES ('path', '101.0 201.0 301.0 400.0|0-1:1.0 1-2:2.0 2-3:4.0', 4, 3), ('tree', '101.0 201.0 301.0 400.0|0-1:1.0 1-2:2.0 1-3:3.0', 4, 3),
+('triangle', '201.0 301.0 400.0|0-1:2.0 0-2:3.0 1-2:4.0', 3, 3), ('fork', '101.0 201.0 201.0|0-1:1.0 0-2:1.0', 3, 2),
+('star3', '101.0 201.0 201.0 202.0|0-1:1.0 0-2:1.0 0-3:1.0', 4, 3), ('bent', '101.0 201.0 201.0 301.0|0-1:1.0 0-2:1.0 2-3:2.0', 4, 3)) AS t(name, code, n_nodes, n_edges)""",
+    "occurrence_dump": _embedded(TRIANGLE) + " " + " UNION ".join(f"SELECT {i} AS col, n{i} AS id FROM m" for i in range(3)),
+    "first_embeddings": _embedded(TRIANGLE) + " SELECT n0, n1, n2 FROM m QUALIFY row_number() OVER (PARTITION BY n2 ORDER BY n0, n1) = 1",
+    "support_ci": _BASE + """,
+k AS (SELECT src AS id FROM a WHERE sl = 101 AND dl = 201 AND l = 1 GROUP BY src HAVING count(*) >= 2),
+o AS (SELECT dst AS id, dst IN (SELECT s.dst FROM s WHERE s.l = 1 AND s.src IN (FROM k)) AS ok FROM a WHERE sl = 101 AND dl = 201 AND l = 1),
+counted AS (SELECT 0 AS col, count(*) AS domain, count(*) FILTER (id % 3 = 0) AS n, count(*) FILTER (id % 3 = 0) AS valid FROM k
+  UNION ALL SELECT col, count(*), count(*) FILTER (id % 3 = 0), count(*) FILTER (id % 3 = 0 AND ok) FROM o, (VALUES (1), (2)) AS t(col) GROUP BY col),""" + _JUDGED + """
+SELECT col, domain, n, valid, round(estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, verdict FROM said""",
+    "mine_forest_k3": _MINED3,
+    "mine_two_phase_k3": _MINED3,
+    "mine_approx_k2": _BASE + _MINED + """,
+pairs AS (SELECT p.la AS cl, p.lb AS o1, q.lb AS o2 FROM pat AS p JOIN pat AS q ON p.la = q.la AND p.lb <= q.lb
+  WHERE p.la < 200 AND p.el = 1 AND q.el = 1 AND least(p.mni, q.mni) >= (SELECT c * 11 // 100 FROM share)),
+per AS (SELECT cl, c, ol, count(*) AS k FROM f GROUP BY cl, c, ol),
+centre AS (SELECT pairs.*, x.c FROM pairs JOIN per AS x ON x.cl = pairs.cl AND x.ol = o1 JOIN per AS y ON y.c = x.c AND y.ol = o2 WHERE o1 <> o2 OR x.k >= 2),
+leaf AS (SELECT pairs.*, f.o, f.ol, f.c IN (SELECT t.c FROM centre AS t WHERE t.cl = pairs.cl AND t.o1 = pairs.o1 AND t.o2 = pairs.o2) AS ok FROM pairs JOIN f ON f.cl = pairs.cl AND f.ol IN (o1, o2)),
+counted AS (SELECT pairs.cl, pairs.o1, pairs.o2, 0.0 AS ol, count(c) AS domain, count(c) FILTER (c % 3 = 0) AS n, count(c) FILTER (c % 3 = 0) AS valid FROM pairs LEFT JOIN centre USING (cl, o1, o2) GROUP BY ALL
+  UNION ALL SELECT cl, o1, o2, ol, count(*), count(*) FILTER (o % 3 = 0), count(*) FILTER (o % 3 = 0 AND ok) FROM leaf GROUP BY ALL),""" + _JUDGED + """,
+two AS (SELECT cl, o1, o2, CAST(floor(min(estimate)) AS BIGINT) AS mni, min(domain) AS room, bool_or(verdict = 'infrequent') AS bad, bool_and(n = domain) AS whole, bool_or(verdict = 'uncertain') AS open, any_value(least) AS least FROM said GROUP BY cl, o1, o2)
+SELECT n_edges, l1, l2, l3, mni, 'exact' AS status FROM found WHERE n_edges = 1
+UNION ALL SELECT 2, cl, o1, o2, mni, CASE WHEN whole THEN 'exact' WHEN open THEN 'uncertain' ELSE 'frequent' END FROM two WHERE NOT bad AND room >= least""",
+    "mine_cyclic": _BASE + """,
+g AS (SELECT * FROM a WHERE sl IN (201, 301, 400) AND dl IN (201, 301, 400)), least AS (SELECT c * 4 // 100 AS n FROM share),
+one AS (SELECT sl AS x, dl AS y, l, least(count(DISTINCT src), count(DISTINCT dst)) AS mni FROM g WHERE sl < dl GROUP BY ALL),
+two AS (SELECT x.sl AS c, x.dl AS p, y.dl AS q, least(count(DISTINCT x.src), count(DISTINCT x.dst), count(DISTINCT y.dst)) AS mni
+  FROM g AS x JOIN g AS y ON x.src = y.src AND x.dst <> y.dst AND x.dl <= y.dl GROUP BY ALL),
+three AS (SELECT least(count(DISTINCT x.src), count(DISTINCT x.dst), count(DISTINCT y.dst)) AS mni FROM g AS x JOIN g AS y ON x.src = y.src JOIN g AS z ON z.src = x.dst AND z.dst = y.dst
+  WHERE x.sl = 201 AND x.dl = 301 AND y.dl = 400),
+every AS (SELECT 1 AS n_edges, x AS l1, y AS l2, CAST(NULL AS DOUBLE) AS l3, mni FROM one
+  UNION ALL SELECT 2, u[1], u[2], u[3], mni FROM (SELECT list_sort([c, p, q]) AS u, mni FROM two) UNION ALL SELECT 3, 201, 301, 400, mni FROM three)
+SELECT n_edges, l1, l2, l3, count(*) AS n, CAST(sum(mni) AS BIGINT) AS sum_mni FROM every WHERE mni >= (SELECT n FROM least) GROUP BY ALL""",
+    "result_roundtrip": _BASE + _MINED + " SELECT n_edges, count(*) AS n, CAST(sum(mni) AS BIGINT) AS sum_mni FROM found GROUP BY n_edges",
+    "refuted_pattern": "SELECT * FROM (VALUES ((SELECT count(*) FROM customer), 2), (1, NULL)) AS t(support, col)",
     "edge_pattern_mni": _BASE + " SELECT la, lb, el, mni FROM pat",
     "frequent_edges": _BASE + " SELECT la, lb, el, mni FROM pat WHERE mni >= (SELECT c * 17 // 100 FROM share)",
     "two_edge_candidates": _BASE + """, f AS (SELECT * FROM pat WHERE mni >= (SELECT c * 17 // 100 FROM share)),

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import exists, kept, remove
 
 
 @dataclass(frozen=True)
@@ -43,12 +43,30 @@ class Graph:
         back = labelled.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label", F.col("dst_label").alias("src_label"), F.col("src_label").alias("dst_label"))
         return labelled.select(*columns).unionByName(back)
 
+    @cached_property
+    def kinds(self) -> DataFrame:
+        """How many edges of each kind (label and label at the other end) each vertex has: src, src_label, label, dst_label, n."""
+        return self.adj.groupBy("src", "src_label", "label", "dst_label").agg(F.count("*").alias("n"))
+
     def cached(self) -> Graph:
-        """The same graph from written tables, for the many plans that refer to it: each is then a scan."""
-        adj = stored(self.adj)
-        out = Graph(stored(self.vertices), adj.where("src < dst").select("src", "dst", "label"))
-        out.__dict__["adj"] = adj
-        return out
+        """The same graph from written tables, for the many plans that refer to it: each is then a scan. A table is
+        written when it is first asked for."""
+        return self if isinstance(self, CachedGraph) else CachedGraph(self)
+
+    def density(self) -> float:
+        """Edges a vertex."""
+        return self.edges.count() / max(1, self.vertices.count())
+
+    def by_id(self, ids: DataFrame) -> DataFrame:
+        """id and label of the vertices in ids (id); null where there is none."""
+        return ids.select("id").join(self.vertices, "id", "left")
+
+    def by_label(self, label: float) -> DataFrame:
+        return self.vertices.where(F.col("label") == float(label)).select("id")
+
+    def counts(self) -> DataFrame:
+        """One row: n_vertices, n_edges."""
+        return self.vertices.agg(F.count("*").alias("n_vertices")).crossJoin(self.edges.agg(F.count("*").alias("n_edges")))
 
     def degrees(self) -> DataFrame:
         """id, label and degree of every vertex, isolated ones included."""
@@ -93,13 +111,52 @@ class Graph:
     def components(self) -> DataFrame:
         """id and the least id that it is connected with, by repeated minima over neighbours and their roots."""
         roots, links = self.vertices.select("id", F.col("id").alias("root")), self.adj.select("src", "dst")
+        spark, path = self.vertices.sparkSession, None
         while True:
             low = links.join(roots, links["dst"] == roots["id"]).groupBy("src").agg(F.min("root").alias("low"))
             hop = roots.join(low, roots["id"] == low["src"], "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
             parent = hop.select(F.col("id").alias("p"), F.col("new").alias("up"))
             jumped = hop.join(parent, hop["new"] == parent["p"]).select("id", "root", F.least("new", "up").alias("new"))
-            jumped = stored(jumped)
+            before = path
+            jumped, path = kept(jumped)
+            if before:
+                remove(spark, before)
             moved = jumped.where("root <> new").limit(1).count()
             roots = jumped.select("id", F.col("new").alias("root"))
             if not moved:
                 return roots
+
+
+class CachedGraph(Graph):
+    """A graph whose vertices, adjacency and kinds are tables of their own, each written when first asked for."""
+
+    def __init__(self, base: Graph):
+        self.__dict__["base"] = base
+        self.__dict__["paths"] = []
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        out, path = kept(df)
+        self.paths.append(path)
+        return out
+
+    @cached_property
+    def vertices(self) -> DataFrame:
+        return self._kept(self.base.vertices)
+
+    @cached_property
+    def adj(self) -> DataFrame:
+        """Sorted by labels within each file, so that filters on them skip parts of files."""
+        return self._kept(Graph(self.vertices, self.base.edges).adj.sortWithinPartitions("src_label", "label", "dst_label"))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.adj.where("src < dst").select("src", "dst", "label") if "adj" in self.__dict__ else self.base.edges
+
+    @cached_property
+    def kinds(self) -> DataFrame:
+        return self._kept(self.adj.groupBy("src", "src_label", "label", "dst_label").agg(F.count("*").alias("n")))
+
+    def alive(self) -> bool:
+        """Whether its tables are still there."""
+        spark = self.base.vertices.sparkSession
+        return all(exists(spark, p) for p in self.paths)

@@ -96,3 +96,64 @@ def test_arc_consistency_holds_images(spark):
     assert sorted((r["col"], r["id"]) for r in found) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
     cyclic = D.as_table(D.ac3_domains(load(spark, F2), TRIANGLE)).collect()
     assert {(r["col"], r["id"]) for r in cyclic} >= {(c, i) for c in range(3) for i in range(3)}
+
+
+def test_star_and_cycle_codes_are_quick():
+    for n in (10, 14):
+        star_of, cycle = star(A, [A] * n, [1] * n), Pattern.of([A] * n, [(i, (i + 1) % n, 1) for i in range(n)])
+        moved = Pattern.of([A] * n, [((3 * i) % n, (3 * i + 3) % n, 1) for i in range(n)])  # 3 and n have no factor in common
+        assert cycle.code == moved.code and cycle.code != path([A] * n, [1] * (n - 1)).code
+        assert star_of.code == Pattern.of([A] * (n + 1), [(i, n, 1) for i in range(n)]).code
+
+
+def test_images_of_repeated_labels_against_brute_force(spark):
+    r = random.Random(9)
+    case = ({i: float(r.randint(1, 2)) for i in range(7)}, [(i, j, r.randint(1, 2)) for i in range(7) for j in range(i) if r.random() < 0.55])
+    g = load(spark, case).cached()
+    for p in (path([A, B, A, A], [1, 1, 2]), star(A, [A, A, B], [1, 1, 2]), Pattern.of([A, A, B], [(0, 1, 1), (1, 2, 1), (0, 2, 2)]), Pattern.of([A, B, A, B], [(0, 1, 1), (1, 2, 1), (2, 3, 1), (0, 3, 1)])):
+        _, counts = brute(case, p)
+        assert [x["n"] for x in SU.mni_table(g, p).orderBy("col").collect()] == counts
+        assert SU.mni_partitioned(g, p, 3).first()[0] == min(counts)
+        least = SU.supports(g, {"p": p}, 3)["p"]
+        assert least == min(counts) or max(least, min(counts)) < 3
+        seeds = spark.createDataFrame([(i,) for i in range(7)], "id long")
+        assert SU.first_embedding(g, p, 0, seeds).count() == counts[0]
+
+
+def test_phases_agree(spark):
+    r = random.Random(4)
+    case = ({i: float(r.randint(1, 2)) for i in range(9)}, [(i, j, 1) for i in range(9) for j in range(i) if r.random() < 0.4])
+    g = load(spark, case).cached()
+    config = M.Config(3, max_edges=3, max_nodes=3)
+    exact = {x["code"]: x["mni"] for x in M.mine(g, config).collect()}
+    assert exact and {x["code"]: x["mni"] for x in M.mine_two_phase(g, config).collect()} == exact
+    rows = M.mine_approx(g, config).collect()  # domains this small are drawn whole
+    assert {x["code"]: x["mni"] for x in rows} == exact and {x["status"] for x in rows} == {"exact"}
+    few = M.Config(3, max_edges=2, min_samples=2, sample_size=4)
+    assert {x["code"]: x["mni"] for x in M.mine_two_phase(g, few).collect()} == {c: n for c, n in exact.items() if c.count(":") <= 2} | {x["code"]: x["mni"] for x in M.mine(g, M.Config(3, max_edges=2)).collect()}
+
+
+def test_interval_of_nothing_is_not_nothing(spark):
+    rows = spark.createDataFrame([(10_000, 300, 0), (10_000, 300, 300), (50, 50, 0), (40, 0, 0)], "domain long, n long, valid long")
+    got = SA.judged(rows, 100, 2.58).collect()
+    assert [r["verdict"] for r in got] == ["uncertain", "frequent", "infrequent", "infrequent"]
+    assert got[0]["high"] > 100 and got[1]["low"] < 10_000
+
+
+def test_command_line_and_result_text(spark, tmp_path):
+    from subgrove.__main__ import main
+
+    (tmp_path / "g.lg").write_text("# t 1\n" + "".join(f"v {i} {x}\n" for i, x in F2[0].items()) + "".join(f"e {a} {b} {x}\n" for a, b, x in F2[1]))
+    main([str(tmp_path / "g.lg"), "--support", "3", "--out", str(tmp_path / "out")], spark)
+    got = {r["code"]: r["mni"] for r in M.read_result(spark, str(tmp_path / "out")).collect()}
+    assert got == {edge(A, A, 1).code: 4, path([A] * 3, [1, 1]).code: 3, TRIANGLE.code: 3, path([A] * 4, [1] * 3).code: 3}
+    a, b = (M.mine(load(spark, F2).cached(), M.Config(n)) for n in (3, 4))
+    assert M.union(a, b).count() == 4 and M.common(a, b).count() == 1 and M.minus(a, b).count() == 3
+
+
+def test_arc_order_and_lookups(spark):
+    assert D.arc_order(TRIANGLE, {0: 9, 1: 1, 2: 1}, suspect=0)[0] == (0, 1) and D.arc_order(TRIANGLE, {0: 9, 1: 1, 2: 1})[0] == (1, 2)
+    assert SU.column_order(PAW, {0: 9, 1: 9, 2: 9, 3: 9}) == [0, 1, 2, 3] and SU.column_order(PAW, {i: 9 for i in range(4)}, 3)[0] == 3
+    g = load(spark, F3).cached()
+    assert g.by_label(A).count() == 3 and tuple(g.counts().first()) == (8, 5) and g.density() == 5 / 8
+    assert g.alive()
