@@ -77,12 +77,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
     Seeds are word n-grams of items, A-Z lowered; all are kept, however frequent. Whole documents are joined to
     items by seeds: two on nearby diagonals (one, for items of at most n + 1 seeds) are a candidate, which
     Smith-Waterman aligns (match 2, others -1) around there. An edited copy that leaves no two n-grams of an
-    item intact (every third word replaced, at n = 3) is no candidate, even if it would align. score is the best score as a share of the item's own; start and end are words of the
+    item intact (every third word replaced, at n = 3, or the middle word of an item of five) is no candidate, even if it would align. score is the best score as a share of the item's own; start and end are words of the
     document that the alignment spans. Rows of threshold or more are returned.
 
     Items go to the tasks in parts of at most about PART_BYTES of text, each part against all documents. Null
-    and empty texts on either side align with nothing; repeated documents and items have rows each. Other
-    columns are not read.
+    and empty texts on either side align with nothing, and an empty table gives no rows; rows of null id and repeated
+    documents and items have rows each. Very long texts are searched whole. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     items = benchmark.select("item_id", "text").where("text IS NOT NULL AND length(text) > 0")

@@ -23,7 +23,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space), spans (word
     offsets of the maximal repeats, end exclusive). Null and empty texts have no words; null ids are kept as
-    they are; repeated rows are copies of each other. Other columns are not read.
+    they are; repeated rows are copies of each other; very long texts are taken whole; an empty table gives no rows.
+    Windows are compared by 64-bit hashes. Other columns are not read.
     """
     block = (window + 1) // 2
     size = X.measure(docs, text_col)["bytes"]

@@ -255,17 +255,6 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_tox
     return fit(sample["text"].tolist(), [int(x == 1) for x in sample["toxic"]])
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_toxic: int = 1000, max_other: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """fit() on a bounded sample: of the labelled rows for which use holds, at most max_toxic and max_other, least hash of the id first."""
-    rows = labels.select(F.col(id_col).alias("doc_id"), F.col("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows if use is None else rows.where(use)
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    few = rows.where("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(rows.where("toxic <> 1").orderBy(order, "doc_id").limit(max_other))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic"])
-    return fit(sample["text"].tolist(), [int(x == 1) for x in sample["toxic"]])
-
-
 def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Scores whole texts: doc_id, score (0 to 1), predicted (1 if score >= threshold) and spans, the tokens
     whose marginal is 0.5 or more (places in characters, end exclusive, and the marginal).

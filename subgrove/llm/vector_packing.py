@@ -109,7 +109,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int = 0, bin: Bin
     counted by length (at most bin.tokens counts reach the driver), the counts are packed by plan(), and each
     piece finds its place from its rank among those of its length. Ranks are sums over tasks of counts, so no
     length meets in one task. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and
-    empty texts are one piece of end_id; null ids, ties and repeated rows are pieces like others.
+    empty texts are one piece of end_id; null ids, ties and repeated rows are pieces like others. Very long texts are
+    tokenized whole; an empty table gives no rows. Other columns are not read.
     """
     cut = stored(_tokenized(docs, tokenizer, end_id, bin.tokens, id_col, text_col))
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
