@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -25,10 +26,11 @@ class Scratch:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         """The rows of df, written to the shared folder and read back: computed once, and not lost with an executor."""
-        path = f"{shared_folder(df.sparkSession)}/subgrove-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        spark, schema = df.sparkSession, df.schema
+        path = f"{shared_folder(spark)}/subgrove-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
 
     def less(self, spark: SparkSession, keep: int = 0) -> None:
         """Removes all but the last so many."""
@@ -43,6 +45,12 @@ class Scratch:
         return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets executors delete the shuffle files of what has been written and is referred to no more: Spark learns of that only when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df from a table of their own, which stays."""
     return Scratch()(df)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import stored
+from .components import stored, sweep
 from .ngram_jaccard import ngram_jaccard
 from .text import hashed, mix, strings, tokens
 
@@ -137,6 +137,8 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, similarit
     if not copies:
         return X.handed(rows.drop("whole", "row"), carry)
     rows = stored(rows)
+    del usual, often, parts
+    sweep(docs.sparkSession)
     open_ = rows.where("whole IS NOT NULL")
     linked = ngram_jaccard(open_, similarity=copies, id_col="row", text_col="whole").select(F.col("doc_id").alias("row"), "component_id")
     classes = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .components import Scratch, components
+from .components import Scratch, components, sweep
 from .text import mix, rolling, starts_within, tidy, word_hashes
 
 _U = np.uint64
@@ -269,10 +269,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     num, den = similarity
     scratch = Scratch()
     sets = scratch(_sets(docs, n, num, den, id_col, text_col))
+    sweep(docs.sparkSession)
     classes = scratch(_classes(sets))
     rows = _keys(classes, num, den)
     met = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.when(F.col("rank") < 0, F.col("rep"))).alias("leader"), F.max("rank").alias("rank"))
     live = scratch(rows.join(met.where("rank >= 0 AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
+    del rows, met
+    sweep(docs.sparkSession)
 
     near = lambda rows: rows.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     seen = scratch(_compared(near(live.where("rank >= 0")), classes, num, den))
@@ -298,4 +301,6 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     of = classes.select("rep", "first", "name", "n_shingles", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("first").alias("rep"), "name", "n_shingles", "component_id")
     out = sets.select("doc_id", "n_shingles", "rep", "name").join(of, ["rep", "name", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return scratch.done(out)
+    out = scratch.done(out)
+    sweep(docs.sparkSession)
+    return out
