@@ -1,10 +1,14 @@
 """Global statistics of hashed keys without a row per key.
 
-Documents are dealt into chunks of a few MB of text by their place in the input, so no id, text or source makes a chunk large. A chunk sends each distinct
-key once, with a small number beside it, to the bucket of the key's leading bits; keys of one message are
-sorted and stored as byte planes of their differences. A bucket merges its messages and answers every chunk
-that sent a key. So a key in a third of all documents costs one entry per chunk, no task sees more than a
-bucket or a chunk, and texts are shuffled once: all steps of an operator read the same exchange.
+Documents are dealt into chunks of a few MB of text by their place in the input, so no id, text or source makes a
+chunk large. A chunk sends each distinct key once, with a small number beside it, to the bucket of the key's leading
+bits; keys of one message are sorted and stored as byte planes of their differences. A bucket merges its messages and
+answers every chunk that sent a key. So a key in a third of all documents costs one entry per chunk, no task sees more
+than a bucket or a chunk, and texts are shuffled once: all steps of an operator read the same exchange.
+
+Chunks and buckets grow with the corpus, and a message from each to each would become one key. Where there are more
+than 2 ** HOP_BITS buckets, messages go through relays, each for some chunks and some buckets, there and back: a chunk
+then writes to as many relays as the square root of the number of buckets, and so does a relay.
 """
 
 from __future__ import annotations
@@ -21,7 +25,10 @@ from .text import tidy
 
 CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1 << 21
+#: Bits of a bucket's number up to which chunks write to buckets themselves.
+HOP_BITS = 12
 MESSAGE = "chunk long, bucket int, size long, keys binary, vals binary"
+_NAMES = ["chunk", "bucket", "size", "keys", "vals"]
 
 
 def measure(docs: DataFrame, text: str = "text", **more: Column) -> dict:
@@ -84,13 +91,23 @@ def unpack(raw: bytes, size: int) -> np.ndarray:
     return np.cumsum(_unplanes(raw, size), dtype=np.uint64)
 
 
+def near(bits: int) -> int:
+    """Bits by which chunks deal their keys: all that name a bucket, or half of them where relays deal by the rest."""
+    return bits if bits <= HOP_BITS else (bits + 1) // 2
+
+
+def _cut(keys: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of sorted keys with the same bits above shift: these bits, start and end."""
+    of = (keys >> np.uint64(shift)).astype(np.int64)
+    edge = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, int)
+    return zip(of[edge[:-1]].tolist(), edge.tolist(), edge[1:].tolist(), strict=False)
+
+
 def messages(chunk: int, keys: np.ndarray, vals: np.ndarray, bits: int, width: int = 64) -> pd.DataFrame:
     """Distinct sorted keys of so many bits with their numbers, cut by bucket. Keys lose nothing: a bucket's base is put back on reading."""
-    shift = np.uint64(width - bits)
-    of = (keys >> shift).astype(np.int64)
-    edge = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, int)
-    rows = [(chunk, b, e - s, pack(keys[s:e] - (np.uint64(b) << shift)), _planes(vals[s:e])) for b, s, e in zip(of[edge[:-1]].tolist(), edge.tolist(), edge[1:].tolist(), strict=False)]
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "size", "keys", "vals"]) if rows else _nothing()
+    shift = width - near(bits)
+    rows = [(chunk, b, e - s, pack(keys[s:e] - (np.uint64(b) << np.uint64(shift))), _planes(vals[s:e])) for b, s, e in _cut(keys, shift)]
+    return pd.DataFrame(rows, columns=_NAMES) if rows else _nothing()
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:
@@ -112,19 +129,16 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(weights, first)
 
 
-def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None, least: int, bits: int, in_order: bool = False) -> DataFrame:
+def answers(sent: DataFrame, merge: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, least: int, bits: int, in_order: bool = False, width: int = 64) -> DataFrame:
     """For every message the keys whose merged number is at least least, with that number.
 
     merge turns (numbers in key order, starts of keys) into one number a key; by default it adds. in_order: the
     answer has no keys but a number, 0 if below least, for each key in the order sent.
     """
+    far = bits - near(bits)
+    rest = width - bits
 
     def reduce(key, pdf):
-        out = pd.DataFrame(merged(key, pdf), columns=["chunk", "bucket", "size", "keys", "vals"])
-        tidy()
-        return out if len(out) else _nothing()
-
-    def merged(key, pdf):
         sizes = pdf["size"].to_numpy()
         keys = np.concatenate([unpack(k, n) for k, n in zip(pdf["keys"], sizes, strict=True)])
         vals = np.concatenate([_unplanes(v, n) for v, n in zip(pdf["vals"], sizes, strict=True)])
@@ -135,17 +149,47 @@ def answers(sent: DataFrame, merge: Callable[[np.ndarray], tuple[np.ndarray, np.
         mine = np.empty(len(keys), np.uint64)
         mine[order] = np.repeat(total, np.diff(np.r_[first, len(keys)]))
         rows, at = [], 0
-        for chunk, n in zip(pdf["chunk"], sizes, strict=True):
+        owners = pdf["owners"] if far else [b""] * len(pdf)
+        for chunk, n, owner in zip(pdf["chunk"], sizes, owners, strict=True):
             k, v = keys[at : at + n], mine[at : at + n]
             at += n
             keep = v >= least
             if in_order:
-                rows.append((chunk, key[0], n, b"", _planes(v * keep)))
+                rows.append((chunk, key[0], n, b"", _planes(v * keep), owner))
             elif keep.any():
-                rows.append((chunk, key[0], int(keep.sum()), pack(k[keep]), _planes(v[keep])))
-        return rows
+                rows.append((chunk, key[0], int(keep.sum()), pack(k[keep]), _planes(v[keep]), _planes(_unplanes(owner, n)[keep]) if far else owner))
+        tidy()
+        return pd.DataFrame(rows, columns=[*_NAMES, "owners"]) if rows else _nothing().assign(owners=pd.Series(dtype=object))
+
+    def there(key, pdf):
+        """From some chunks with some leading bits to all buckets below these."""
+        parts = [unpack(k, n) for k, n in zip(pdf["keys"], pdf["size"], strict=True)]
+        keys, vals = np.concatenate(parts), np.concatenate([_unplanes(v, n) for v, n in zip(pdf["vals"], pdf["size"], strict=True)])
+        owners = np.repeat((pdf["chunk"] & ((1 << far) - 1)).to_numpy(np.uint64), [len(x) for x in parts])
+        order = np.argsort(keys)
+        keys, vals, owners = keys[order], vals[order], owners[order]
+        rows = [(key[0], key[1] << far | b, e - s, pack(keys[s:e] - (np.uint64(b) << np.uint64(rest))), _planes(vals[s:e]), _planes(owners[s:e])) for b, s, e in _cut(keys, rest)]
+        tidy()
+        return pd.DataFrame(rows, columns=[*_NAMES, "owners"])
+
+    def back(key, pdf):
+        """From these buckets to the chunks, each one's keys in order."""
+        pdf = pdf.sort_values("bucket")
+        sizes = pdf["size"].tolist()
+        vals, owners = (np.concatenate([_unplanes(v, n) for v, n in zip(pdf[c], sizes, strict=True)]) for c in ("vals", "owners"))
+        keys = np.zeros(0, np.uint64)
+        if not in_order:
+            keys = np.concatenate([unpack(k, n) + (np.uint64(b & ((1 << far) - 1)) << np.uint64(rest)) for k, n, b in zip(pdf["keys"], sizes, pdf["bucket"].tolist(), strict=True)])
+        order = np.argsort(owners, kind="stable")
+        rows = [(key[0] << far | o, key[1], e - s, b"" if in_order else pack(keys[order[s:e]]), _planes(vals[order[s:e]])) for o, s, e in _cut(owners[order], 0)]
+        tidy()
+        return pd.DataFrame(rows, columns=_NAMES)
 
-    return sent.groupBy("bucket").applyInPandas(reduce, MESSAGE)
+    if not far:
+        return sent.groupBy("bucket").applyInPandas(reduce, MESSAGE + ", owners binary").drop("owners")
+    dealt = sent.groupBy(F.shiftright("chunk", far).alias("gang"), "bucket").applyInPandas(there, MESSAGE + ", owners binary")
+    merged = dealt.groupBy("bucket").applyInPandas(reduce, MESSAGE + ", owners binary")
+    return merged.groupBy(F.col("chunk").alias("gang"), F.shiftright("bucket", far).alias("leading")).applyInPandas(back, MESSAGE)
 
 
 def _nothing() -> pd.DataFrame:
@@ -163,7 +207,7 @@ def read(answer: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(answer):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     answer = answer.sort_values("bucket")
-    shift = np.uint64(64 - bits)
+    shift = np.uint64(64 - near(bits))
     keys = [unpack(k, n) + (np.uint64(b) << shift) for b, n, k in zip(answer["bucket"], answer["size"], answer["keys"], strict=True)]
     return np.concatenate(keys), np.concatenate([_unplanes(v, n) for v, n in zip(answer["vals"], answer["size"], strict=True)])
 

@@ -100,7 +100,7 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
         mean = [s / n if n else None for s, n in zip(scores, lengths, strict=True)]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": lengths, "log_score": scores, "mean_log_score": pd.Series(mean, dtype=object), "n_trigram": by[3], "n_bigram": by[2], "n_unigram": by[1]})
 
-    flagged = X.answers(X.send(parts, probe, bits, width=short), met, 0, bits, in_order=True)
+    flagged = X.answers(X.send(parts, probe, bits, width=short), met, 0, bits, in_order=True, width=short)
     counted = X.answers(X.send(parts, count, bits, flagged, lambda a: (X.numbers(a),)), None, 1, bits, in_order=True)
     kind = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, log_score double, mean_log_score double, n_trigram long, n_bigram long, n_unigram long"

@@ -272,6 +272,27 @@ def test_rotation_of_odd_dialogues(spark):
     assert perspective_rotation(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [13, 16])
+def test_exchange_through_relays(spark, monkeypatch, bits):
+    """Many small chunks and buckets, with and without relays, give the same counts."""
+    from subgrove.llm import exchange as X
+
+    r = random.Random(bits)
+    rows = [(k, " ".join(r.choice(WORDS[:40]) for _ in range(r.randint(0, 90)))) for k in range(80)] + [(k, None) for k in range(80, 90)]
+    rows += [(100 + k, rows[k][1]) for k in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ask = lambda: (Counter(map(tuple, stupid_backoff(docs).collect())), Counter((x["doc_id"], x["n_removed"], x["kept_text"]) for x in substring_dedup(docs).collect()), Counter(map(tuple, line_templates(docs, min_docs=2).collect())))
+    want = ask()
+    chunked = X.chunked
+    for module in ("stupid_backoff", "substring_dedup", "line_templates"):
+        monkeypatch.setattr(f"subgrove.llm.{module}.X.chunked", lambda *a, **k: chunked(*a[:1], 23 * X.CHUNK_BYTES, *a[2:5], chunk_bytes=X.CHUNK_BYTES))
+        monkeypatch.setattr(f"subgrove.llm.{module}.X.buckets", lambda size: bits)
+    assert X.near(bits) < bits
+    got = ask()
+    assert got[1:] == want[1:]
+    assert sorted((x[0], x[1], round(x[2], 9), *x[4:]) for x in got[0]) == sorted((x[0], x[1], round(x[2], 9), *x[4:]) for x in want[0])
+
+
 # the pipeline
 
 
