@@ -230,11 +230,12 @@ def _gains(model: Model, texts: list[list[str]], cache: dict[str, float]) -> tup
 
 
 def _totals(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, the sum and the largest of its marginals."""
+    """Of each text, the sum of its squared marginals, to which the many small ones of a long harmless text add next to
+    nothing, and the largest marginal."""
     total, most = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
     some = np.flatnonzero(np.diff(at))
     if len(some):
-        total[some], most[some] = np.add.reduceat(p, at[some]), np.maximum.reduceat(p, at[some])
+        total[some], most[some] = np.add.reduceat(p * p, at[some]), np.maximum.reduceat(p, at[some])
     return total, most
 
 

@@ -197,7 +197,7 @@ def plain_score(model, t):
     tokens = T._TOKEN.findall(t or "")
     p = plain_marginals(model, tokens) if tokens else np.zeros(1)
     a, b, c = model.score
-    return 1 / (1 + math.exp(-(a + b * math.log1p(p.sum()) + c * p.max())))
+    return 1 / (1 + math.exp(-(a + b * math.log1p((p * p).sum()) + c * p.max())))
 
 
 def test_toxic_scores_and_spans_against_plain_recursions(spark):
