@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern, edge
-from ..plans.graph import Graph
+from ..plans.graph import CachedGraph, Graph
 from . import domains as D
 from .edges import frequent_edges
 from .sampling import Draw, intervals, verdict
@@ -109,8 +111,23 @@ def mine(graph: Graph, config: Config, predictions: dict[str, Prediction] | None
     predictions (of predict()) are candidates, too. Where one is exact it is not evaluated again; where it is
     infrequent, the node that failed is looked at first, and the others only if that one does not refute it.
     """
-    graph, predictions = graph.cached(), predictions or {}
+    predictions = predictions or {}
+    with _tables(graph) as graph:
+        return _mine(graph, config, predictions)
 
+
+@contextmanager
+def _tables(graph: Graph) -> Iterator[CachedGraph]:
+    """The graph with its tables, which are removed in the end if they are not the caller's: what mining returns does not refer to them."""
+    own = graph.cached()
+    try:
+        yield own
+    finally:
+        if own is not graph:
+            own.drop()
+
+
+def _mine(graph: CachedGraph, config: Config, predictions: dict[str, Prediction]) -> DataFrame:
     def exact(candidates: dict[str, Pattern], sizes: dict[str, dict[int, int]]):
         known = {c: int(predictions[c].estimate) for c in candidates if c in predictions and predictions[c].status == "exact"}
         rest = {c: p for c, p in candidates.items() if c not in known}
@@ -123,7 +140,12 @@ def mine(graph: Graph, config: Config, predictions: dict[str, Prediction] | None
 
 def predict(graph: Graph, config: Config) -> dict[str, Prediction]:
     """Sampled supports of all candidates that come up when patterns are extended that their sample does not show infrequent."""
-    graph, out = graph.cached(), {}
+    with _tables(graph) as graph:
+        return _predict(graph, config)
+
+
+def _predict(graph: CachedGraph, config: Config) -> dict[str, Prediction]:
+    out: dict[str, Prediction] = {}
     first = Draw(config.min_samples, config.every, config.z, config.seed)
     arcs = None
 
@@ -151,8 +173,8 @@ def mine_approx(graph: Graph, config: Config) -> DataFrame:
 
 def mine_two_phase(graph: Graph, config: Config) -> DataFrame:
     """mine() with the predictions of sampling: the same patterns and supports, by fewer searches."""
-    graph = graph.cached()
-    return mine(graph, config, predict(graph, config))
+    with _tables(graph) as graph:
+        return mine(graph, config, predict(graph, config))
 
 
 def top_patterns(patterns: DataFrame, k: int) -> DataFrame:

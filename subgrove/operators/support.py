@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
 from ..plans.graph import Graph
-from ..plans.shared import stored
+from ..plans.shared import kept, remove, stored
 from . import domains as D
 from .embeddings import embeddings, join_order
 
@@ -184,7 +184,9 @@ def supports(graph: Graph, patterns: dict[str, Pattern], support: int = 0, sizes
         for c in open_:
             for i in range(patterns[c].n_nodes):
                 sigs.setdefault(D.signature(patterns[c], i), len(sigs))
-        table = stored(D.many_domains(graph, list(sigs)))
+        table, path = kept(D.many_domains(graph, list(sigs)))
+    else:
+        return out
     while open_:
         todo = [(c, cols[0]) for c, cols in sorted(open_.items())]
         for at in range(0, len(todo), batch):
@@ -197,6 +199,7 @@ def supports(graph: Graph, patterns: dict[str, Pattern], support: int = 0, sizes
             for r in reduce(DataFrame.unionByName, plans).collect():
                 out[r["code"]] = min(out.get(r["code"], r["n"]), r["n"])
         open_ = {c: cols[1:] for c, cols in open_.items() if len(cols) > 1 and out[c] >= max(support, 1)}
+    remove(graph.vertices.sparkSession, path)
     return out
 
 

@@ -156,6 +156,15 @@ class CachedGraph(Graph):
     def kinds(self) -> DataFrame:
         return self._kept(self.adj.groupBy("src", "src_label", "label", "dst_label").agg(F.count("*").alias("n")))
 
+    def drop(self) -> None:
+        """Removes its tables; of what refers to them nothing can be read any more."""
+        spark = self.base.vertices.sparkSession
+        for path in self.paths:
+            remove(spark, path)
+        self.paths.clear()
+        for name in ("vertices", "adj", "kinds"):
+            self.__dict__.pop(name, None)
+
     def alive(self) -> bool:
         """Whether its tables are still there."""
         spark = self.base.vertices.sparkSession
