@@ -18,11 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables in the shared folder that are of no use once a result has been written; done() writes it and removes them."""
 
     def __init__(self) -> None:
         self.paths: list[str] = []
+        self.at: dict[int, str] = {}
 
     def __call__(self, df: DataFrame) -> DataFrame:
         """The rows of df, written to the shared folder and read back: computed once, and not lost with an executor."""
@@ -30,14 +36,21 @@ class Scratch:
         path = f"{shared_folder(spark)}/subgrove-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
-        return spark.read.schema(schema).parquet(path)
+        out = spark.read.schema(schema).parquet(path)
+        self.at[id(out)] = path
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Removes a table that this made."""
+        path = self.at[id(table)]
+        self.paths.remove(path)
+        _remove(table.sparkSession, path)
 
     def less(self, spark: SparkSession, keep: int = 0) -> None:
         """Removes all but the last so many."""
         gone, self.paths = (self.paths[:-keep], self.paths[-keep:]) if keep else (self.paths, [])
         for path in gone:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
 
     def done(self, df: DataFrame) -> DataFrame:
         out = stored(df)

@@ -182,12 +182,14 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
     return X.finish(parts, twice, name, f"doc_id {kind}, n_shingles long, rep long, name long, shared binary, often binary", bits)
 
 
-def _classes(sets: DataFrame) -> DataFrame:
-    """A row per distinct set. Sets whose names begin alike are numbered, so that rep names one set, whatever clashes."""
-    rows = sets.where("rep IS NOT NULL").groupBy("rep", "name", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("shared").alias("shared"), F.first("often").alias("often"))
+def _classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row per distinct set. Should names of several sets begin alike, these are numbered, so that rep names one set in any case."""
+    rows = scratch(sets.where("rep IS NOT NULL").groupBy("rep", "name", "n_shingles").agg(F.min("doc_id").alias("least"), F.first("shared").alias("shared"), F.first("often").alias("often")))
+    if rows.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows.withColumn("first", F.col("rep"))
     nth = F.row_number().over(W.partitionBy("rep").orderBy("name", "n_shingles")) - 1
     rep = F.when(F.col("nth") < 1 << _CLASH_BITS, F.col("rep") + F.col("nth")).otherwise(F.raise_error(F.lit("too many sets of one name")).cast("long"))
-    return rows.withColumn("nth", nth).select(rep.alias("rep"), F.col("rep").alias("first"), "name", "n_shingles", "least", "shared", "often")
+    return scratch(rows.withColumn("nth", nth).select(rep.alias("rep"), F.col("rep").alias("first"), "name", "n_shingles", "least", "shared", "often"))
 
 
 def _keys(classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,7 +272,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     scratch = Scratch()
     sets = scratch(_sets(docs, n, num, den, id_col, text_col))
     sweep(docs.sparkSession)
-    classes = scratch(_classes(sets))
+    classes = _classes(sets, scratch)
+    named = scratch(sets.select("doc_id", "n_shingles", "rep", "name"))
+    scratch.drop(sets)
+    sweep(docs.sparkSession)
     rows = _keys(classes, num, den)
     met = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.when(F.col("rank") < 0, F.col("rep"))).alias("leader"), F.max("rank").alias("rank"))
     live = scratch(rows.join(met.where("rank >= 0 AND low < high AND leader IS NOT NULL").select("key", "leader"), "key"))
@@ -300,7 +305,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (75
     roots = components(links).withColumnRenamed("node", "rep")
     of = classes.select("rep", "first", "name", "n_shingles", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     of = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("first").alias("rep"), "name", "n_shingles", "component_id")
-    out = sets.select("doc_id", "n_shingles", "rep", "name").join(of, ["rep", "name", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = named.join(of, ["rep", "name", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = scratch.done(out)
     sweep(docs.sparkSession)
     return out

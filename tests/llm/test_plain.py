@@ -374,3 +374,12 @@ def test_stages_of_odd_tables(spark, tmp_path):
             if name != "packing":
                 assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
             assert got.count() == len(rows) - (name == "ngram_jaccard" and len(rows) > 0)
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    from subgrove.llm.components import Scratch
+    from subgrove.llm.ngram_jaccard import _classes
+
+    rows = [(1, 9, 16, 5, b"a", b"x"), (2, 9, 16, 5, b"a", b"x"), (3, 9, 16, 6, b"b", b"y"), (4, 8, 16, 6, b"c", b"z"), (5, 9, 32, 5, b"d", b"w"), (6, 0, None, None, None, None)]
+    got = _classes(spark.createDataFrame(rows, "doc_id long, n_shingles long, rep long, name long, shared binary, often binary"), Scratch()).collect()
+    assert len({r["rep"] for r in got}) == 4 and {(r["first"], bytes(r["shared"]), r["least"]) for r in got} == {(16, b"a", 1), (16, b"b", 3), (16, b"c", 4), (32, b"d", 5)}
