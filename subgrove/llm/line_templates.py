@@ -29,11 +29,12 @@ class Lines:
         names = hashed(distinct)
         names[pc.match_substring_regex(distinct, "[0-9]").to_numpy(zero_copy_only=False)] = _FIELD
         self.tokens = names[places]
+        del cut, distinct, names, places
         self.counts = np.diff(self.begin)
-        self.line = np.repeat(np.arange(len(self.counts)), self.counts)  # of each token
-        place = np.arange(len(self.tokens)) - self.begin[self.line]
+        self.line = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)  # of each token
+        place = np.arange(len(self.tokens), dtype=np.int32) - self.begin[:-1].astype(np.int32)[self.line]
         self.leading = place < depth
-        self.terms = mix(self.tokens ^ mix(place.astype(np.uint64) * _STEP + _COUNT))
+        self.terms = mix(self.tokens ^ mix(np.arange(int(self.counts.max(initial=0)), dtype=np.uint64) * _STEP + _COUNT)[place])
         self.node = self._sums(self.leading)
 
     def _sums(self, taken: np.ndarray) -> np.ndarray:

@@ -30,16 +30,14 @@ def words(text: str | None) -> list[bytes]:
 
 def tokens(strings: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words of strings in a row: the distinct ones, each word's place among them, and where each string's begin (one more entry at the end)."""
-    cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(strings))
-    at = np.asarray(cut.offsets, np.int64)
+    trimmed = pc.ascii_trim_whitespace(strings)
+    full = pc.greater(pc.binary_length(trimmed), 0)
+    sizes = np.zeros(len(trimmed), np.int64)
+    filled = full.to_numpy(zero_copy_only=False)
+    cut = pc.ascii_split_whitespace(trimmed if filled.all() else trimmed.filter(full))
+    sizes[filled] = np.diff(np.asarray(cut.offsets))
     found = cut.flatten().dictionary_encode()
-    distinct, places, at = found.dictionary, found.indices.to_numpy(), at - at[0]
-    empty = np.flatnonzero(pc.equal(distinct, "").to_numpy(zero_copy_only=False))
-    if len(empty):  # a string without words is split into one empty word
-        real = places != empty[0]
-        at = np.r_[0, np.cumsum(real)][at]
-        places = places[real]
-    return distinct, places, at
+    return found.dictionary, found.indices.to_numpy(), np.r_[0, np.cumsum(sizes)]
 
 
 def _terms(byte: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -253,7 +253,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_tox
     upto = F.sum("bytes").over(W.orderBy(order, "doc_id", "tie", "toxic").rowsBetween(W.unboundedPreceding, W.currentRow))
     chosen = first.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "tie", "toxic")
     sample = texts.join(F.broadcast(chosen), ["doc_id", "tie"]).groupBy("doc_id", "tie", "toxic").agg(F.first("text").alias("text")).toPandas().sort_values(["doc_id", "tie", "toxic"])
-    return fit(sample["text"].tolist(), [int(x == 1) for x in sample["toxic"]])
+    model = fit(sample["text"].tolist(), [int(x == 1) for x in sample["toxic"]])
+    del sample
+    tidy()
+    return model
 
 
 def toxic_spans(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
