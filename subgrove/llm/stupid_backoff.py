@@ -18,7 +18,7 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     for n in (1, 2, 3):
         inside = np.flatnonzero(starts_within(at, n))
         keys.append(rolling(hashes, n)[inside])
-        ends.append(inside + n - 1)
+        ends.append((inside + (n - 1)).astype(np.int32 if len(hashes) < 1 << 31 else np.int64))
     return np.concatenate(keys), at, ends
 
 
@@ -67,22 +67,23 @@ def stupid_backoff(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id
 
     def score(pdf, flags, counts):
         keys, at, ends = _grams(pdf["text"])
-        order = np.argsort(keys)
+        size, done = int(at[-1]), 0
+        order = np.argsort(keys).astype(ends[0].dtype if 3 * size < 1 << 31 else np.int64)
         keys = keys[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-        often, keys = np.diff(np.r_[first, len(keys)]), keys[first]
-        own = often.astype(np.uint64)
-        own[shared(keys, flags)] = counts
+        new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        own = np.diff(np.flatnonzero(np.r_[new, True])).astype(np.uint64)  # occurrences of each distinct n-gram in the chunk
+        own[shared(keys[new], flags)] = counts
+        del keys
         found = np.empty(len(order), np.uint64)
-        found[order] = np.repeat(own, often)
-        del order, keys
-        size, done = int(at[-1]), 0
+        found[order] = own[np.cumsum(new) - 1]
+        del order, own, new
         by_order = []
         for places in ends:
             full = np.zeros(size, np.uint64)
             full[places] = found[done : done + len(places)]
             done += len(places)
             by_order.append(full)
+        del found, ends
         one, two, three = by_order
         one = one.astype(float)
         before_one, before_two = np.r_[1.0, one[:-1]], np.maximum(np.r_[np.uint64(1), two[:-1]], 1).astype(float)
