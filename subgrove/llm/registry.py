@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .chat_rotation import perspective_rotation
 from .components import stored
 from .decontamination import decontaminate
+from .importance_resampling import importance_resampling
 from .line_templates import line_templates
 from .ngram_jaccard import ngram_jaccard
+from .quality_kernel import quality_scores
 from .quality_rules import BASE, POLICIES, Policy, judged, ledger
 from .simple8b import read_token_files, write_token_files
 from .stupid_backoff import stupid_backoff
 from .substring_dedup import substring_dedup
 from .toxic_spans import toxic_spans, train
 from .vector_packing import best_fit_packing
+from .whitening import fit_whitening, whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +86,30 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=(5, 100))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors, k=4)
+    rows = whitened(vectors, model).select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    n, error, shares = (model.n, model.identity_error, model.explained()) if model else (0, 0.0, [])
+    explained = F.get(F.array(*(F.lit(x).cast("double") for x in shares)).cast("array<double>"), F.col("place"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def unseen() -> Column:
+    """Rows that the quality model does not learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op13_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~unseen(), threshold=0.5)
+    return out.select("doc_id", F.coalesce(unseen(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -94,6 +121,9 @@ QUERIES = {
     "op7_toxic_spans": op7_toxic_spans,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_stupid_backoff": op10_stupid_backoff,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_quality_kernel": op13_quality_kernel,
 }
 
 ORACLE = {
@@ -167,5 +197,22 @@ g AS (SELECT doc_id, count(*) AS n_words, sum(CASE o WHEN 3 THEN ln(n3 / m2) WHE
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(l, 0.0), 4) AS log_score, round(l / n_words, 6) AS mean_log_score,
        coalesce(n_trigram, 0) AS n_trigram, coalesce(n_bigram, 0) AS n_bigram, coalesce(n_unigram, 0) AS n_unigram
 FROM d LEFT JOIN g USING (doc_id)
+""",
+    "op11_importance_resampling": r"""
+WITH poly AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i)),
+steps AS (SELECT list(c ORDER BY i) AS crc FROM poly),
+d AS (SELECT 0 AS kind, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+f AS (SELECT kind, doc_id, array_to_string(w[i:i + m - 1], ' ') AS g FROM w, unnest(range(1, len(w) + 1)) AS t(i), range(1, 4) AS r(m) WHERE i + m - 1 <= len(w)),
+c AS (SELECT g, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f GROUP BY g),
+b AS (SELECT g, s, t, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(rtrim(regexp_replace(hex(encode(g)), '(..)', '\1 ', 'g')), ' '), lambda h: ('0x' || h)::BIGINT)),
+        lambda a, x: xor(a >> 8, steps.crc[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS b FROM c, steps),
+n AS (SELECT r.b, coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM range(10000) AS r(b) LEFT JOIN b USING (b) GROUP BY r.b),
+gain AS (SELECT b, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+x AS (SELECT doc_id, count(*) AS n_features, sum(gain) AS weight FROM f JOIN b USING (g) JOIN gain USING (b) WHERE kind = 0 GROUP BY doc_id),
+scored AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || w.doc_id), 8))::BIGINT + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM w LEFT JOIN x USING (doc_id) WHERE kind = 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 5 * n // 100 THEN k END AS rank FROM scored LEFT JOIN r USING (doc_id)
 """,
 }
