@@ -74,9 +74,9 @@ class Pattern:
     def unique_labels(self) -> bool:
         return len(set(self.labels)) == self.n_nodes
 
-    def may_hold(self, other: Pattern) -> bool:
-        """Whether there are enough nodes of each label for other to be a part."""
-        return not Counter(other.labels) - Counter(self.labels)
+    def held_by(self, counts: dict[float, int]) -> bool:
+        """Whether there are as many vertices of each label as nodes."""
+        return all(counts.get(x, 0) >= n for x, n in Counter(self.labels).items())
 
     def _refined(self, names: list) -> list[int]:
         """Classes of nodes that names and neighbourhoods don't tell apart, refined until they stand; numbered in a canonical order."""
@@ -107,15 +107,30 @@ class Pattern:
                 tried.append(i)
                 yield from self._orders(self._refined([(c, k != i) for k, c in enumerate(colours)]))
 
-    @cached_property
-    def code(self) -> str:
-        """The same for two patterns just when they are isomorphic: the least writing over all orders in _orders()."""
+    def _least(self, names: list):
+        """The least writing over all orders of the nodes that _orders() has for these names."""
         best = None
-        for order in self._orders(self._refined([(x,) for x in self.labels])):
+        for order in self._orders(self._refined(names)):
             place = {i: k for k, i in enumerate(order)}
             edges = tuple(sorted((min(place[u], place[v]), max(place[u], place[v]), x) for u, v, x in self.edges))
             if best is None or edges < best[1]:
                 best = (tuple(self.labels[i] for i in order), edges)
+        return best
+
+    @cached_property
+    def orbits(self) -> tuple[int, ...]:
+        """Of each node, the first node that an automorphism exchanges it with: they have the same images."""
+        classes = self._refined([(x,) for x in self.labels])
+        first, out = {}, []
+        for i, c in enumerate(classes):
+            alone = classes.count(c) == 1
+            out.append(first.setdefault((c, None if alone else self._least([(x, k != i) for k, x in enumerate(self.labels)])), i))
+        return tuple(out)
+
+    @cached_property
+    def code(self) -> str:
+        """The same for two patterns just when they are isomorphic: the least writing over all orders in _orders()."""
+        best = self._least([(x,) for x in self.labels])
         return " ".join(map(repr, best[0])) + "|" + " ".join(f"{u}-{v}:{x!r}" for u, v, x in best[1]) if best and best[0] else ""
 
     def with_node(self, at: int, label: float, edge: float) -> Pattern:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
-from ..plans.graph import Graph
-from ..plans.shared import stored
+from ..plans.graph import Graph, of_kinds
+from ..plans.shared import kept, lookup, remove, stored
 
 
 def needs(pattern: Pattern, i: int) -> tuple[tuple[float, float, int], ...]:
@@ -40,14 +40,12 @@ def signature(pattern: Pattern, i: int) -> tuple:
 
 def many_domains(graph: Graph, signatures: list[tuple]) -> DataFrame:
     """sig (a place in signatures) and id, for many domains in one plan: the vertices' kinds of edges joined to the
-    needs of all signatures, a table with a row for each kind in a signature (patterns are small, and so is it)."""
+    needs of all signatures, a table with a row for each kind in a signature (patterns are small, and so is it). Where
+    kinds is bucketed by vertex, nothing is dealt out."""
     rows = [(k, label, x, y, n, len(own)) for k, (label, own) in enumerate(signatures) for x, y, n in own]
-    if not rows:
-        return graph.vertices.sparkSession.createDataFrame([], "sig int, id long")
-    wanted = graph.vertices.sparkSession.createDataFrame(rows, "sig int, src_label double, label double, dst_label double, need int, total int")
-    met = graph.kinds.join(F.broadcast(wanted), ["src_label", "label", "dst_label"]).where("n >= need").select("sig", F.col("src").alias("id"), "total")
-    several = met.where("total > 1").groupBy("sig", "id", "total").agg(F.count("*").alias("k")).where("k = total").select("sig", "id")
-    return met.where("total = 1").select("sig", "id").unionByName(several)
+    wanted = lookup(graph.vertices.sparkSession, rows, "sig int, src_label double, label double, dst_label double, need int, total int")
+    met = graph.kinds.where(of_kinds((a, x, y) for _, a, x, y, _, _ in rows)).join(wanted, ["src_label", "label", "dst_label"]).where("n >= need").select("sig", F.col("src").alias("id"), "total")
+    return met.groupBy("sig", "id", "total").agg(F.count("*").alias("k")).where("k = total").select("sig", "id")
 
 
 def degree_domains(graph: Graph, pattern: Pattern) -> DataFrame:

@@ -12,14 +12,12 @@ from ..plans.graph import Graph
 def edge_patterns(graph: Graph) -> DataFrame:
     """la <= lb, el and mni, the lesser number of distinct vertices at either end.
 
-    Where both labels are equal both directions are counted at both ends. Ends are first made distinct by
-    label and vertex (a partial aggregation in the map tasks), so no count needs all rows of a pattern at once.
+    Vertices that have edges of a kind are counted once each, by their kinds, so no edge is dealt out; the other end of a kind is the kind
+    the other way round. Where both labels are equal both directions are counted at both ends.
     """
-    rows = graph.adj.where("src_label <= dst_label")
-    key = [F.col("src_label").alias("la"), F.col("dst_label").alias("lb"), F.col("label").alias("el")]
-    ends = rows.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("src").alias("id")), F.struct(F.lit(1).alias("col"), F.col("dst").alias("id")))).alias("e"))
-    each = ends.select("la", "lb", "el", "e.col", "e.id").distinct().groupBy("la", "lb", "el", "col").agg(F.count("*").alias("n"))
-    return each.groupBy("la", "lb", "el").agg(F.min("n").alias("mni"))
+    starts = graph.cached().kinds.groupBy("src_label", "label", "dst_label").agg(F.count("*").alias("n"))
+    ends = starts.select(F.least("src_label", "dst_label").alias("la"), F.greatest("src_label", "dst_label").alias("lb"), F.col("label").alias("el"), "n")
+    return ends.groupBy("la", "lb", "el").agg(F.min("n").alias("mni"))
 
 
 def frequent_edges(graph: Graph, support: int) -> DataFrame:

@@ -14,7 +14,7 @@ from ..plans.graph import CachedGraph, Graph
 from . import domains as D
 from .edges import frequent_edges
 from .sampling import Draw, intervals, verdict
-from .support import supports
+from .support import star_centre, star_supports, supports
 
 SCHEMA = "code string, n_nodes int, n_edges int, node_labels array<double>, edges array<struct<u:int,v:int,label:double>>, mni long, status string"
 #: Edges a vertex above which sampling does not look at arcs first.
@@ -34,7 +34,6 @@ class Config:
     max_edges: int | None = None
     max_nodes: int | None = None
     max_candidates: int | None = None
-    batch: int = 16
     min_samples: int = 60
     sample_size: int = 300
     every: int | None = None
@@ -106,7 +105,7 @@ def mine(graph: Graph, config: Config, predictions: dict[str, Prediction] | None
     extending frequent patterns by frequent edges misses none. A level's candidates are distinct by code,
     have frequent parts only, and large enough domains, before any embedding is searched. Patterns live on the
     driver; everything that depends on the graph's size is a plan, and a level is a few plans, however many
-    candidates it has: one for all domains, one for all stars, and for other patterns one a batch of nodes.
+    candidates it has: one for all domains, one for all stars, and for all other patterns one search a node.
 
     predictions (of predict()) are candidates, too. Where one is exact it is not evaluated again; where it is
     infrequent, the node that failed is looked at first, and the others only if that one does not refute it.
@@ -132,19 +131,22 @@ def _mine(graph: CachedGraph, config: Config, predictions: dict[str, Prediction]
         known = {c: int(predictions[c].estimate) for c in candidates if c in predictions and predictions[c].status == "exact"}
         rest = {c: p for c, p in candidates.items() if c not in known}
         suspects = {c: predictions[c].suspect for c in rest if c in predictions and predictions[c].status == "infrequent" and predictions[c].pattern == rest[c]}
-        counts = known | supports(graph, rest, config.support, sizes, suspects, config.batch)
+        counts = known | supports(graph, rest, config.support, sizes, suspects)
         return {c: (p, counts[c], "exact") for c, p in candidates.items() if counts[c] >= config.support}
 
     return _table(graph.vertices.sparkSession, _levels(graph, config, exact, {c: p.pattern for c, p in predictions.items()}))
 
 
-def predict(graph: Graph, config: Config) -> dict[str, Prediction]:
-    """Sampled supports of all candidates that come up when patterns are extended that their sample does not show infrequent."""
+def predict(graph: Graph, config: Config, exact_stars: bool = False) -> dict[str, Prediction]:
+    """Sampled supports of all candidates that come up when patterns are extended that their sample does not show infrequent.
+
+    exact_stars: stars, which take one plan a level, are counted and not sampled.
+    """
     with _tables(graph) as graph:
-        return _predict(graph, config)
+        return _predict(graph, config, exact_stars)
 
 
-def _predict(graph: CachedGraph, config: Config) -> dict[str, Prediction]:
+def _predict(graph: CachedGraph, config: Config, exact_stars: bool) -> dict[str, Prediction]:
     out: dict[str, Prediction] = {}
     first = Draw(config.min_samples, config.every, config.z, config.seed)
     arcs = None
@@ -153,12 +155,13 @@ def _predict(graph: CachedGraph, config: Config) -> dict[str, Prediction]:
         nonlocal arcs
         if arcs is None:
             arcs = graph.density() <= DENSE
-        rest, draws = candidates, [first] if config.every or config.min_samples >= config.sample_size else [first, replace(first, size=config.sample_size)]
-        for draw in draws:
-            for c, columns in intervals(graph, rest, config.support, draw, arcs).items():
-                out[c] = Prediction(candidates[c], *verdict(columns))
-            rest = {c: p for c, p in rest.items() if out[c].status == "uncertain"}
-        return {c: (p, int(out[c].estimate), out[c].status) for c, p in candidates.items() if out[c].status != "infrequent"}
+        known = star_supports(graph, {c: p for c, p in candidates.items() if star_centre(p) is not None}) if exact_stars else {}
+        for c, n in known.items():
+            out[c] = Prediction(candidates[c], float(n), "exact", 0)
+        draws = [first] if config.every or config.min_samples >= config.sample_size else [first, replace(first, size=config.sample_size)]
+        for c, columns in intervals(graph, {c: p for c, p in candidates.items() if c not in known}, config.support, draws, arcs).items():
+            out[c] = Prediction(candidates[c], *verdict(columns))
+        return {c: (p, int(out[c].estimate), out[c].status) for c, p in candidates.items() if out[c].status != "infrequent" and (c not in known or known[c] >= config.support)}
 
     found = _levels(graph, config, sampled, {})
     return out | {c: Prediction(p, n, "exact", 0) for c, (p, n, _) in found.items() if p.n_edges == 1}
@@ -172,9 +175,9 @@ def mine_approx(graph: Graph, config: Config) -> DataFrame:
 
 
 def mine_two_phase(graph: Graph, config: Config) -> DataFrame:
-    """mine() with the predictions of sampling: the same patterns and supports, by fewer searches."""
+    """mine() with the predictions of sampling: the same patterns and supports, by fewer searches. Only patterns that need a search are sampled."""
     with _tables(graph) as graph:
-        return mine(graph, config, predict(graph, config))
+        return mine(graph, config, predict(graph, config, exact_stars=True))
 
 
 def top_patterns(patterns: DataFrame, k: int) -> DataFrame:

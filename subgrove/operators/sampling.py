@@ -3,50 +3,47 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
-from ..plans.graph import Graph
-from ..plans.shared import stored
+from ..plans.graph import CachedGraph, Graph
+from ..plans.shared import lookup
 from . import domains as D
-from .support import column_images, star_centre
+from .search import Task, signatures, sought
+from .support import star_centre, star_leaves
 
-_SHARES = 1 << 30
+_SHARES = 1 << 32
 
 
 @dataclass(frozen=True)
 class Draw:
     """Which candidates are drawn: those whose id is divisible by every, or else about size of them, those of the
-    least hashes of id and seed; a domain no larger than size is taken whole. Either way a draw is a test of the id
-    alone: the same on every run, without repetition, and without sorting a domain."""
+    least hashes (the leading 32 bits of md5 of "seed:id"); a domain no larger than size is taken whole. Either way a draw is a test of the id
+    alone: the same on every run, without repetition, and without sorting a domain. A smaller draw is part of a larger one; after: less what a draw of
+    that size has."""
 
     size: int = 300
     every: int | None = None
     z: float = 2.58
     seed: int = 42
+    after: int = 0
 
     def __call__(self, ids: Column, domain: Column) -> Column:
         if self.every:
             return F.pmod(ids, F.lit(self.every)) == 0
-        share = F.ceil(F.lit(float(_SHARES * self.size)) / F.greatest(domain, F.lit(1)))
-        return (domain <= self.size) | (F.pmod(F.xxhash64(ids, F.lit(self.seed)), F.lit(_SHARES)) < share)
+        place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{self.seed}:"), ids.cast("string"))), 1, 8), 16, 10).cast("long")
+        below = lambda size: (domain <= size) | (place < F.ceil(F.lit(float(_SHARES * size)) / F.greatest(domain, F.lit(1))))
+        return below(self.size) & ~below(self.after) if self.after else below(self.size)
 
 
 def sampled_fraction(graph: Graph, pattern: Pattern, every: int) -> DataFrame:
     """col, sampled, valid and estimate: of the candidates whose id is divisible by every, those that are images."""
-    graph = graph.cached()
-    start = D.domains(graph, pattern)
-    out = []
-    for i, own in start.items():
-        seeds = own.where(F.pmod("id", F.lit(every)) == 0)
-        valid = column_images(graph, pattern, i, seeds).agg(F.count("*").alias("valid"))
-        out.append(seeds.agg(F.count("*").alias("sampled")).crossJoin(valid).select(F.lit(i).alias("col"), "sampled", "valid", (F.col("valid") * every).cast("long").alias("estimate")))
-    return reduce(DataFrame.unionByName, out)
+    rows = drawn(graph.cached(), {"": pattern}, Draw(every=every))
+    return rows.select("col", F.col("n").alias("sampled"), "valid", (F.col("valid") * every).cast("long").alias("estimate"))
 
 
 def judged(counts: DataFrame, support: int, z: float) -> DataFrame:
@@ -67,28 +64,55 @@ def judged(counts: DataFrame, support: int, z: float) -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-def _counts(graph: Graph, pattern: Pattern, i: int, own: DataFrame, draw: Draw, domains: dict[int, DataFrame]) -> DataFrame:
-    """One row domain, n, valid of a node."""
-    sized = own.crossJoin(F.broadcast(own.agg(F.count("*").alias("domain"))))
-    seeds = sized.where(draw(F.col("id"), F.col("domain"))).select("id")
-    row = own.agg(F.count("*").alias("domain")).crossJoin(seeds.agg(F.count("*").alias("n")))
-    return row.crossJoin(column_images(graph, pattern, i, seeds, domains).agg(F.count("*").alias("valid")))
+def drawn(graph: CachedGraph, patterns: dict[str, Pattern], draw: Draw, arcs: bool = False) -> DataFrame:
+    """code, col, domain, n (drawn) and valid of each node of many patterns, in one plan: the seeds of all nodes are searched for together.
+
+    Of nodes that an automorphism exchanges one is drawn, which speaks for all. arcs: of a node's domain only those vertices count that have, along each edge
+    of the pattern, a neighbour in the domain at its other end; not worth it in dense graphs.
+    """
+    spark = graph.vertices.sparkSession
+    sigs = signatures(patterns.values())
+    domains = D.many_domains(graph, list(sigs))
+    nodes = [(c, i) for c, p in sorted(patterns.items()) for i in sorted(set(p.orbits))]
+    tasks = {t: Task.of(graph, patterns[c], i) for t, (c, i) in enumerate(nodes)}
+    named = lookup(spark, [(t, sigs[D.signature(patterns[c], i)]) for t, (c, i) in enumerate(nodes)], "task int, sig int")
+    own = domains.join(named, "sig").select("task", "id")
+    if arcs:
+        own = _met(graph, nodes, patterns, own, domains, sigs)
+    sizes = own.groupBy("task").agg(F.count("*").alias("domain"))
+    seeds = own.join(F.broadcast(sizes), "task").where(draw(F.col("id"), F.col("domain"))).select("task", "id")  # a row for each node of a pattern
+    n = seeds.groupBy("task").agg(F.count("*").alias("n"))
+    valid = sought(graph, tasks, seeds, domains, sigs).groupBy("task").agg(F.count("*").alias("valid"))
+    names = lookup(spark, [(t, c, j) for t, (c, i) in enumerate(nodes) for j, o in enumerate(patterns[c].orbits) if o == i], "task int, code string, col int")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return names.join(sizes, "task", "left").join(n, "task", "left").join(valid, "task", "left").select("code", "col", *map(count, ("domain", "n", "valid")))
+
+
+def _met(graph: CachedGraph, nodes: list[tuple[str, int]], patterns: dict[str, Pattern], own: DataFrame, domains: DataFrame, sigs: dict) -> DataFrame:
+    """Of own (task, id) those that meet a vertex of the right domain along every edge of their node, for all tasks at once."""
+    ends = [(t, k, x, patterns[c].labels[j], sigs[D.signature(patterns[c], j)], len(patterns[c].around[i])) for t, (c, i) in enumerate(nodes) for k, (j, x) in enumerate(sorted(patterns[c].around[i].items()))]
+    asked = lookup(graph.vertices.sparkSession, ends, "task int, end int, label double, dst_label double, sig int, total int")
+    arcs = own.withColumnRenamed("id", "src").join(asked, "task").join(graph.adj.select("src", "label", "dst_label", "dst"), ["src", "label", "dst_label"])
+    hit = arcs.join(domains.select("sig", F.col("id").alias("dst")), ["sig", "dst"], "left_semi").select("task", F.col("src").alias("id"), "total", "end").distinct()
+    return hit.groupBy("task", "id", "total").agg(F.count("*").alias("k")).where("k = total").select("task", "id")
 
 
 def support_interval(graph: Graph, pattern: Pattern, support: int, draw: Draw = Draw(), arcs: bool = False) -> DataFrame:
-    """col, domain, n, valid, estimate, low, high and verdict (frequent, infrequent or uncertain) of each node.
+    """col, domain, n, valid, estimate, low, high and verdict (frequent, infrequent or uncertain) of each node."""
+    return judged(drawn(graph.cached(), {"": pattern}, draw, arcs).drop("code"), support, draw.z)
 
-    arcs: domains are made consistent along arcs first, as far as one look at each arc does; not worth it in dense graphs.
-    """
-    graph = graph.cached()
-    table = stored(D.as_table(D.consistent_once(graph, pattern) if arcs else D.domains(graph, pattern)))
-    found = {i: table.where(F.col("col") == i).select("id") for i in range(pattern.n_nodes)}
-    each = [_counts(graph, pattern, i, own, draw, found).select(F.lit(i).alias("col"), "domain", "n", "valid") for i, own in found.items()]
-    return judged(reduce(DataFrame.unionByName, each), support, draw.z)
+
+def judge(domain: int, n: int, valid: int, support: int, z: float) -> tuple[float, str]:
+    """Estimate and verdict as of judged()."""
+    m = max(n, 1)
+    p = valid / m
+    middle, wide = (p + z * z / (2 * m)) / (1 + z * z / m), z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
+    low, high = (valid, valid) if n == domain else (0.0, domain) if n == 0 else (domain * (middle - wide), domain * (middle + wide))
+    return domain * valid / m, "frequent" if low >= support else "infrequent" if high < support else "uncertain"
 
 
-def star_intervals(graph: Graph, stars: dict[str, Pattern], support: int, draw: Draw) -> dict[str, list[tuple]]:
-    """(domain, n, valid, estimate, verdict) for each node of many stars, in one plan.
+def _star_counts(graph: CachedGraph, stars: dict[str, Pattern], draw: Draw) -> dict[str, list[tuple[int, int, int]]]:
+    """(domain, n, valid) for each node of many stars, in one plan.
 
     Domains and centres are found together for all stars. A centre's domain is its images; a drawn leaf is valid if
     one of its neighbours is a centre.
@@ -103,34 +127,50 @@ def star_intervals(graph: Graph, stars: dict[str, Pattern], support: int, draw:
             pairs[mine, sigs.setdefault(D.signature(p, i), len(sigs))] = (p.labels[c], p.around[c][i], p.labels[i])
     found = D.many_domains(graph, list(sigs))
     sizes = found.groupBy("sig").agg(F.count("*").alias("domain"))
-    drawn = found.join(F.broadcast(sizes), "sig").where(draw(F.col("id"), F.col("domain"))).select("sig", "id")
-    n = drawn.groupBy("sig").agg(F.count("*").alias("n"))
+    drawn_ = found.join(F.broadcast(sizes), "sig").where(draw(F.col("id"), F.col("domain"))).select("sig", "id")
+    n = drawn_.groupBy("sig").agg(F.count("*").alias("n"))
     own = sizes.join(n, "sig", "left").select(F.col("sig").alias("centre"), F.lit(-1).alias("leaf"), "domain", F.coalesce("n", F.lit(0)).alias("n"))
-    leaf = spark.createDataFrame([(a, b, *k) for (a, b), k in sorted(pairs.items())], "centre int, leaf int, src_label double, label double, dst_label double")
-    arcs = graph.adj.join(F.broadcast(leaf), ["src_label", "label", "dst_label"]).join(found.select(F.col("sig").alias("centre"), F.col("id").alias("src")), ["centre", "src"], "left_semi")
-    arcs = arcs.join(drawn.select(F.col("sig").alias("leaf"), F.col("id").alias("dst")), ["leaf", "dst"], "left_semi")
-    valid = arcs.select("centre", "leaf", "dst").distinct().groupBy("centre", "leaf").agg(F.count("*").alias("valid"))
+    leaf = lookup(spark, [(a, b) for a, b in sorted(pairs)], "centre int, leaf int")
+    met = star_leaves(graph, found, [(a, *k, b) for (a, b), k in sorted(pairs.items())], drawn_)
+    valid = met.groupBy("centre", "leaf").agg(F.sum("n").alias("valid"))
     of_leaf = own.select(F.col("centre").alias("leaf"), "domain", "n")
-    rows = own.withColumn("valid", F.col("n")).unionByName(leaf.select("centre", "leaf").join(of_leaf, "leaf").join(valid, ["centre", "leaf"], "left").select("centre", "leaf", "domain", "n", F.coalesce("valid", F.lit(0)).alias("valid")))
-    known = {(r["centre"], r["leaf"]): (r["domain"], r["n"], r["valid"], r["estimate"], r["verdict"]) for r in judged(rows, support, draw.z).collect()}
-    none = (0, 0, 0, 0.0, "infrequent" if support > 0 else "frequent")
+    rows = own.withColumn("valid", F.col("n")).unionByName(leaf.join(of_leaf, "leaf").join(valid, ["centre", "leaf"], "left").select("centre", "leaf", "domain", "n", F.coalesce("valid", F.lit(0)).alias("valid")))
+    known = {(r["centre"], r["leaf"]): (r["domain"], r["n"], r["valid"]) for r in rows.collect()}
     out = {}
     for code, p in stars.items():
         c = star_centre(p)
         mine = sigs[D.signature(p, c)]
-        out[code] = [known.get((mine, -1 if i == c else sigs[D.signature(p, i)]), none) for i in range(p.n_nodes)]
+        out[code] = [known.get((mine, -1 if i == c else sigs[D.signature(p, i)]), (0, 0, 0)) for i in range(p.n_nodes)]
     return out
 
 
-def intervals(graph: Graph, patterns: dict[str, Pattern], support: int, draw: Draw, arcs: bool = False, batch: int = 6) -> dict[str, list[tuple]]:
-    """As star_intervals(), for any patterns; those that are no stars are searched for in batches, a job each."""
+def counted(graph: CachedGraph, patterns: dict[str, Pattern], draw: Draw, arcs: bool = False) -> dict[str, list[tuple[int, int, int]]]:
+    """(domain, n, valid) for each node of many patterns: stars are one plan, all others are searched for in one plan."""
     stars = {c: p for c, p in patterns.items() if star_centre(p) is not None}
-    out = star_intervals(graph, stars, support, draw) if stars else {}
-    rest = sorted(patterns.keys() - stars.keys())
-    for at in range(0, len(rest), batch):
-        few = [support_interval(graph, patterns[c], support, draw, arcs).select(F.lit(c).alias("code"), "col", "domain", "n", "valid", "estimate", "verdict") for c in rest[at : at + batch]]
-        for r in sorted(reduce(DataFrame.unionByName, few).collect(), key=lambda r: r["col"]):
-            out.setdefault(r["code"], []).append((r["domain"], r["n"], r["valid"], r["estimate"], r["verdict"]))
+    out = _star_counts(graph, stars, draw) if stars else {}
+    if rest := {c: p for c, p in patterns.items() if c not in stars}:
+        for r in sorted(drawn(graph, rest, draw, arcs).collect(), key=lambda r: (r["code"], r["col"])):
+            out.setdefault(r["code"], []).append((r["domain"], r["n"], r["valid"]))
+    return out
+
+
+def intervals(graph: Graph, patterns: dict[str, Pattern], support: int, draws: list[Draw], arcs: bool = False) -> dict[str, list[tuple]]:
+    """(domain, n, valid, estimate, verdict) for each node of many patterns, by one draw after the other.
+
+    A test in sequence: after each draw only patterns that it leaves uncertain go on, and what has been
+    drawn for them before counts, too. draws: of growing size.
+    """
+    counts: dict[str, list[tuple[int, int, int]]] = {}
+    out: dict[str, list[tuple]] = {}
+    rest = patterns
+    for k, draw in enumerate(draws):
+        if not rest:
+            break
+        more = counted(graph.cached(), rest, replace(draw, after=draws[k - 1].size) if k else draw, arcs)
+        for c, rows in more.items():
+            counts[c] = [(d, n + m, v + w) for (d, n, v), (_, m, w) in zip(rows, counts[c], strict=True)] if k else rows
+            out[c] = [(d, n, v, *judge(d, n, v, support, draw.z)) for d, n, v in counts[c]]
+        rest = {c: p for c, p in rest.items() if verdict(out[c])[1] == "uncertain"}
     return out
 
 
@@ -145,7 +185,7 @@ def verdict(columns: list[tuple]) -> tuple[float, str, int]:
 
 def sampled_support(graph: Graph, pattern: Pattern, support: int, draw: Draw = Draw()) -> tuple[float, str]:
     """The least estimate over nodes, and the verdict on the pattern."""
-    estimate, said, _ = verdict(intervals(graph, {"": pattern}, support, draw)[""])
+    estimate, said, _ = verdict(intervals(graph, {"": pattern}, support, [draw])[""])
     return estimate, "frequent" if said == "exact" else said
 
 
@@ -160,8 +200,3 @@ def quartiles(df: DataFrame, column: str, by: str) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col(column)))
     out = running.groupBy(by).agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     return out.withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-
-
-def sample_size(p: float, margin: float, z: float = 2.58) -> int:
-    """Draws for which a proportion p is known to within margin."""
-    return math.ceil(z * z * p * (1 - p) / (margin * margin))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern
-from ..plans.graph import Graph
-from ..plans.shared import kept, remove, stored
+from ..plans.graph import CachedGraph, Graph
+from ..plans.shared import kept, lookup, remove, stored
 from . import domains as D
-from .embeddings import embeddings, join_order
+from .embeddings import join_order
+from .search import Images, Task, signatures, sought, valid, witnesses
 
 
 def images(graph: Graph, pattern: Pattern, part: tuple[int, int] | None = None) -> DataFrame:
@@ -19,23 +20,31 @@ def images(graph: Graph, pattern: Pattern, part: tuple[int, int] | None = None)
 
     A star whose leaves all differ in label from its centre counts neighbours instead of joining them. A tree of
     distinct labels needs semi-joins only: no two nodes can meet, so its arc-consistent domains are the images.
-    Otherwise arc-consistent domains (in a pattern with cycles: each arc looked at once) are written as one table, and
-    every node is searched for by itself, from its domain on; what the search no longer needs is dropped on the way, so
-    no relation of whole embeddings is made.
+    Of all others nodes are searched for one after the other, each from the candidates that the embeddings
+    found so far don't hold (see Images); what is found is a table, which stays.
     """
     graph = graph.cached()
-    mine = (lambda c: F.lit(True)) if part is None else (lambda c: F.pmod(F.col(c), F.lit(part[1])) == part[0])
+    mine = None if part is None else F.pmod("id", F.lit(part[1])) == part[0]
+    kept_by = lambda df: df if mine is None else df.where(mine)
     if (centre := star_centre(pattern)) is not None:
         return _star_images(graph, pattern, centre, mine)
-    if pattern.acyclic():
-        found = D.tree_domains(graph, pattern)
-        if pattern.unique_labels():
-            return D.as_table(found).where(mine("id"))
-    else:
-        found = D.consistent_once(graph, pattern)
-    table = stored(D.as_table(found))
-    found = {i: table.where(F.col("col") == i).select("id") for i in found}
-    return D.as_table({i: column_images(graph, pattern, i, None if part is None else found[i].where(mine("id")), found) for i in found})
+    if pattern.acyclic() and pattern.unique_labels():
+        return kept_by(D.as_table(D.tree_domains(graph, pattern)))
+    found = search_all(graph, pattern, mine)
+    out = kept_by(found.table(""))
+    found.paths = [p for p in found.paths if p != found.known_path]
+    found.known_path = ""
+    found.drop()
+    return out
+
+
+def search_all(graph: CachedGraph, pattern: Pattern, within: Column | None = None) -> Images:
+    """The images of every orbit of a pattern, those of the smallest domains for their degree first."""
+    found = Images(graph, {"": pattern})
+    found.complete({"": column_order(pattern, {i: graph.label_sizes.get(x, 0) for i, x in enumerate(pattern.labels)})}, within=within)
+    if found.known is None:
+        found.search([("", 0)], F.lit(False))
+    return found
 
 
 def star_centre(pattern: Pattern) -> int | None:
@@ -48,17 +57,18 @@ def star_centre(pattern: Pattern) -> int | None:
     return centre if len(pattern.around[centre]) == pattern.n_edges and pattern.labels[centre] not in rest else None
 
 
-def _star_images(graph: Graph, pattern: Pattern, centre: int, mine) -> DataFrame:
+def _star_images(graph: Graph, pattern: Pattern, centre: int, mine: Column | None) -> DataFrame:
     """A vertex is a centre if it has enough neighbours of each kind; any neighbour of a kind is then a leaf.
 
     Domains count neighbours by kind (edge label and leaf label), with no join of leaves to each other.
     """
     own = D.domains(graph, pattern)[centre]
-    found = {centre: own.where(mine("id"))}
+    found = {centre: own}
     for i in pattern.around[centre]:
-        arcs = graph.adj.where((F.col("src_label") == pattern.labels[centre]) & (F.col("dst_label") == pattern.labels[i]) & (F.col("label") == pattern.around[centre][i]) & mine("dst"))
+        arcs = graph.adj.where((F.col("src_label") == pattern.labels[centre]) & (F.col("dst_label") == pattern.labels[i]) & (F.col("label") == pattern.around[centre][i]))
+        arcs = arcs if mine is None else arcs.select("src", F.col("dst").alias("id")).where(mine).withColumnRenamed("id", "dst")
         found[i] = arcs.join(own.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-    return D.as_table(found)
+    return D.as_table({i: d if mine is None else d.where(mine) for i, d in found.items()})
 
 
 def _least(counts: DataFrame, pattern: Pattern) -> DataFrame:
@@ -80,54 +90,48 @@ def mni_table(graph: Graph, pattern: Pattern) -> DataFrame:
 
 def mni_partitioned(graph: Graph, pattern: Pattern, parts: int) -> DataFrame:
     """The same mni from parts of the ids (id mod parts), each searched for by itself; their counts are summed, as parts are disjoint."""
+    graph = graph.cached()
     each = [images(graph, pattern, (k, parts)).groupBy("col").agg(F.count("*").alias("n")) for k in range(parts)]
     return _least(reduce(DataFrame.unionByName, each).groupBy("col").agg(F.sum("n").alias("n")), pattern)
 
 
-def column_images(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame | None = None, domains: dict[int, DataFrame] | None = None) -> DataFrame:
-    """ids that one node is mapped to, of seeds if given.
+def column_images(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame | None = None) -> DataFrame:
+    """ids that one node is mapped to, of seeds (id) if given, without a table of what is found."""
+    graph = graph.cached()
+    sigs = signatures([pattern])
+    domains = D.many_domains(graph, list(sigs)) if pattern.n_nodes > 1 else graph.by_label(pattern.labels[0]).select(F.lit(0).alias("sig"), "id")
+    own = domains.where(F.col("sig") == sigs[D.signature(pattern, col)]).select(F.lit(0).alias("task"), "id")
+    own = own if seeds is None else own.join(seeds.select("id"), "id", "left_semi").select("task", "id")
+    return sought(graph, {0: Task.of(graph, pattern, col)}, own, domains, sigs).select("id").distinct()
+
 
-    The search starts at the seeds and asks for each whether there is an embedding, not for all of them: a node is
-    joined only while later nodes depend on it, and dropped, with what then repeats, once they don't. A node on
-    which nothing depends is a semi-join.
+def first_embedding(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame, ways: int = 8) -> DataFrame:
+    """For each seed (id) that node col can be mapped to, one embedding: columns n0, n1, ...; the least one in the order of join_order(pattern, col).
+
+    Each seed is searched along its least partial embeddings only, so many at a time as ways. Seeds for which that finds
+    none are first asked for whether they have an embedding at all; those that have are searched again with sixteen times as many, until each has one.
     """
-    if pattern.n_nodes == 1:
-        own = graph.by_label(pattern.labels[0])
-        return own if seeds is None else own.join(seeds.select("id"), "id", "left_semi")
-    domains = domains or D.domains(graph, pattern)
-    rows = domains[col] if seeds is None else domains[col].join(seeds.select("id"), "id", "left_semi")
-    rows, live = rows.select(F.col("id").alias(f"n{col}")), {col}
-    order = join_order(pattern, col)
-    for k, i in enumerate(order[1:], 1):
-        before, later = [j for j in order[:k] if j in pattern.around[i]], set(order[k + 1 :])
-        alike = [j for j in order[:k] if pattern.labels[j] == pattern.labels[i]]
-
-        def wanted(j, later=later):  # whether a node still to come has an edge to it, or its label
-            return j == col or any(j in pattern.around[m] or pattern.labels[m] == pattern.labels[j] for m in later)
-
-        arcs = {j: graph.adj.where((F.col("src_label") == pattern.labels[j]) & (F.col("dst_label") == pattern.labels[i]) & (F.col("label") == pattern.around[i][j])).select(F.col("src").alias(f"n{j}"), F.col("dst").alias(f"n{i}")) for j in before}
-        step = arcs[before[0]].join(domains[i].select(F.col("id").alias(f"n{i}")), f"n{i}", "left_semi")
-        if len(before) == 1 and not alike and not wanted(i):
-            rows = rows.join(step, f"n{before[0]}", "left_semi")
-        else:
-            rows, live = rows.join(step, f"n{before[0]}"), live | {i}
-            for j in before[1:]:
-                rows = rows.join(arcs[j], [f"n{j}", f"n{i}"], "left_semi")
-            for j in alike:
-                rows = rows.where(F.col(f"n{j}") != F.col(f"n{i}"))
-        keep = {j for j in live if wanted(j)}
-        if keep != live:
-            rows, live = rows.select(*(f"n{j}" for j in sorted(keep))).distinct(), keep
-    return rows.select(F.col(f"n{col}").alias("id")).distinct()
-
-
-def first_embedding(graph: Graph, pattern: Pattern, col: int, seeds: DataFrame) -> DataFrame:
-    """For each seed (id) that node col can be mapped to, one embedding, the least: columns n0, n1, ..."""
-    start = D.domains(graph, pattern)
-    start[col] = start[col].join(seeds.select("id"), "id", "left_semi")
-    rows = embeddings(graph, pattern, start, first=col)
-    names = [f"n{i}" for i in range(pattern.n_nodes)]
-    return rows.groupBy(F.col(f"n{col}").alias("seed")).agg(F.min(F.struct(*names)).alias("e")).select("e.*")
+    graph = graph.cached()
+    spark, sigs = graph.vertices.sparkSession, signatures([pattern])
+    domains, path = kept(D.many_domains(graph, list(sigs)))
+    task = {0: Task(pattern, tuple(join_order(pattern, col)))}
+    rest = domains.where(F.col("sig") == sigs[D.signature(pattern, col)]).join(seeds.select("id").distinct(), "id", "left_semi").select(F.lit(0).alias("task"), "id")
+    found, rest_path = [], None
+    while True:
+        found.append(stored(witnesses(graph, task, rest, ways, least=True)))
+        rest = rest.join(found[-1].select("task", F.col("seed").alias("id")), ["task", "id"], "left_anti")
+        rest = valid(graph, task, rest, domains, sigs) if len(found) == 1 else rest
+        before = rest_path
+        rest, rest_path = kept(rest)
+        if before:
+            remove(spark, before)
+        if rest.isEmpty():
+            break
+        ways *= 16
+    remove(spark, path)
+    remove(spark, rest_path)
+    place = {i: k for k, i in enumerate(task[0].order)}
+    return reduce(DataFrame.unionByName, found).select(*(F.element_at("m", place[i] + 1).alias(f"n{i}") for i in range(pattern.n_nodes)))
 
 
 def column_order(pattern: Pattern, sizes: dict[int, int], suspect: int | None = None) -> list[int]:
@@ -137,30 +141,61 @@ def column_order(pattern: Pattern, sizes: dict[int, int], suspect: int | None =
 
 def refuted_by(graph: Graph, pattern: Pattern, support: int) -> int | None:
     """The first node, in column_order(), if its images alone show that the pattern is infrequent, else None."""
+    graph = graph.cached()
     sizes = {r["col"]: r["count"] for r in D.as_table(D.domains(graph, pattern)).groupBy("col").count().collect()}
     col = column_order(pattern, sizes)[0]
     return col if sizes.get(col, 0) < support or column_images(graph, pattern, col).count() < support else None
 
 
-def star_supports(graph: Graph, patterns: dict[str, Pattern]) -> dict[str, int]:
-    """mni of many stars (of star_centre()) in one plan.
+#: Bits of a word of a bitmap of stars.
+_WORD = 60
+
+
+def star_leaves(graph: Graph, centres: DataFrame, stars: list[tuple[int, float, float, float]], leaves: DataFrame | None = None) -> DataFrame:
+    """centre, label, dst_label and n: of stars (centre's sig, centre's label, edge label, leaf label), how many leaves there are of a kind.
 
-    All centres are found together, by kinds of edges; the edges of each centre's kinds then give the leaves. An edge
-    is a row for each distinct set of needs that its centre meets, and is counted away in the map tasks.
+    Each vertex carries one bitmap of the centres' sigs it is in (centres: sig, id), a row for each 60 of them; edges are joined to it once, however many
+    stars there are, and the bitmaps of a leaf's edges are or-ed, in the map tasks first. Bits are counted last. leaves (sig, id) and a fifth entry
+    in stars, the leaf's sig: only leaves in it count; their bitmaps are and-ed, pair by pair.
     """
-    spark, sigs, kinds = graph.vertices.sparkSession, {}, set()
+    spark, sigs = graph.vertices.sparkSession, sorted({s[0] for s in stars})
+    place = {s: k for k, s in enumerate(sigs)}
+    bits = lookup(spark, [(s, k // _WORD, 1 << (k % _WORD)) for s, k in place.items()], "sig int, word int, bit long")
+    maps = centres.join(bits, "sig").groupBy(F.col("id").alias("src"), "word").agg(F.bit_or("bit").alias("bits"))
+    kinds = lookup(spark, sorted({s[1:4] for s in stars}), "src_label double, label double, dst_label double")
+    arcs = graph.adj.join(kinds, ["src_label", "label", "dst_label"]).join(maps, "src")
+    met = arcs.groupBy("src_label", "label", "dst_label", "dst", "word").agg(F.bit_or("bits").alias("bits"))
+    if leaves is None:
+        wanted = [(*s[1:4], s[0], place[s[0]] // _WORD, 1 << (place[s[0]] % _WORD)) for s in sorted(set(stars))]
+        asked = lookup(spark, wanted, "src_label double, label double, dst_label double, centre int, word int, bit long")
+        by_bits = met.groupBy("src_label", "label", "dst_label", "word", "bits").agg(F.count("*").alias("n"))  # leaves of equal bitmaps are counted together
+        hit = by_bits.join(asked, ["src_label", "label", "dst_label", "word"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        return hit.groupBy("centre", "label", "dst_label").agg(F.sum("n").alias("n"))
+    own = sorted({s[4] for s in stars})
+    spot = {s: k for k, s in enumerate(own)}
+    leaf_bits = lookup(spark, [(s, k // _WORD, 1 << (k % _WORD)) for s, k in spot.items()], "sig int, leaf_word int, bit long")
+    leaf_maps = leaves.join(leaf_bits, "sig").groupBy(F.col("id").alias("dst"), "leaf_word").agg(F.bit_or("bit").alias("leaf_bits"))
+    wanted = [(*s[1:4], s[0], place[s[0]] // _WORD, 1 << (place[s[0]] % _WORD), s[4], spot[s[4]] // _WORD, 1 << (spot[s[4]] % _WORD)) for s in sorted(set(stars))]
+    asked = lookup(spark, wanted, "src_label double, label double, dst_label double, centre int, word int, bit long, leaf int, leaf_word int, leaf_bit long")
+    by_bits = met.join(leaf_maps, "dst").groupBy("src_label", "label", "dst_label", "word", "bits", "leaf_word", "leaf_bits").agg(F.count("*").alias("n"))
+    hit = by_bits.join(asked, ["src_label", "label", "dst_label", "word", "leaf_word"])
+    hit = hit.where((F.col("bits").bitwiseAND(F.col("bit")) != 0) & (F.col("leaf_bits").bitwiseAND(F.col("leaf_bit")) != 0))
+    return hit.groupBy("centre", "leaf", "label", "dst_label").agg(F.sum("n").alias("n"))
+
+
+def star_supports(graph: Graph, patterns: dict[str, Pattern]) -> dict[str, int]:
+    """mni of many stars (of star_centre()) in one plan: centres are found together, by kinds of edges; then their leaves."""
+    sigs, stars = {}, set()
     for p in patterns.values():
         c = star_centre(p)
         k = sigs.setdefault(D.signature(p, c), len(sigs))
-        kinds |= {(k, p.labels[c], x, y) for x, y, _ in D.needs(p, c)}
+        stars |= {(k, p.labels[c], x, y) for x, y, _ in D.needs(p, c)}
     if not sigs:
         return {}
     centres = D.many_domains(graph, list(sigs))
-    leaf = spark.createDataFrame(sorted(kinds), "sig int, src_label double, label double, dst_label double")
-    arcs = graph.adj.join(F.broadcast(leaf), ["src_label", "label", "dst_label"]).join(centres.withColumnRenamed("id", "src"), ["sig", "src"], "left_semi")
-    leaves = arcs.select("sig", "label", "dst_label", "dst").distinct().groupBy("sig", "label", "dst_label").agg(F.count("*").alias("n"))
-    sizes = centres.groupBy("sig").agg(F.count("*").alias("n")).select("sig", F.lit(None).cast("double").alias("label"), F.lit(None).cast("double").alias("dst_label"), "n")
-    least = {r["sig"]: (r["n"], r["k"]) for r in leaves.unionByName(sizes).groupBy("sig").agg(F.min("n").alias("n"), F.count("*").alias("k")).collect()}
+    sizes = centres.groupBy(F.col("sig").alias("centre")).agg(F.count("*").alias("n"))
+    counts = star_leaves(graph, centres, sorted(stars)).select("centre", "n").unionByName(sizes)
+    least = {r["centre"]: (r["n"], r["k"]) for r in counts.groupBy("centre").agg(F.min("n").alias("n"), F.count("*").alias("k")).collect()}
     out = {}
     for code, p in patterns.items():
         c = star_centre(p)
@@ -169,38 +204,23 @@ def star_supports(graph: Graph, patterns: dict[str, Pattern]) -> dict[str, int]:
     return out
 
 
-def supports(graph: Graph, patterns: dict[str, Pattern], support: int = 0, sizes: dict[str, dict[int, int]] | None = None, suspects: dict[str, int] | None = None, batch: int = 16) -> dict[str, int]:
+def supports(graph: Graph, patterns: dict[str, Pattern], support: int = 0, sizes: dict[str, dict[int, int]] | None = None, suspects: dict[str, int] | None = None) -> dict[str, int]:
     """mni of many patterns. Where it is below support, some number below support, as soon as one node shows it.
 
-    Stars are one plan. The domains of all other patterns are one table. Of these patterns the first node of column_order() is counted, of those that are left the
-    next, and so on; the nodes of a batch are one job.
+    Stars are one plan. Of all other patterns the first orbit of column_order() is searched, for all of them together, then the next of those that
+    are left, and so on. What a search finds of other nodes is not searched for again.
     """
     graph = graph.cached()
     stars = {c: p for c, p in patterns.items() if star_centre(p) is not None}
     out = star_supports(graph, stars)
-    open_ = {c: column_order(p, (sizes or {}).get(c, {}), (suspects or {}).get(c)) for c, p in patterns.items() if c not in stars}
-    if open_:
-        sigs: dict[tuple, int] = {}
-        for c in open_:
-            for i in range(patterns[c].n_nodes):
-                sigs.setdefault(D.signature(patterns[c], i), len(sigs))
-        table, path = kept(D.many_domains(graph, list(sigs)))
-    else:
+    rest = {c: p for c, p in patterns.items() if c not in stars}
+    if not rest:
         return out
-    while open_:
-        todo = [(c, cols[0]) for c, cols in sorted(open_.items())]
-        for at in range(0, len(todo), batch):
-            few = todo[at : at + batch]
-            plans = []
-            for c, i in few:
-                p = patterns[c]
-                found = column_images(graph, p, i, None, {k: table.where(F.col("sig") == sigs[D.signature(p, k)]).select("id") for k in range(p.n_nodes)})
-                plans.append(found.agg(F.count("*").alias("n")).select(F.lit(c).alias("code"), "n"))
-            for r in reduce(DataFrame.unionByName, plans).collect():
-                out[r["code"]] = min(out.get(r["code"], r["n"]), r["n"])
-        open_ = {c: cols[1:] for c, cols in open_.items() if len(cols) > 1 and out[c] >= max(support, 1)}
-    remove(graph.vertices.sparkSession, path)
+    orders = {c: column_order(p, (sizes or {}).get(c, {}), (suspects or {}).get(c)) for c, p in rest.items()}
+    found = Images(graph, rest)
+    out |= found.complete(orders, max(support, 1))
+    found.drop()
     return out
 
 
-__all__ = ["images", "mni", "mni_table", "mni_partitioned", "column_images", "column_order", "first_embedding", "refuted_by", "star_centre", "star_supports", "supports"]
+__all__ = ["images", "mni", "mni_table", "mni_partitioned", "column_images", "column_order", "first_embedding", "refuted_by", "search_all", "star_centre", "star_leaves", "star_supports", "supports"]

@@ -18,7 +18,7 @@ from ..operators.embeddings import embeddings
 from ..sources import commerce as C
 from ..sources import lg
 from .graph import CachedGraph, Graph
-from .shared import shared_folder
+from .shared import changed, remove, shared_folder, stored
 
 CUSTOMER, ORDER, PART, SUPPLIER = 101.0, 201.0, 301.0, 400.0
 PATH = path([CUSTOMER, ORDER, PART, SUPPLIER], [1, 2, 4])
@@ -27,18 +27,31 @@ TRIANGLE = Pattern.of([ORDER, PART, SUPPLIER], [(0, 1, 2), (0, 2, 3), (1, 2, 4)]
 FORK = star(CUSTOMER, [ORDER, ORDER], [1, 1])
 STAR3 = star(CUSTOMER, [ORDER, ORDER, 202.0], [1, 1, 1])
 BENT = path([ORDER, CUSTOMER, ORDER, PART], [1, 1, 2])
+SQUARE = Pattern.of([ORDER, PART, 202.0, SUPPLIER], [(0, 1, 2), (1, 2, 2), (2, 3, 3), (0, 3, 3)])
+WIDE = (CUSTOMER, ORDER, 202.0, PART)
 CASES = {"path": PATH, "tree": UNIQUE_TREE, "triangle": TRIANGLE, "fork": FORK, "star3": STAR3, "bent": BENT}
 
 
-_GRAPHS: dict[tuple[str, str, bool], CachedGraph] = {}
+_GRAPHS: dict[tuple[str, str, bool], tuple[tuple, CachedGraph]] = {}
 
 
 def _graph(spark: SparkSession, sf_dir: str, forest: bool = False) -> CachedGraph:
-    """The commerce graph (or its customers and orders only), whose tables are written once a session, when first asked for."""
-    key = (spark.sparkContext.applicationId, sf_dir, forest)
-    if key not in _GRAPHS or not _GRAPHS[key].alive():
-        _GRAPHS[key] = (C.forest if forest else C.commerce)(spark, sf_dir).cached()
-    return _GRAPHS[key]
+    """The commerce graph (or its customers and orders only), whose tables are written once a session, when first asked for, and anew
+    when the tables it comes from have been written anew."""
+    key, written = (spark.sparkContext.applicationId, sf_dir, forest), tuple(changed(spark, f"{sf_dir}/{t}.parquet") for t in C.TABLES)
+    known = _GRAPHS.get(key)
+    if known is None or known[0] != written or not known[1].alive():
+        if known:
+            known[1].drop()
+        _GRAPHS[key] = (written, (C.forest if forest else C.commerce)(spark, sf_dir).cached())
+    return _GRAPHS[key][1]
+
+
+def drop_graphs() -> None:
+    """Removes the tables of all graphs of the queries."""
+    for _, graph in _GRAPHS.values():
+        graph.drop()
+    _GRAPHS.clear()
 
 
 def _share(spark: SparkSession, sf_dir: str, hundredths: int) -> int:
@@ -80,12 +93,20 @@ def lg_file_roundtrip(spark, sf_dir):
     """Through a .lg file."""
     path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}.lg"
     lg.write_lg(C.forest(spark, sf_dir), path)
-    return _sums(lg.read_lg(spark, path))
+    out = stored(_sums(lg.read_lg(spark, path)))
+    remove(spark, path)
+    return out
 
 
 def lg_text_graph(spark, sf_dir):
-    """From a text: a repeated vertex and pair, a self-loop and an edge to no vertex."""
-    return lg.from_text(spark, "# t 1\nv 0 1\nv 1 2\nv 1 9\nv 2 2\ne 0 1 1\ne 1 0 7\ne 2 2 1\ne 0 8 1\ne 2 1 3\n").adj
+    """From lines of text: suppliers in a row, each vertex and pair twice with another label (the first line wins), self-loops, and an edge to no vertex."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), "s_nationkey")
+    line = lambda n, *parts: F.struct(F.concat_ws(" ", *parts).alias("value"), F.struct(F.lit(n), F.col("k")).alias("at"))
+    v, e, after = F.lit("v"), F.lit("e"), F.col("k") + 1
+    lines = s.select(F.explode(F.array(
+        line(0, v, "k", "s_nationkey"), line(1, v, "k", F.lit(99)), line(2, e, "k", after, F.lit(1)), line(3, e, after, "k", F.lit(7)), line(4, e, "k", "k", F.lit(1)),
+    )).alias("x")).select("x.*")
+    return Graph.clean(*lg.parse_lg(lines), order="at").adj
 
 
 def table_graph_counts(spark, sf_dir):
@@ -93,7 +114,9 @@ def table_graph_counts(spark, sf_dir):
     path, g = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", C.forest(spark, sf_dir)
     g.vertices.write.parquet(f"{path}/vertices")
     g.edges.write.parquet(f"{path}/edges")
-    return _sums(lg.read_tables(spark, f"{path}/vertices", f"{path}/edges"))
+    out = stored(_sums(lg.read_tables(spark, f"{path}/vertices", f"{path}/edges")))
+    remove(spark, path)
+    return out
 
 
 def node_dump(spark, sf_dir):
@@ -112,7 +135,7 @@ def vertex_lookup(spark, sf_dir):
 def label_presence(spark, sf_dir):
     """Whether there are enough vertices of each label for a pattern."""
     have = {r["label"]: r["n"] for r in _graph(spark, sf_dir).label_histogram().collect()}
-    rows = [(k, all(have.get(x, 0) >= p.labels.count(x) for x in p.labels)) for k, p in {**CASES, "stranger": path([CUSTOMER, 999.0], [1])}.items()]
+    rows = [(k, p.held_by(have)) for k, p in {**CASES, "stranger": path([CUSTOMER, 999.0], [1])}.items()]
     return spark.createDataFrame(rows, "name string, present boolean")
 
 
@@ -200,6 +223,17 @@ def support_ci(spark, sf_dir):
     return SA.support_interval(_graph(spark, sf_dir), FORK, _share(spark, sf_dir, 11), SA.Draw(every=3)).select("col", "domain", "n", "valid", F.round("estimate", 6).alias("estimate"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "verdict")
 
 
+def support_ci_hash(spark, sf_dir):
+    """As support_ci, from about 60 candidates of each node, drawn by hash."""
+    found = SA.support_interval(_graph(spark, sf_dir), FORK, _share(spark, sf_dir, 11), SA.Draw(size=60))
+    return found.select("col", "domain", "n", "valid", F.round("estimate", 6).alias("estimate"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "verdict")
+
+
+def support_ci_bent(spark, sf_dir):
+    """Sampled supports of a path that needs a search."""
+    return SA.drawn(_graph(spark, sf_dir), {"": BENT}, SA.Draw(size=40)).select("col", "domain", "n", "valid")
+
+
 def edge_label_lookup(spark, sf_dir):
     g = _graph(spark, sf_dir)
     pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select((2_000_000_000 + F.col("o_orderkey")).alias("src"), (1_000_000_001 + F.col("o_custkey") % 7).alias("dst"))
@@ -227,7 +261,8 @@ def connected_components(spark, sf_dir):
 
 
 def pattern_canonical_codes(spark, sf_dir):
-    return spark.createDataFrame([(k, p.code, p.n_nodes, p.n_edges) for k, p in CASES.items()], "name string, code string, n_nodes int, n_edges int")
+    """The codes of all patterns of up to two edges that are mined from the forest."""
+    return _mined(spark, sf_dir, 2).select("code", "n_nodes", "n_edges", "mni")
 
 
 def _rows(patterns: DataFrame, nodes: int = 3) -> DataFrame:
@@ -270,11 +305,21 @@ def mine_cyclic(spark, sf_dir):
     return _rows(M.mine(small, M.Config(_share(spark, sf_dir, 4), max_edges=3, max_nodes=3))).groupBy("n_edges", "l1", "l2", "l3").agg(F.count("*").alias("n"), F.sum("mni").alias("sum_mni"))
 
 
+def mine_paths_k3(spark, sf_dir):
+    """Patterns of up to three edges, paths and stars, among the customers, orders and parts of four labels."""
+    g = _graph(spark, sf_dir)
+    small = g.without_vertices(g.vertices.where(~F.col("label").isin(*WIDE)))
+    found = _rows(M.mine(small, M.Config(_share(spark, sf_dir, 9), max_edges=3)), 4)
+    return found.groupBy("n_edges", "l1", "l2", "l3", "l4").agg(F.count("*").alias("n"), F.sum("mni").alias("sum_mni"))
+
+
 def result_roundtrip(spark, sf_dir):
     """The mined patterns as numbered .lg text and back: how many of each size, and their supports."""
     path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
     M.write_result(_mined(spark, sf_dir, 2), path)
-    return M.read_result(spark, path).groupBy("n_edges").agg(F.count("*").alias("n"), F.sum("mni").alias("sum_mni"))
+    found = M.read_result(spark, path)
+    remove(spark, path)
+    return found.groupBy("n_edges").agg(F.count("*").alias("n"), F.sum("mni").alias("sum_mni"))
 
 
 def top_patterns(spark, sf_dir):
@@ -302,7 +347,8 @@ QUERIES = {
     "mni_triangle": _mni(TRIANGLE),
     "mni_fork_same_label": _mni(FORK),
     "mni_star3": _mni(STAR3),
-    **{f.__name__: f for f in (mni_table_bent, mni_partitioned, occurrence_dump, first_embeddings, refuted_pattern, one_column_refute, support_sample_frac, support_ci, edge_label_lookup, edge_removal_isolated, vertex_removal, neighbourhood_containment, connected_components, pattern_canonical_codes, mine_forest_k2, mine_forest_k3, mine_approx_k2, mine_two_phase_k3, mine_cyclic, result_roundtrip, top_patterns, pattern_set_ops, cost_quartiles)},
+    "mni_square": _mni(SQUARE),
+    **{f.__name__: f for f in (mni_table_bent, mni_partitioned, occurrence_dump, first_embeddings, refuted_pattern, one_column_refute, support_sample_frac, support_ci, support_ci_hash, support_ci_bent, edge_label_lookup, edge_removal_isolated, vertex_removal, neighbourhood_containment, connected_components, pattern_canonical_codes, mine_forest_k2, mine_forest_k3, mine_approx_k2, mine_two_phase_k3, mine_cyclic, mine_paths_k3, result_roundtrip, top_patterns, pattern_set_ops, cost_quartiles)},
 }
 
 _BASE = """WITH v AS (
@@ -380,15 +426,14 @@ SELECT (SELECT count(*) FROM o) AS n_vertices, (SELECT count(*) FROM e WHERE src
     "lg_roundtrip_counts": _FOREST_SUMS,
     "lg_file_roundtrip": _FOREST_SUMS,
     "table_graph_counts": _FOREST_SUMS,
-    "lg_text_graph": """SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)),
-(1, 0, 1, 2, 1), (1, 2, 3, 2, 2), (2, 1, 3, 2, 2)) AS t(src, dst, label, src_label, dst_label)""",
+    "lg_text_graph": """WITH x AS (SELECT s_suppkey AS k, CAST(s_nationkey AS DOUBLE) AS l FROM supplier), p AS (SELECT x.k AS a, y.k AS b, x.l AS la, y.l AS lb FROM x JOIN x AS y ON y.k = x.k + 1)
+SELECT a AS src, b AS dst, CAST(1 AS DOUBLE) AS label, la AS src_label, lb AS dst_label FROM p UNION ALL SELECT b, a, 1, lb, la FROM p""",
     "node_dump": _BASE + " SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS edges FROM e WHERE l = 1 GROUP BY src",
     "vertex_lookup": _BASE + " SELECT 3000000001 + p_partkey * 2 AS id, label, (SELECT count(*) FROM supplier) AS n_suppliers FROM part LEFT JOIN v ON v.id = 3000000001 + p_partkey * 2",
     "label_presence": _BASE + ", need(name, x, n) AS (VALUES " + ", ".join(f"('{k}', {x}, {p.labels.count(x)})" for k, p in CASES.items() for x in sorted(set(p.labels))) + """, ('stranger', 101.0, 1), ('stranger', 999.0, 1))
 SELECT name, bool_and((SELECT count(*) FROM v WHERE v.label = need.x) >= need.n) AS present FROM need GROUP BY name""",
-    "pattern_canonical_codes": """SELECT * FROM (VALUES ('path', '101.0 201.0 301.0 400.0|0-1:1.0 1-2:2.0 2-3:4.0', 4, 3), ('tree', '101.0 201.0 301.0 400.0|0-1:1.0 1-2:2.0 1-3:3.0', 4, 3),
-('triangle', '201.0 301.0 400.0|0-1:2.0 0-2:3.0 1-2:4.0', 3, 3), ('fork', '101.0 201.0 201.0|0-1:1.0 0-2:1.0', 3, 2),
-('star3', '101.0 201.0 201.0 202.0|0-1:1.0 0-2:1.0 0-3:1.0', 4, 3), ('bent', '101.0 201.0 201.0 301.0|0-1:1.0 0-2:1.0 2-3:2.0', 4, 3)) AS t(name, code, n_nodes, n_edges)""",
+    "pattern_canonical_codes": _BASE + _MINED + """ SELECT CASE n_edges WHEN 1 THEN concat(l1, ' ', l2, '|0-1:1.0') ELSE concat(l1, ' ', l2, ' ', l3, '|0-1:1.0 0-2:1.0') END AS code,
+n_edges + 1 AS n_nodes, n_edges, mni FROM found""",
     "occurrence_dump": _embedded(TRIANGLE) + " " + " UNION ".join(f"SELECT {i} AS col, n{i} AS id FROM m" for i in range(3)),
     "first_embeddings": _embedded(TRIANGLE) + " SELECT n0, n1, n2 FROM m QUALIFY row_number() OVER (PARTITION BY n2 ORDER BY n0, n1) = 1",
     "support_ci": _BASE + """,
@@ -421,7 +466,42 @@ every AS (SELECT 1 AS n_edges, x AS l1, y AS l2, CAST(NULL AS DOUBLE) AS l3, mni
   UNION ALL SELECT 2, u[1], u[2], u[3], mni FROM (SELECT list_sort([c, p, q]) AS u, mni FROM two) UNION ALL SELECT 3, 201, 301, 400, mni FROM three)
 SELECT n_edges, l1, l2, l3, count(*) AS n, CAST(sum(mni) AS BIGINT) AS sum_mni FROM every WHERE mni >= (SELECT n FROM least) GROUP BY ALL""",
     "result_roundtrip": _BASE + _MINED + " SELECT n_edges, count(*) AS n, CAST(sum(mni) AS BIGINT) AS sum_mni FROM found GROUP BY n_edges",
-    "refuted_pattern": "SELECT * FROM (VALUES ((SELECT count(*) FROM customer), 2), (1, NULL)) AS t(support, col)",
+    "refuted_pattern": _embedded(TRIANGLE) + """,
+d AS (SELECT col, count(*) AS n FROM (SELECT p.col, src FROM (VALUES (0, 201.0, 301.0, 2.0), (0, 201.0, 400.0, 3.0), (1, 301.0, 201.0, 2.0), (1, 301.0, 400.0, 4.0), (2, 400.0, 201.0, 3.0), (2, 400.0, 301.0, 4.0)) AS p(col, x, y, el)
+  JOIN a ON sl = x AND dl = y AND l = el GROUP BY p.col, src HAVING count(DISTINCT dl) = 2) GROUP BY col),
+f AS (SELECT col, n FROM d ORDER BY n // 2, col LIMIT 1),
+i AS (SELECT 0 AS col, count(DISTINCT n0) AS k FROM m UNION ALL SELECT 1, count(DISTINCT n1) FROM m UNION ALL SELECT 2, count(DISTINCT n2) FROM m)
+SELECT w.c AS support, CASE WHEN f.n < w.c OR i.k < w.c THEN f.col END AS col FROM (SELECT c FROM share UNION ALL SELECT 1) AS w, f JOIN i USING (col)""",
+    "mni_square": _mni_sql(SQUARE),
+    "support_ci_hash": _BASE + """,
+h AS (SELECT id, ('0x' || left(md5('42:' || id), 8))::BIGINT AS h FROM v),
+k AS (SELECT src AS id FROM a WHERE sl = 101 AND dl = 201 AND l = 1 GROUP BY src HAVING count(*) >= 2),
+o AS (SELECT dst AS id, dst IN (SELECT s.dst FROM s WHERE s.l = 1 AND s.src IN (FROM k)) AS ok FROM a WHERE sl = 101 AND dl = 201 AND l = 1),
+c AS (SELECT 0 AS col, id, true AS ok FROM k UNION ALL SELECT col, id, ok FROM o, (VALUES (1), (2)) AS t(col)),
+t AS (SELECT col, ok, count(*) OVER (PARTITION BY col) AS domain, h.h FROM c JOIN h USING (id)),
+counted AS (SELECT col, any_value(domain) AS domain, count(*) FILTER (domain <= 60 OR h < ceil(4294967296.0 * 60 / domain)) AS n, count(*) FILTER (ok AND (domain <= 60 OR h < ceil(4294967296.0 * 60 / domain))) AS valid FROM t GROUP BY col),""" + _JUDGED + """
+SELECT col, domain, n, valid, round(estimate, 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, verdict FROM said""",
+    "support_ci_bent": _embedded(BENT) + """,
+h AS (SELECT id, ('0x' || left(md5('42:' || id), 8))::BIGINT AS h FROM v),
+need(col, x, y, el, n, kinds) AS (VALUES (0, 201.0, 101.0, 1.0, 1, 1), (1, 101.0, 201.0, 1.0, 2, 1), (2, 201.0, 101.0, 1.0, 1, 2), (2, 201.0, 301.0, 2.0, 1, 2), (3, 301.0, 201.0, 2.0, 1, 1)),
+own AS (SELECT sl, dl, l, src, count(*) AS n FROM a GROUP BY ALL),
+c AS (SELECT col, src AS id FROM need JOIN own ON sl = x AND dl = y AND l = el AND own.n >= need.n GROUP BY col, src, kinds HAVING count(*) = kinds),
+i AS (SELECT 0 AS col, n0 AS id FROM m UNION SELECT 1, n1 FROM m UNION SELECT 2, n2 FROM m UNION SELECT 3, n3 FROM m),
+t AS (SELECT c.col, c.id, i.id IS NOT NULL AS ok, count(*) OVER (PARTITION BY c.col) AS domain, h.h FROM c JOIN h ON h.id = c.id LEFT JOIN i ON i.col = c.col AND i.id = c.id)
+SELECT col, any_value(domain) AS domain, count(*) FILTER (domain <= 40 OR h < ceil(4294967296.0 * 40 / domain)) AS n, count(*) FILTER (ok AND (domain <= 40 OR h < ceil(4294967296.0 * 40 / domain))) AS valid FROM t GROUP BY col""",
+    "mine_paths_k3": _BASE + """,
+g AS (SELECT * FROM a WHERE sl IN (101, 201, 202, 301) AND dl IN (101, 201, 202, 301)), least AS (SELECT c * 9 // 100 AS n FROM share),
+one AS (SELECT list_sort([sl, dl]) AS u, least(count(DISTINCT src), count(DISTINCT dst)) AS mni FROM g WHERE sl < dl GROUP BY sl, dl),
+two AS (SELECT list_sort([x.sl, x.dl, y.dl]) AS u, least(count(DISTINCT x.src), count(DISTINCT x.dst), count(DISTINCT y.dst)) AS mni
+  FROM g AS x JOIN g AS y ON x.src = y.src AND x.dst <> y.dst AND x.dl <= y.dl GROUP BY x.sl, x.dl, y.dl),
+lines AS (SELECT list_sort([x.dl, x.sl, y.sl, y.dl]) AS u, least(count(DISTINCT x.dst), count(DISTINCT x.src), count(DISTINCT y.src), count(DISTINCT y.dst)) AS mni
+  FROM g AS k JOIN g AS x ON x.src = k.src AND x.dst <> k.dst JOIN g AS y ON y.src = k.dst AND y.dst <> k.src AND y.dst <> x.dst
+  WHERE (x.dl, x.sl, y.sl, y.dl) <= (y.dl, y.sl, x.sl, x.dl) GROUP BY x.dl, x.sl, y.sl, y.dl),
+nb AS (SELECT src, sl, dst, dl FROM g),
+stars AS (SELECT list_sort([x.sl, x.dl, y.dl, z.dl]) AS u, least(count(DISTINCT x.src), count(DISTINCT x.dst), count(DISTINCT y.dst), count(DISTINCT z.dst)) AS mni
+  FROM nb AS x JOIN nb AS y ON x.src = y.src AND x.dst <> y.dst AND x.dl <= y.dl JOIN nb AS z ON z.src = x.src AND z.dst <> x.dst AND z.dst <> y.dst AND y.dl <= z.dl GROUP BY x.sl, x.dl, y.dl, z.dl),
+every AS (SELECT 1 AS n_edges, * FROM one UNION ALL SELECT 2, * FROM two UNION ALL SELECT 3, * FROM lines UNION ALL SELECT 3, * FROM stars)
+SELECT n_edges, u[1] AS l1, u[2] AS l2, u[3] AS l3, u[4] AS l4, count(*) AS n, CAST(sum(mni) AS BIGINT) AS sum_mni FROM every WHERE mni >= (SELECT n FROM least) GROUP BY ALL""",
     "edge_pattern_mni": _BASE + " SELECT la, lb, el, mni FROM pat",
     "frequent_edges": _BASE + " SELECT la, lb, el, mni FROM pat WHERE mni >= (SELECT c * 17 // 100 FROM share)",
     "two_edge_candidates": _BASE + """, f AS (SELECT * FROM pat WHERE mni >= (SELECT c * 17 // 100 FROM share)),

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import exists, kept, remove
+from .shared import dealt, exists, forget, kept, kept_by, remove
+
+
+def of_kinds(kinds: Iterable[tuple[float, float, float]]) -> Column:
+    """Whether a row's labels (src_label, label, dst_label) are among so many kinds: a test that scans can skip files' parts by. Of many kinds each label is tested by itself."""
+    kinds, names = sorted(set(kinds)), ("src_label", "label", "dst_label")
+    if len(kinds) > 40:
+        return reduce(lambda a, b: a & b, (F.col(c).isin(sorted({k[i] for k in kinds})) for i, c in enumerate(names)))
+    return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip(names, k, strict=True))) for k in kinds), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -127,12 +137,21 @@ class Graph:
                 return roots
 
 
+#: Neighbours of one kind above which a vertex is a hub: its list is cut.
+HUB = 1024
+#: Of a hub's neighbours of one kind, so many of least id are also a list of their own.
+HEAD = 64
+
+
 class CachedGraph(Graph):
-    """A graph whose vertices, adjacency and kinds are tables of their own, each written when first asked for."""
+    """A graph whose vertices and neighbour lists are tables of their own, written when first asked for.
+
+    lists is bucketed by src, and adjacency and kinds are views of it, so what is joined to any of them by vertex is dealt to
+    its buckets, and the table itself is not dealt out again.
+    """
 
-    def __init__(self, base: Graph):
-        self.__dict__["base"] = base
-        self.__dict__["paths"] = []
+    def __init__(self, base: Graph, hub: int = HUB, head: int = HEAD):
+        self.__dict__.update(base=base, paths=[], names=[], hub=hub, head=head)
 
     def _kept(self, df: DataFrame) -> DataFrame:
         out, path = kept(df)
@@ -144,25 +163,72 @@ class CachedGraph(Graph):
         return self._kept(self.base.vertices)
 
     @cached_property
+    def lists(self) -> DataFrame:
+        """src, src_label, label, dst_label, n, part, dsts: the neighbours of each vertex by kind, ascending, n of them, sorted by labels
+        within each bucket, so that filters on them skip parts of files. Up to hub neighbours are one list, part 0; a hub's are cut by hash into parts 1, 2, ... of about hub neighbours each."""
+        key, order = ["src", "src_label", "label", "dst_label"], ["src_label", "label", "dst_label", "src"]
+        rows = dealt(Graph(self.vertices, self.base.edges).adj.select(*key, "dst"), ["src"])
+        sized = rows.withColumn("n", F.count("*").over(W.partitionBy(*key)))
+        part = F.when(F.col("n") <= self.hub, 0).otherwise(F.pmod(F.xxhash64("dst"), F.ceil(F.col("n") / self.hub)) + 1).cast("int")
+        listed = sized.withColumn("part", part).groupBy(*key, "n", "part").agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
+        out, path, name = kept_by(listed, ["src"], order)
+        self.paths.append(path)
+        self.names.append(name)
+        return out
+
+    @cached_property
+    def hubs(self) -> bool:
+        """Whether any vertex is a hub."""
+        return not self.lists.where(F.col("n") > self.hub).isEmpty()
+
+    @cached_property
+    def heads(self) -> DataFrame:
+        """As lists, but of a hub only its neighbours of least id."""
+        light = self.lists.where(F.col("n") <= self.hub)
+        if not self.hubs:
+            return light
+        key = ["src", "src_label", "label", "dst_label", "n"]
+        first = self.lists.where(F.col("n") > self.hub).select(*key, F.explode(F.slice("dsts", 1, self.head)).alias("dst"))
+        own = first.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list("dst")), 1, self.head).alias("dsts"))
+        return light.unionByName(self._kept(own.select(*key, F.lit(0).alias("part"), "dsts")))
+
+    @property
     def adj(self) -> DataFrame:
-        """Sorted by labels within each file, so that filters on them skip parts of files."""
-        return self._kept(Graph(self.vertices, self.base.edges).adj.sortWithinPartitions("src_label", "label", "dst_label"))
+        return self.lists.select("src", F.explode("dsts").alias("dst"), "label", "src_label", "dst_label")
 
     @property
     def edges(self) -> DataFrame:
-        return self.adj.where("src < dst").select("src", "dst", "label") if "adj" in self.__dict__ else self.base.edges
+        return self.adj.where("src < dst").select("src", "dst", "label") if "lists" in self.__dict__ else self.base.edges
 
-    @cached_property
+    @property
     def kinds(self) -> DataFrame:
-        return self._kept(self.adj.groupBy("src", "src_label", "label", "dst_label").agg(F.count("*").alias("n")))
+        rows = self.lists.select("src", "src_label", "label", "dst_label", "n")
+        return rows.distinct() if self.hubs else rows
+
+    @cached_property
+    def fan_out(self) -> dict[tuple[float, float, float], tuple[int, int]]:
+        """Of each kind of edge (label, edge label, label at the other end), how many vertices have such edges, and how many edges there are: a row for each combination of labels."""
+        rows = self.kinds.groupBy("src_label", "label", "dst_label").agg(F.count("*").alias("starts"), F.sum("n").alias("edges")).collect()
+        return {(r["src_label"], r["label"], r["dst_label"]): (r["starts"], r["edges"]) for r in rows}
+
+    @property
+    def label_sizes(self) -> dict[float, int]:
+        """About how many vertices of each label have edges."""
+        out: dict[float, int] = {}
+        for (a, _, _), (starts, _) in self.fan_out.items():
+            out[a] = max(out.get(a, 0), starts)
+        return out
 
     def drop(self) -> None:
         """Removes its tables; of what refers to them nothing can be read any more."""
         spark = self.base.vertices.sparkSession
+        for name in self.names:
+            forget(spark, name)
         for path in self.paths:
             remove(spark, path)
         self.paths.clear()
-        for name in ("vertices", "adj", "kinds"):
+        self.names.clear()
+        for name in ("vertices", "lists", "hubs", "heads", "fan_out"):
             self.__dict__.pop(name, None)
 
     def alive(self) -> bool:

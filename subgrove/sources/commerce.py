@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from ..plans.graph import Graph
 
 
+#: Tables that the graph comes from.
+TABLES = ("customer", "orders", "part", "supplier", "lineitem")
+
+
 def _ranked(df: DataFrame, column: str) -> DataFrame:
     """column and its dense rank, from its distinct values (a handful)."""
     return df.select(column).distinct().withColumn("rank", F.dense_rank().over(W.orderBy(column)))
