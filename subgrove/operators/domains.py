@@ -84,40 +84,55 @@ def tree_domains(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | N
     return found
 
 
-def arc_order(pattern: Pattern, sizes: dict[int, int], suspect: int | None = None) -> list[tuple[int, int]]:
-    """Arcs in the order in which they are made consistent: those at a suspect node first, then small domains."""
-    arcs = [(i, j) for i in pattern.around for j in pattern.around[i]]
-    return sorted(arcs, key=lambda a: (suspect not in a, sizes.get(a[0], 0) + sizes.get(a[1], 0), a))
-
-
-def consistent_once(graph: Graph, pattern: Pattern, start: dict[int, DataFrame] | None = None) -> dict[int, DataFrame]:
-    """Domains of any pattern after each arc has been looked at once, against the domains at the start: a plan that runs nothing."""
+def at_node(graph: Graph, pattern: Pattern, i: int, start: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Those of a node's candidates that have a neighbour in the domain at the other end of each of its edges: the arcs of a suspect node alone."""
     start = start or domains(graph, pattern)
-    return {i: reduce(lambda own, j: _arc(graph, pattern, i, j, own, start[j]), sorted(pattern.around[i]), start[i]) for i in start}
+    return reduce(lambda own, j: _arc(graph, pattern, i, j, own, start[j]), sorted(pattern.around[i]), start[i])
 
 
 def ac3_domains(graph: Graph, pattern: Pattern, max_rounds: int | None = None, suspect: int | None = None) -> dict[int, DataFrame]:
-    """Arc-consistent domains of any pattern: semi-joins over all arcs until no domain shrinks (or max_rounds),
-    those at a suspect node first.
+    """Arc-consistent domains of any pattern (or what is left after max_rounds), the arcs of a suspect node first.
 
-    A tree needs two passes and no counting. Otherwise each round is cut off from the last by
-    writing it, so plans stay short.
+    A tree needs two passes of semi-joins. Otherwise each candidate's supporters, its neighbours in the domain at the other end, are
+    counted once for every arc. A round then takes only the vertices that the last one removed: their neighbours lose
+    a supporter each, and those that have lost all along some arc are removed next. What has been lost is a log beside the
+    counters, so a round reads what it touches and rewrites nothing.
     """
     graph = graph.cached()
     if pattern.acyclic():
         return tree_domains(graph, pattern)
-    found = {i: stored(d) for i, d in domains(graph, pattern).items()}
-    sizes, rounds = {i: d.count() for i, d in found.items()}, 0
-    while max_rounds is None or rounds < max_rounds:
-        old, rounds = dict(found), rounds + 1
-        for i, j in arc_order(pattern, sizes, suspect):
-            found[i] = _arc(graph, pattern, i, j, found[i], found[j])
-        found = {i: stored(d) for i, d in found.items()}
-        now = {i: d.count() for i, d in found.items()}
-        if now == sizes:
-            return old
-        sizes = now
-    return found
+    spark, start, paths = graph.vertices.sparkSession, domains(graph, pattern), []
+
+    def table(df: DataFrame) -> DataFrame:
+        out, path = kept(df)
+        paths.append(path)
+        return out
+
+    if suspect is not None:
+        start[suspect] = at_node(graph, pattern, suspect, start)
+    own = table(as_table(start))
+    arcs = [(i, j, x, pattern.labels[j], len(pattern.around[i])) for i in range(pattern.n_nodes) for j, x in sorted(pattern.around[i].items())]
+    asked = lookup(spark, arcs, "col int, end int, edge double, label_there double, n_arcs int")
+    adj = graph.adj.where(of_kinds((pattern.labels[i], x, y) for i, _, x, y, _ in arcs)).select("src", "dst", "label", "dst_label")
+    same = (F.col("src") == F.col("id")) & (F.abs(F.col("label") - F.col("edge")) == 0) & (F.abs(F.col("dst_label") - F.col("label_there")) == 0)
+    key = ["col", "end", "id"]
+    there = own.select(F.col("col").alias("end"), F.col("id").alias("dst"))
+    counters = table(own.join(asked, "col").join(adj, same).join(there, ["end", "dst"], "left_semi").groupBy(*key, "n_arcs").agg(F.count("*").alias("n")))
+    whole = counters.groupBy("col", "id", "n_arcs").agg(F.count("*").alias("k")).where("k = n_arcs").select("col", "id")
+    removed = table(own.join(whole, ["col", "id"], "left_anti"))
+    gone, lost, rounds = [removed], [], 0
+    while (max_rounds is None or rounds < max_rounds) and not gone[-1].isEmpty():
+        rounds += 1
+        back = lookup(spark, [(i, j, x, pattern.labels[i]) for i, j, x, _, _ in arcs], "col int, end int, edge double, label_there double")
+        hit = gone[-1].withColumnRenamed("col", "end").join(back, "end").join(adj, same).select("col", "end", F.col("dst").alias("id"))
+        lost.append(table(hit.groupBy(*key).agg(F.count("*").alias("k"))))
+        so_far = reduce(DataFrame.unionByName, lost).join(lost[-1].select(*key), key, "left_semi").groupBy(*key).agg(F.sum("k").alias("k"))
+        empty = counters.join(so_far, key).where("k >= n").select("col", "id").distinct()
+        gone.append(table(empty.join(reduce(DataFrame.unionByName, gone), ["col", "id"], "left_anti")))
+    left = stored(own.join(reduce(DataFrame.unionByName, gone), ["col", "id"], "left_anti"))
+    for path in paths:
+        remove(spark, path)
+    return {i: left.where(F.col("col") == i).select("id") for i in range(pattern.n_nodes)}
 
 
 def as_table(found: dict[int, DataFrame]) -> DataFrame:

@@ -140,11 +140,11 @@ def column_order(pattern: Pattern, sizes: dict[int, int], suspect: int | None =
 
 
 def refuted_by(graph: Graph, pattern: Pattern, support: int) -> int | None:
-    """The first node, in column_order(), if its images alone show that the pattern is infrequent, else None."""
+    """The first node, in column_order(), if its images alone show that the pattern is infrequent, else None. Its own arcs are looked at before it is searched for."""
     graph = graph.cached()
     sizes = {r["col"]: r["count"] for r in D.as_table(D.domains(graph, pattern)).groupBy("col").count().collect()}
     col = column_order(pattern, sizes)[0]
-    return col if sizes.get(col, 0) < support or column_images(graph, pattern, col).count() < support else None
+    return col if sizes.get(col, 0) < support or column_images(graph, pattern, col, D.at_node(graph, pattern, col)).count() < support else None
 
 
 #: Bits of a word of a bitmap of stars.
