@@ -36,26 +36,35 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class _Items:
-    """Seeds of a part of the benchmark: all n-grams of words (a shorter item is one)."""
+    """A part of the benchmark as arrays, which go to the tasks: words and seeds, all n-grams of words (a shorter item is one)."""
 
     def __init__(self, rows: list, n: int):
         self.ids = [r["item_id"] for r in rows]
-        hashes, at = word_hashes([r["text"] for r in rows], lower=True)
-        self.words = [hashes[s:e] for s, e in zip(at, at[1:], strict=False)]
-        self.seeds: list[np.ndarray] = []
-        for own in self.words:
-            m = min(n, len(own))
-            self.seeds.append(rolling(own, m) if m else own)
-        self.lengths = sorted({min(n, len(w)) for w in self.words if len(w)})
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.seeds]))
-
-    def index(self) -> dict[int, list[tuple[int, int]]]:
-        """Where each seed is in which items."""
-        out = defaultdict(list)
-        for k, seeds in enumerate(self.seeds):
-            for at, seed in enumerate(seeds.tolist()):
-                out[seed].append((k, at))
-        return dict(out)
+        self.words, self.at = word_hashes([r["text"] for r in rows], lower=True)
+        lengths = np.diff(self.at)
+        sizes = np.minimum(n, lengths)
+        self.lengths = sorted(set(sizes[sizes > 0].tolist()))
+        seeds, item, place = [], [], []
+        for m in self.lengths:
+            own = sizes == m
+            begins = np.flatnonzero(starts_within(self.at, m)) if len(self.words) >= m else np.zeros(0, int)
+            of = np.searchsorted(self.at, begins, side="right") - 1
+            begins, of = begins[own[of]], of[own[of]]
+            seeds.append(rolling(self.words, m)[begins])
+            item.append(of)
+            place.append(begins - self.at[of])
+        seeds, item, place = (np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in ((np.uint64, seeds), (np.int64, item), (np.int64, place)))
+        order = np.argsort(seeds, kind="stable")
+        seeds = seeds[order]
+        first = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]]) if len(seeds) else np.zeros(0, int)
+        #: Distinct seeds in order, and where their items and places in them are.
+        self.known, self.first = seeds[first], np.r_[first, len(seeds)]
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
+        n_seeds = np.bincount(item, minlength=len(lengths))
+        self.least = np.where(n_seeds <= max(self.lengths, default=0) + 1, 1, 2)  # one edit can leave a single seed of so few
+
+    def item_words(self, k: int) -> np.ndarray:
+        return self.words[self.at[k] : self.at[k + 1]]
 
 
 def _hits(hashes: np.ndarray, at: np.ndarray, lengths: list[int], known: np.ndarray):
@@ -97,26 +106,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
 
 
 def _part(rows: DataFrame, part: _Items, threshold: float, doc_kind: str, item_kind: str) -> DataFrame:
-    known, lengths = part.known, part.lengths
-
-    index, words, ids = part.index(), part.words, part.ids
-    least = [1 if len(seeds) <= max(lengths, default=0) + 1 else 2 for seeds in part.seeds]  # one edit can leave a single seed of so few
-
     def match(it):
         for pdf in it:
             found = []
             for few in X.pieces([pdf]):
                 hashes, at = word_hashes(few["text"], lower=True)
-                places, seeds = _hits(hashes, at, lengths, known)
+                places, seeds = _hits(hashes, at, part.lengths, part.known)
                 text_of = np.searchsorted(at, places, side="right") - 1
+                which = np.searchsorted(part.known, seeds)
                 diagonals = defaultdict(list)
-                for d, place, seed in zip(text_of.tolist(), places.tolist(), seeds.tolist(), strict=True):
-                    for k, where in index[seed]:
+                for d, place, s, e in zip(text_of.tolist(), places.tolist(), part.first[which].tolist(), part.first[which + 1].tolist(), strict=True):
+                    for k, where in zip(part.item[s:e].tolist(), part.place[s:e].tolist(), strict=True):
                         diagonals[d, k].append(place - where)
                 for (d, k), all_of in diagonals.items():
-                    best = _best(sorted(all_of), least[k], words[k], hashes[at[d] : at[d + 1]], int(at[d]))
-                    if best and best[0] >= threshold * MATCH * len(words[k]):
-                        found.append((few["doc_id"].iloc[d], ids[k], best[0] / (MATCH * len(words[k])), best[1], best[2]))
+                    words = part.item_words(k)
+                    best = _best(sorted(all_of), part.least[k], words, hashes[at[d] : at[d + 1]], int(at[d]))
+                    if best and best[0] >= threshold * MATCH * len(words):
+                        found.append((few["doc_id"].iloc[d], part.ids[k], best[0] / (MATCH * len(words)), best[1], best[2]))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "score", "start", "end"])
         tidy()
 

@@ -64,7 +64,7 @@ class Lines:
         level = np.zeros(len(self.counts), np.int64)
         level[lines] = seen[order][first + needed[lines] - 1]
         kept = self.leading.copy()
-        kept[some] |= (seen[some] > 0) & (seen[some] >= level[self.line[some]] // 2)
+        kept[some] |= (seen[some] > 0) & (2 * seen[some] >= level[self.line[some]])
         return lines, self._sums(kept)[lines]
 
 
@@ -89,9 +89,9 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, similarit
     then counted by template. Counts are sums, so the result does not depend on the order of lines or documents, and
     a node may hold any number of lines. Templates and tokens are compared by 64-bit hashes.
 
-    copies (num, den), for corpora from which near duplicates are still to be removed: where more than max_share of
-    a document's tokens would go and the Jaccard join links it with another such document at that similarity, it is
-    left whole. By default nothing is exempt.
+    copies (num, den), for corpora from which near duplicates are still to be removed: documents of whose tokens more than max_share
+    would go are joined by Jaccard similarity, and a class of linked ones counts as one document for the lines of its members: these
+    lose lines that recur beyond their own copies only. By default every document counts.
 
     One row per input row: doc_id, text (kept lines), n_lines, n_recurring (lines of recurring templates), n_dropped.
     Null texts stay null with 0 lines, empty texts have one line; an empty table gives no rows. Very long texts and
@@ -117,32 +117,38 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, similarit
     def cut(pdf, tokens_seen, seen):
         lines = Lines(pdf["text"], depth)
         own, keys = named(lines, *X.read(tokens_seen, bits))
-        recurring = np.zeros(len(lines.counts), bool)
-        recurring[own[X.look_up(keys, X.read(seen, bits)[0])]] = True
+        docs_of, key_of = np.zeros(len(lines.counts), np.int64), np.zeros(len(lines.counts), np.int64)
+        docs_of[own], key_of[own] = X.look_up(keys, *X.read(seen, bits)).astype(np.int64), keys.view(np.int64)
+        recurring = docs_of > 0
         rows = []
         chunk = int(pdf["chunk"].iloc[0]) << 32
         for k, (doc, text, s, e) in enumerate(zip(pdf["doc_id"], pdf["text"], lines.at, lines.at[1:], strict=False)):
             again, count = recurring[s:e], lines.counts[s:e]
             n = int(again.sum())
             less = "\n".join(x for x, r in zip(text.split("\n"), again.tolist(), strict=True) if not r) if n else text
-            whole = text if n and count[again].sum() > max_share * count.sum() and copies else None
-            rows.append((doc, less, e - s if text is not None else 0, n, n, whole, chunk + k))
-        out = pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_recurring", "n_dropped", "whole", "row"])
+            open_ = n and count[again].sum() > max_share * count.sum() and copies
+            marks = [{"line": int(i), "key": int(key_of[s + i]), "n": int(docs_of[s + i])} for i in np.flatnonzero(again)] if open_ else None
+            rows.append((doc, less, e - s if text is not None else 0, n, n, text if open_ else None, marks, chunk + k))
+        out = pd.DataFrame(rows, columns=["doc_id", "text", "n_lines", "n_recurring", "n_dropped", "whole", "marks", "row"])
         return out.assign(**{c: pdf[c].array for c in pdf if c.startswith("carry_")})
 
     usual = X.answers(X.send(parts, places, bits), None, min_docs, bits)
     often = X.answers(X.send(parts, emit, bits, usual), None, min_docs, bits)
     kind = parts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_lines long, n_recurring long, n_dropped long, whole string, row long{X.kinds(parts)}"
+    schema = f"doc_id {kind}, text string, n_lines long, n_recurring long, n_dropped long, whole string, marks array<struct<line:int,key:long,n:long>>, row long{X.kinds(parts)}"
     rows = X.finish(parts, X.both(usual, often), cut, schema, bits, X.each)
     if not copies:
-        return X.handed(rows.drop("whole", "row"), carry)
+        return X.handed(rows.drop("whole", "marks", "row"), carry)
     rows = stored(rows)
     del usual, often, parts
     sweep(docs.sparkSession)
     open_ = rows.where("whole IS NOT NULL")
-    linked = ngram_jaccard(open_, similarity=copies, id_col="row", text_col="whole").select(F.col("doc_id").alias("row"), "component_id")
-    classes = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    copy = linked.join(classes, "component_id", "left_semi").select("row", F.lit(True).alias("copy"))
-    decided = open_.join(copy, "row", "left").withColumns({"text": F.when(F.col("copy"), F.col("whole")).otherwise(F.col("text")), "n_dropped": F.when(F.col("copy"), F.lit(0).cast("long")).otherwise(F.col("n_dropped"))})
-    return X.handed(rows.where("whole IS NULL").unionByName(decided.drop("copy")).drop("whole", "row"), carry)
+    linked = ngram_jaccard(open_.select("row", "whole"), similarity=copies, id_col="row", text_col="whole").select(F.col("doc_id").alias("row"), "component_id")
+    marks = open_.select("row", F.explode("marks").alias("m")).select("row", "m.*").join(linked, "row")
+    inside = marks.select("component_id", "key", "row").distinct().groupBy("component_id", "key").agg(F.count("*").alias("inside"))
+    beyond = marks.join(inside, ["component_id", "key"]).where(F.col("n") - F.col("inside") + 1 >= min_docs)
+    lost = beyond.groupBy("row").agg(F.collect_list("line").alias("lost"))
+    decided = open_.drop("text", "n_dropped").join(lost, "row", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
+    left = F.filter(F.split("whole", "\n", -1), lambda x, i: ~F.array_contains("lost", i))
+    decided = decided.withColumns({"text": F.array_join(left, "\n"), "n_dropped": F.size("lost").cast("long")}).drop("lost")
+    return X.handed(rows.where("whole IS NULL").unionByName(decided).drop("whole", "marks", "row"), carry)

@@ -217,7 +217,7 @@ def test_decontaminate_edited_copies(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, d // 4) for d in range(80)]
 
 
-def plain_templates(texts, depth=2, min_docs=8, similarity=0.75):
+def plain_templates(texts, depth=2, min_docs=8, similarity=0.75, counts=False):
     """Which lines of each text recur, by counting in dictionaries."""
     def mask(token):
         return "#" if any(c in "0123456789" for c in token) else token
@@ -233,11 +233,12 @@ def plain_templates(texts, depth=2, min_docs=8, similarity=0.75):
         level = sorted(seen, reverse=True)[math.ceil(len(w) * similarity) - 1]
         if not level:
             return None
-        return (len(w), *(x if p < depth or n and n >= (n if level == math.inf else level // 2) and (level < math.inf or n == math.inf) else None for p, (x, n) in enumerate(zip(w, seen, strict=True))))
+        return (len(w), *(x if p < depth or n and n >= (n if level == math.inf else level / 2) and (level < math.inf or n == math.inf) else None for p, (x, n) in enumerate(zip(w, seen, strict=True))))
 
     named = [[template(w) for w in lines] for lines in split]
     docs = Counter(t for lines in named for t in set(lines) if t)
-    return [[t is not None and docs[t] >= min_docs for t in lines] for lines in named]
+    recurring = [[t is not None and docs[t] >= min_docs for t in lines] for lines in named]
+    return (recurring, named, docs) if counts else recurring
 
 
 def check_templates(spark, texts):
@@ -298,6 +299,10 @@ def test_line_templates_of_most_of_a_document(spark):
         assert got[i]["text"] == rows[i][1].split("\n")[1] and (got[i]["n_recurring"], got[i]["n_dropped"]) == (1, 1)
         assert got[100 + i]["text"] == rows[13 + i][1] and got[100 + i]["n_recurring"] >= 3 and got[100 + i]["n_dropped"] == 0
     assert got[50]["text"] == "" and got[50]["n_dropped"] == 1
+    rows = [(i, f"{often}\n{text(20)}") for i in range(12)] + [(200 + i, f"{often}\n{base}") for i in range(9)] + [(300, "")]
+    got = {r["doc_id"]: r for r in line_templates(spark.createDataFrame(rows, "doc_id long, text string"), copies=(75, 100)).collect()}
+    for i in range(9):  # copies lose what others have, too, and keep their own lines
+        assert (got[200 + i]["text"], got[200 + i]["n_recurring"], got[200 + i]["n_dropped"]) == (base, 5, 1)
     assert all(r["n_dropped"] == r["n_recurring"] for r in line_templates(docs).collect())
 
 

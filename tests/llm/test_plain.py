@@ -308,6 +308,7 @@ def fixture():
     rows += [(300 + k, "\n".join([*base[:3], base[3] if k < 8 else edited(base[3], 12, r)])) for k in range(10)]  # copies
     items = [(k, text(20, r)) for k in range(3)] + [(7, None)]
     rows += [(400, f"{text(20, r)} {items[0][1]} {text(9, r)}"), (401, f"{text(20, r)}\n{edited(items[1][1], 8, r)}")]
+    rows += [(410, text(30_000, r))]  # very long
     rows += [(None, text(30, r)), (None, None), (None, "")] + [(500, "a text of a repeated row " + items[2][1][:9])] * 2 + [(501, None), (502, "")]
     return [(i, t, None if i == 3 else "en", "s", len(t or "")) for i, t in rows], items
 
@@ -331,14 +332,16 @@ def test_stages_and_run_against_plain_versions(spark, tmp_path):
     assert out(stage["toxicity"](spark, frame(rows), sf)) == Counter(clean)
 
     texts = [t for _, t, *_ in clean]
-    lines, less = plain_templates(texts), []
+    (lines, named, docs), less = plain_templates(texts, counts=True), []
     open_ = []
     for k, (t, again) in enumerate(zip(texts, lines, strict=True)):
         sizes = [len(x.split()) for x in t.split("\n")] if t else []
         open_.append(sum(n for n, a in zip(sizes, again, strict=False) if a) > 0.5 * sum(sizes) if any(again) else False)
     root = plain_copies([t if o else None for t, o in zip(texts, open_, strict=True)])
+    inside = Counter((root[k], t) for k, own in enumerate(named) if open_[k] for t in set(own))
+    lines = [[a and (not open_[k] or docs[t] - inside[root[k], t] + 1 >= 8) for a, t in zip(again, named[k], strict=True)] for k, again in enumerate(lines)]
     for k, (x, again) in enumerate(zip(clean, lines, strict=True)):
-        if not any(again) or open_[k] and Counter(root)[root[k]] > 1:
+        if not any(again):
             less.append(x)
         else:
             t = "\n".join(y for y, a in zip(x[1].split("\n"), again, strict=True) if not a)
