@@ -59,15 +59,25 @@ class Lines:
         if not len(lines):
             return lines, np.zeros(0, np.uint64)
         some = np.flatnonzero((filled & worded)[self.line])
-        order = some[np.lexsort((-seen[some], self.line[some]))]
         first = np.r_[0, np.cumsum(self.counts[lines])[:-1]]
         level = np.zeros(len(self.counts), np.int64)
-        level[lines] = seen[order][first + needed[lines] - 1]
+        level[lines] = _largest(seen[some], self.line[some], first + needed[lines] - 1)
         kept = self.leading.copy()
         kept[some] |= (seen[some] > 0) & (2 * seen[some] >= level[self.line[some]])
         return lines, self._sums(kept)[lines]
 
 
+def _largest(seen: np.ndarray, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The counts at these places once those of each line (lines in order) are ordered from the largest."""
+    if len(line) and line[-1] >= 1 << 24:
+        return seen[np.lexsort((-seen, line))][at]
+    top = _U((1 << 40) - 1)  # line and count in one number, which sorts much faster
+    packed = (line.astype(np.uint64) << _U(40)) | (top - np.minimum(seen.astype(np.uint64), top))
+    packed.sort()
+    found = top - (packed[at] & top)
+    return np.where(found == top, _ALWAYS, found.astype(np.int64))
+
+
 def _by_document(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how many documents have them."""
     order = np.lexsort((doc, keys))
@@ -117,9 +127,13 @@ def line_templates(docs: DataFrame, depth: int = 2, min_docs: int = 8, similarit
     def cut(pdf, tokens_seen, seen):
         lines = Lines(pdf["text"], depth)
         own, keys = named(lines, *X.read(tokens_seen, bits))
-        docs_of, key_of = np.zeros(len(lines.counts), np.int64), np.zeros(len(lines.counts), np.int64)
-        docs_of[own], key_of[own] = X.look_up(keys, *X.read(seen, bits)).astype(np.int64), keys.view(np.int64)
-        recurring = docs_of > 0
+        recurring = np.zeros(len(lines.counts), bool)
+        if copies:
+            docs_of, key_of = np.zeros(len(lines.counts), np.int64), np.zeros(len(lines.counts), np.int64)
+            docs_of[own], key_of[own] = X.look_up(keys, *X.read(seen, bits)).astype(np.int64), keys.view(np.int64)
+            recurring = docs_of > 0
+        else:
+            recurring[own[X.look_up(keys, X.read(seen, bits)[0])]] = True
         rows = []
         chunk = int(pdf["chunk"].iloc[0]) << 32
         for k, (doc, text, s, e) in enumerate(zip(pdf["doc_id"], pdf["text"], lines.at, lines.at[1:], strict=False)):
