@@ -59,6 +59,6 @@ def test_parts_extensions_and_text():
     assert Pattern.from_lg(paw.to_lg()).code == paw.code
     assert len(two_edge([(1, 2, 1)])) == 2
     assert edge(1, 2, 1).code == edge(2, 1, 1).code
-    assert paw.may_hold(edge(1, 1, 1)) and not paw.may_hold(edge(1, 2, 1))
+    assert edge(1, 1, 1).held_by({1: 2}) and not edge(1, 2, 1).held_by({1: 5})
     with pytest.raises(ValueError):
         Pattern.of([1], [(0, 0, 1)])
