@@ -6,7 +6,7 @@ bits; keys of one message are sorted and stored as byte planes of their differen
 answers every chunk that sent a key. So a key in a third of all documents costs one entry per chunk, no task sees more
 than a bucket or a chunk, and texts are shuffled once: all steps of an operator read the same exchange.
 
-Chunks and buckets grow with the corpus, and a message from each to each would become one key. Where there are more
+Chunks and buckets grow with the corpus, partitions only up to PARTITIONS. A message from each chunk to each bucket would become one key. Where there are more
 than 2 ** HOP_BITS buckets, messages go through relays, each for some chunks and some buckets, there and back: a chunk
 then writes to as many relays as the square root of the number of buckets, and so does a relay.
 """
@@ -21,9 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import stored
 from .text import tidy
 
 CHUNK_BYTES = 6 << 20
+#: Partitions of a shuffle at most. Chunks beyond lie one after the other in a partition, ordered by number, and are still taken one at a time.
+PARTITIONS = 20_000
 BUCKET_KEYS = 1 << 21
 #: Bits of a bucket's number up to which chunks write to buckets themselves.
 HOP_BITS = 12
@@ -56,7 +59,13 @@ def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     """Columns chunk, doc_id and text, and those carried, dealt by chunk. Rows are dealt by place, whatever they hold."""
     n = max(1, math.ceil(size / chunk_bytes))
     key = F.xxhash64(F.monotonically_increasing_id())
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried(carry), F.pmod(key, F.lit(n)).alias("chunk")).repartition(n, "chunk")
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried(carry)))
+    return rows.withColumn("chunk", F.pmod(key, F.lit(n))).repartition(min(n, PARTITIONS), "chunk")
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, or a table of its rows where these come out of a shuffle: a task that is run again may get them in another order, and a row's place must not change."""
+    return stored(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
 
 
 def buckets(size: int) -> int:

@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
     tied = [F.xxhash64(F.col(text_col)).alias("tie"), F.monotonically_increasing_id().alias("row")]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *tied)
-    dealt = rows.repartitionByRange(max(1, -(-size // (24 << 20))), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
+    dealt = rows.repartitionByRange(min(max(1, -(-size // (24 << 20))), X.PARTITIONS), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
     dealt.mapInArrow(encoded, f"shard int, file int, n_ids long, docs array<struct<doc_id:{kind},n:long>>, data binary").write.parquet(path)
     return path
 

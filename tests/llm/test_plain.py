@@ -293,6 +293,33 @@ def test_exchange_through_relays(spark, monkeypatch, bits):
     assert sorted((x[0], x[1], round(x[2], 9), *x[4:]) for x in got[0]) == sorted((x[0], x[1], round(x[2], 9), *x[4:]) for x in want[0])
 
 
+def test_many_chunks_in_few_partitions_of_shuffled_rows(spark, monkeypatch):
+    """50 chunks in 4 partitions give the rows that one gives; rows that come out of a shuffle are written first."""
+    from subgrove.llm import exchange as X
+
+    r = random.Random(50)
+    rows = [(k, text(r.randint(0, 120), r)) for k in range(120)]
+    rows += [(200 + k, rows[k][1]) for k in range(0, 90, 3)] + [(300, None), (None, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rounded = lambda x: tuple(round(v, 9) if isinstance(v, float) else v for v in x)
+    ops = (stupid_backoff, lambda d: substring_dedup(d).select("doc_id", "n_words", "n_removed", "kept_text"), lambda d: line_templates(d, min_docs=2), ngram_jaccard)
+    ask = lambda d: [Counter(map(rounded, op(d).collect())) for op in ops]
+    want = ask(docs)
+    chunked = X.chunked
+    seen = []
+
+    def many(docs, size, *a, **k):
+        seen.append(chunked(docs, 50 * X.CHUNK_BYTES, *a[:3], chunk_bytes=X.CHUNK_BYTES))
+        return seen[-1]
+
+    monkeypatch.setattr(X, "PARTITIONS", 4)
+    monkeypatch.setattr(X, "chunked", many)
+    assert X.settled(docs) is docs
+    assert "Exchange" not in X.settled(docs.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert ask(docs.repartition(3)) == want
+    assert all(d.select("chunk").distinct().count() > 40 and d.rdd.getNumPartitions() <= 4 for d in seen)
+
+
 # the pipeline
 
 
