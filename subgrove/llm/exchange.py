@@ -31,6 +31,8 @@ BUCKET_KEYS = 1 << 21
 #: Bits of a bucket's number up to which chunks write to buckets themselves.
 HOP_BITS = 12
 MESSAGE = "chunk long, bucket int, size long, keys binary, vals binary"
+#: Keys that look_up takes at once.
+_AT_ONCE = 1 << 19
 _NAMES = ["chunk", "bucket", "size", "keys", "vals"]
 
 
@@ -224,18 +226,28 @@ def read(answer: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def look_up(keys: np.ndarray, known: np.ndarray, vals: np.ndarray | None = None) -> np.ndarray:
     """Whether each key is known, or its number (0: not known). known is in order.
 
-    Most keys are ruled out by a bitmap of the leading bits of the known ones, which is faster than a search.
+    A table of the leading bits says where known keys that begin alike are: one or two as keys are hashes, which is faster than a search.
     """
     out = np.zeros(len(keys), bool if vals is None else np.uint64)
     if not len(known):
         return out
-    shift = np.uint64(64 - min(24, max(8, len(known).bit_length() + 4)))
-    there = np.zeros(1 << (64 - int(shift)), bool)
-    there[known >> shift] = True
-    some = np.flatnonzero(there[keys >> shift])
-    at = np.minimum(np.searchsorted(known, keys[some]), len(known) - 1)
-    hit = known[at] == keys[some]
-    out[some[hit]] = True if vals is None else vals[at[hit]]
+    bits = min(24, max(8, len(known).bit_length() + 1))
+    shift = np.uint64(64 - bits)
+    first = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount((known >> shift).astype(np.int64), minlength=1 << bits), dtype=np.int32, out=first[1:])
+    for begin in range(0, len(keys), _AT_ONCE):
+        own = keys[begin : begin + _AT_ONCE]
+        lead = (own >> shift).astype(np.int64)
+        at, end = first[lead], first[lead + 1]
+        live = np.flatnonzero(at < end)
+        at, end, own = at[live], end[live], own[live]
+        while len(live):
+            there = known[at]
+            hit = there == own
+            out[begin + live[hit]] = True if vals is None else vals[at[hit]]
+            at = at + 1
+            more = (there < own) & (at < end)
+            live, at, end, own = live[more], at[more], end[more], own[more]
     return out
 
 
