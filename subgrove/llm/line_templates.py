@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
 from .components import stored, sweep
 from .ngram_jaccard import ngram_jaccard
-from .text import hashed, mix, strings, tokens
+from .text import hashed_in_place, mix, raw_bytes, strings, word_places
 
 _U = np.uint64
 _FIELD, _STEP, _COUNT = _U(0xD6E8FEB86659FD93), _U(0x9E3779B97F4A7C15), _U(0xA0761D6478BD642F)
@@ -22,14 +21,14 @@ class Lines:
     """The lines of a chunk's texts in the tree: a line's node is its number of tokens and its first depth tokens."""
 
     def __init__(self, texts, depth: int):
-        cut = pc.split_pattern(strings(texts), "\n")
-        self.at = np.asarray(cut.offsets, np.int64)  # lines of each text
-        self.at = self.at - self.at[0]
-        distinct, places, self.begin = tokens(cut.flatten())
-        names = hashed(distinct)
-        names[pc.match_substring_regex(distinct, "[0-9]").to_numpy(zero_copy_only=False)] = _FIELD
-        self.tokens = names[places]
-        del cut, distinct, names, places
+        raw, at = raw_bytes(strings(texts))
+        ends = np.flatnonzero(raw == 10)
+        self.at = np.searchsorted(ends, at) + np.arange(len(at))  # lines of each text
+        first, end = word_places(raw, at)
+        self.tokens, digit = hashed_in_place(raw, first, end)
+        self.tokens[digit] = _FIELD
+        self.begin = np.r_[np.searchsorted(first, np.sort(np.r_[at[:-1], ends + 1])), len(first)]
+        del raw, ends, first, end, digit
         self.counts = np.diff(self.begin)
         self.line = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)  # of each token
         place = np.arange(len(self.tokens), dtype=np.int32) - self.begin[:-1].astype(np.int32)[self.line]

@@ -68,6 +68,53 @@ def hashed(distinct: pa.Array) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + lengths.astype(np.uint64) * _MIX1)
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGIT = np.isin(np.arange(256), np.arange(48, 58))
+#: Words that are hashed at once.
+_AT_ONCE = 1 << 13
+
+
+def raw_bytes(own: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings in a row, and where each string's begin (one more entry at the end)."""
+    at = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int64)
+    raw = np.frombuffer(own.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def word_places(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last but one byte of each word of strings in a row; no word reaches over the end of its string."""
+    blank = _BLANK[raw]
+    edge = at[:-1][at[:-1] < at[1:]]
+    before = np.r_[True, blank][:-1] if len(raw) else blank
+    before[edge] = True
+    first = np.flatnonzero(before & ~blank)
+    after = np.r_[blank[1:], True] if len(raw) else blank.copy()
+    after[edge[1:] - 1] = True
+    return first, np.flatnonzero(after & ~blank) + 1
+
+
+def hashed_in_place(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What hashed() gives for each of the words at these places, and whether it has a digit; bytes between words cancel out."""
+    names, digit = np.zeros(len(first), np.uint64), np.zeros(len(first), bool)
+    for s in range(0, len(first), _AT_ONCE):
+        a, b = first[s : s + _AT_ONCE], end[s : s + _AT_ONCE]
+        own = raw[a[0] : b[-1]]
+        a, b = a - a[0], b - a[0]
+        gaps = np.diff(a, append=len(own))
+        place = np.arange(len(own), dtype=np.int32) - np.repeat(a.astype(np.int32), gaps)
+        if gaps.max() <= _SHORT:
+            terms = _TABLE[(place << 8) + own]
+        else:
+            terms = _TABLE[(np.minimum(place, _SHORT - 1) << 8) + own]
+            far = np.flatnonzero(place >= _SHORT)
+            terms[far] = _terms(own[far], place[far])
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        names[s : s + len(a)] = mix(sums[b] - sums[a] + (b - a).astype(np.uint64) * _MIX1)
+        digit[s : s + len(a)] = np.logical_or.reduceat(_DIGIT[own], a)
+    return names, digit
+
+
 def strings(texts) -> pa.Array:
     """Texts as an Arrow array, nulls as empty ones."""
     return pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
