@@ -293,6 +293,36 @@ def test_exchange_through_relays(spark, monkeypatch, bits):
     assert sorted((x[0], x[1], round(x[2], 9), *x[4:]) for x in got[0]) == sorted((x[0], x[1], round(x[2], 9), *x[4:]) for x in want[0])
 
 
+def test_words_in_place():
+    """Words, hashes, digits and lines read from bytes are those of split(); keys are found as by a dictionary."""
+    import pyarrow as pa
+
+    from subgrove.llm import exchange as X
+    from subgrove.llm.line_templates import Lines
+    from subgrove.llm.text import hashed, hashed_in_place, raw_bytes, strings, word_places
+
+    r = random.Random(8)
+    parts = ["a", "b1", "7", "\n", " ", "\t", "\r\n", "\x0b", "\x0c", "é", "漢", "\x85", "\u2003", "x" * 70, "y" * 64 + "3", " " * 90, "\n\n"]
+    cases = [["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(r.randrange(7))] for _ in range(300)]
+    cases += [[], [None], ["", "\n", ""], ["w " * 40_000 + "z" * 100_000, None, "k"], [text(20_000, r)]]
+    for texts in cases:
+        raw, at = raw_bytes(strings(texts))
+        first, end = word_places(raw, at)
+        words = [w for t in texts for w in (t or "").encode().split()]
+        assert [raw[s:e].tobytes() for s, e in zip(first, end, strict=True)] == words
+        names, digit = hashed_in_place(raw, first, end)
+        assert (names == hashed(pa.array([w.decode() for w in words], pa.string()))).all()
+        assert digit.tolist() == [any(48 <= c <= 57 for c in w) for w in words]
+        lines = Lines(texts, 2)
+        assert lines.counts.tolist() == [len(x.encode().split()) for t in texts for x in (t or "").split("\n")]
+        assert np.diff(lines.at).tolist() == [(t or "").count("\n") + 1 for t in texts]
+    keys = np.random.default_rng(8).integers(0, 1 << 64, 3000, np.uint64)
+    for known in (keys[:0], keys[:1], np.sort(keys[:2000]), np.sort(np.r_[keys[:500], keys[:500] + np.uint64(1)])):
+        where = {int(k): n + 1 for n, k in enumerate(known)}
+        assert X.look_up(keys, known, np.arange(1, len(known) + 1, dtype=np.uint64)).tolist() == [where.get(int(k), 0) for k in keys]
+        assert X.look_up(keys, known).tolist() == [int(k) in where for k in keys]
+
+
 def test_many_chunks_in_few_partitions_of_shuffled_rows(spark, monkeypatch):
     """50 chunks in 4 partitions give the rows that one gives; rows that come out of a shuffle are written first."""
     from subgrove.llm import exchange as X
